@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import token_counts
+from linkloom.llm import license_scan, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,3 +26,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+#: The rules of the registered query: (verdict, host, path).
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op6_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(rule_verdict, rule_host, rule_path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+judged AS (
+  SELECT u.*, r.rule_host || r.rule_path AS rule, r.rule_verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST, length(r.rule_host) DESC, r.rule_verdict DESC) AS best
+  FROM urls u LEFT JOIN rules r
+    ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path)
+)
+SELECT page_id, host, path, rule,
+  coalesce(rule_verdict, CASE WHEN len(list_intersect(regexp_extract_all(host, '[a-z0-9]+'), [{", ".join(f"'{w}'" for w in url_filter.BAD_HOST_WORDS)}])) > 0
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged WHERE best = 1
+"""
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
+def _license_oracle() -> str:
+    t = license_scan
+    templates = ", ".join(f"({k}, '{x.label}', {x.base}, '{x.words}', '{x.key}', {x.key_at})" for k, x in enumerate(t.TEMPLATES))
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{t.UPPER}', '{t.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), file_words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM texts
+), templates(t, label, base, words, key, key_at) AS (VALUES {templates}),
+template_words AS (
+  SELECT t, unnest(string_split(words, ' ')) AS word, unnest(range(len(string_split(words, ' ')))) AS pos FROM templates
+), frequency AS (
+  SELECT word, count(DISTINCT doc_id) AS df FROM file_words WHERE word IN (SELECT word FROM template_words) GROUP BY word
+), ranked AS (
+  SELECT t, word, min(pos) AS pos, row_number() OVER (PARTITION BY t ORDER BY coalesce(any_value(df), 0), word) AS rarity
+  FROM template_words LEFT JOIN frequency USING (word) GROUP BY t, word
+), postings AS (SELECT t, word, pos, least({t.AGREE}, count(*) OVER (PARTITION BY t)) AS need FROM ranked WHERE rarity <= {t.INDEXED}),
+candidates AS (
+  SELECT doc_id, p.t, f.pos - p.pos AS start FROM file_words f JOIN postings p USING (word)
+  GROUP BY doc_id, p.t, f.pos - p.pos HAVING count(*) >= any_value(need)
+), found AS (
+  SELECT doc_id, t, label, base, start, string_split(m.words, ' ') AS template, x.words
+  FROM candidates JOIN templates m USING (t) JOIN texts x USING (doc_id)
+  WHERE start + key_at >= 0 AND list_slice(x.words, start + key_at + 1, start + key_at + len(string_split(key, ' '))) = string_split(key, ' ')
+), scored AS (
+  SELECT *, len(list_filter(range(len(template)), lambda j: start + j >= 0 AND words[start + j + 1] = template[j + 1])) / len(template) AS share FROM found
+), summed AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+  FROM scored GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM texts LEFT JOIN summed USING (doc_id)
+"""
+
+
+ORACLES["op3_license_scan"] = _license_oracle()
