@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import license_scan, token_counts, url_filter
+from linkloom.llm import license_scan, quality_rules, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -108,3 +108,49 @@ FROM texts LEFT JOIN summed USING (doc_id)
 
 
 ORACLES["op3_license_scan"] = _license_oracle()
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.clean_lines(table(spark, sf_dir, "documents"))
+
+
+def _quality_oracle() -> str:
+    q = quality_rules
+    white, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+    any_of = lambda chars: "[" + "".join(f"\\{c}" if c in "\"')]}.?" else c for c in chars) + "]"
+    closers = any_of(q.CLOSERS).replace("'", "''")
+    stock = " OR ".join(f"contains(low, '{p}')" for p in q.STOCK_PHRASES)
+    symbols = "[#*$%&|<>]"
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(len(words) - {q.WINDOW - 1})) AS pos, unnest(list_transform(range(len(words) - {q.WINDOW - 1}), lambda i: array_to_string(words[i + 1 : i + {q.WINDOW}], ' '))) AS w
+  FROM texts WHERE len(words) >= {q.WINDOW}
+), twice AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, pos + d AS pos FROM twice, range({q.WINDOW}) t(d)) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts),
+filled AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '{word}')) AS words, length(regexp_replace(line, '{white}', '', 'g')) AS chars,
+    len(regexp_extract_all(line, '{symbols}')) AS symbols, len(regexp_extract_all(line, '!')) AS shouts,
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup
+  FROM lines WHERE regexp_matches(line, '{word}')
+), failing AS (
+  SELECT *, NOT (regexp_matches(line, '[.!?]{white}') OR regexp_matches(line, '(?:{"|".join(any_of(e) for e in q.ENDS)}){closers}*{white}*$')) OR (shouts >= 3 AND 10 * shouts > 3 * words)
+    OR (symbols >= 3 AND 4 * symbols > words) OR dup OR (({stock}) AND words <= {q.STOCK_WORDS}) AS fails
+  FROM filled
+), by_text AS (
+  SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost, coalesce(sum(words) FILTER (NOT fails), 0) AS left_words FROM failing GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{white}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '{symbols}')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost, left_words
+  FROM texts t LEFT JOIN by_text USING (doc_id) LEFT JOIN repeats USING (doc_id)
+), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(lost, 0) <= 0.5 * word_chars AND coalesce(left_words, 0) >= 10 AS kept
+FROM judged
+"""
+
+
+ORACLES["op4_quality_rules"] = _quality_oracle()
