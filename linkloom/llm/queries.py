@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import license_scan, quality_rules, token_counts, url_filter
+from linkloom.llm import language_id, license_scan, quality_rules, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,6 +64,18 @@ FROM judged WHERE best = 1
 """
 
 
+def fold(of: int, held: int) -> Column:
+    """Whether crc32 of the doc_id's text leaves the remainder that marks held-out rows."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == held, F.lit(False))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language_id.train(docs, ~fold(4, 2))
+    return language_id.identify(docs, filters).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("places")
