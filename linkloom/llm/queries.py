@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import language_id, license_scan, quality_rules, token_counts, url_filter
+from linkloom.llm import language_id, license_scan, quality_cnn, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -166,3 +166,17 @@ FROM judged
 
 
 ORACLES["op4_quality_rules"] = _quality_oracle()
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~fold(3, 1))
+    return toxicity.score_toxicity(docs, machine).select("doc_id", fold(3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality_cnn.train(docs, table(spark, sf_dir, "labels"), ~fold(4, 2))
+    return quality_cnn.score_quality(docs, network).select("doc_id", fold(4, 2).alias("held_out"), "score", "predicted")
