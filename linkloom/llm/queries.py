@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import language_id, license_scan, quality_cnn, quality_rules, token_counts, toxicity, url_filter
+from linkloom.llm import decontamination, language_id, license_scan, quality_cnn, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -180,3 +180,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     network = quality_cnn.train(docs, table(spark, sf_dir, "labels"), ~fold(4, 2))
     return quality_cnn.score_quality(docs, network).select("doc_id", fold(4, 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op5_decontamination"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM benchmark),
+sized AS (SELECT *, least({decontamination.WIDTH}, len(words)) AS width FROM items WHERE len(words) > 0),
+item_shingles AS (
+  SELECT DISTINCT item_id, width, unnest(list_transform(range(len(words) - width + 1), lambda i: array_to_string(words[i + 1 : i + width], ' '))) AS s FROM sized
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, width, unnest(list_transform(range(len(words) - width + 1), lambda i: array_to_string(words[i + 1 : i + width], ' '))) AS s
+  FROM docs, (SELECT DISTINCT width FROM sized) WHERE len(words) >= width
+), totals AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM doc_shingles JOIN item_shingles USING (width, s) JOIN totals USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= {decontamination.THRESHOLD} * n_item - 1e-9
+"""
