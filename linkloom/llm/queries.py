@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontamination, language_id, license_scan, quality_cnn, quality_rules, token_counts, toxicity, url_filter
+from linkloom.llm import decontamination, language_id, license_scan, mixing, quality_cnn, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -201,3 +201,74 @@ SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS conta
 FROM doc_shingles JOIN item_shingles USING (width, s) JOIN totals USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= {decontamination.THRESHOLD} * n_item - 1e-9
 """
+
+
+#: The registered mix: sources fall into four domains by a checksum of their name.
+MIX_WEIGHTS = {
+    "domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0},
+    "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0},
+}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 3, 17
+
+
+def mix_levels() -> dict[str, Column]:
+    domain = F.concat(F.lit("d"), F.pmod(F.conv(F.substring(F.md5("source"), 1, 8), 16, 10).cast("long"), F.lit(4)).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix_sources(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def mix_oracle(docs: str) -> str:
+    """SQL for the mix of a table (or common table expression) of documents."""
+
+    def weight(level: str) -> str:
+        given = " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS.get(level, {}).items())
+        return f"CASE {level} {given} ELSE 1.0 END" if given else "CAST(1.0 AS DOUBLE)"
+
+    def spread(name: str, nodes: str, by: str, level: str) -> str:
+        part = f"PARTITION BY {by} " if by else ""
+        window = f"{part}ORDER BY capacity / weight, {level} ROWS BETWEEN"
+        return f"""
+{name}_level AS (
+  SELECT *, sum(capacity) OVER ({window} UNBOUNDED PRECEDING AND CURRENT ROW)
+    + capacity / weight * coalesce(sum(weight) OVER ({window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) <= parent_budget + 1e-6 AS filled
+  FROM {nodes}
+), {name} AS (
+  SELECT *, CASE WHEN filled THEN capacity ELSE (parent_budget - coalesce(sum(capacity) FILTER (filled) OVER ({part}), 0))
+    / sum(weight) FILTER (NOT filled) OVER ({part}) * weight END AS budget
+  FROM {name}_level
+)"""
+
+    return rf"""
+WITH mix_rows AS (
+  SELECT * FROM (
+    SELECT doc_id, 'd' || (CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 4) AS domain, lang, source,
+      CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM {docs}
+  ) WHERE n_tokens > 0
+), mix_leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, CAST(sum(n_tokens) * {MIX_EPOCHS} AS DOUBLE) AS capacity FROM mix_rows GROUP BY ALL),
+mix_top AS (SELECT least(sum(tokens) * CAST({MIX_SHARE} AS DOUBLE), sum(capacity)) AS parent_budget FROM mix_leaves),
+mix_n1 AS (SELECT domain, sum(capacity) AS capacity, CAST({weight("domain")} AS DOUBLE) AS weight, any_value(parent_budget) AS parent_budget FROM mix_leaves, mix_top GROUP BY domain),
+{spread("mix_b1", "mix_n1", "", "domain")},
+mix_n2 AS (SELECT l.domain, lang, sum(l.capacity) AS capacity, CAST({weight("lang")} AS DOUBLE) AS weight, any_value(b.budget) AS parent_budget FROM mix_leaves l JOIN mix_b1 b ON l.domain = b.domain GROUP BY l.domain, lang),
+{spread("mix_b2", "mix_n2", "domain", "lang")},
+mix_n3 AS (SELECT l.domain, l.lang, source, tokens, l.capacity, CAST(1.0 AS DOUBLE) AS weight, b.budget AS parent_budget FROM mix_leaves l JOIN mix_b2 b ON l.domain = b.domain AND l.lang = b.lang),
+{spread("mix_b3", "mix_n3", "domain, lang", "source")},
+mix_plan AS (SELECT domain, lang, source, tokens, CAST(floor(round(budget, 3)) AS BIGINT) AS leaf_budget FROM mix_b3),
+mix_order AS (
+  SELECT r.*, leaf_budget, leaf_budget // tokens AS whole, leaf_budget % tokens AS rest, md5('{MIX_SEED}:' || (leaf_budget // tokens) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM mix_rows r JOIN mix_plan p ON r.domain = p.domain AND r.lang = p.lang AND r.source = p.source
+), mix_times AS (
+  SELECT *, whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS times FROM mix_order
+)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(CAST(times AS BIGINT))) AS epoch, leaf_budget FROM mix_times
+"""
+
+
+ORACLES["op7_mixing"] = mix_oracle("documents")
