@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 
 def score_quality(docs: DataFrame, network: Network, keys: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.7) -> DataFrame:
     """keys, score (0 to 1) and predicted (1 if score >= threshold) of every row."""
-    schema = docs.select(*keys).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keys).schema.add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
