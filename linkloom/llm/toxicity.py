@@ -54,6 +54,17 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both >> DIM_BITS, both & ((1 << DIM_BITS) - 1)
 
 
+def sample_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """`terms` of a list of texts, a bounded slice of them at a time."""
+    found, done = [], 0
+    for part in slices(pa.record_batch([pa.array(texts, pa.large_string())], names=["text"]), "text"):
+        row, feature = terms(part.column(0))
+        found.append((row + done, feature))
+        done += part.num_rows
+    rows, features = zip(*found)
+    return np.concatenate(rows), np.concatenate(features)
+
+
 @dataclass
 class Machine:
     bias: float
@@ -120,7 +131,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64,
         return m
     kept = first_of_kind(texts)
     texts, y = [texts[i] for i in kept], y[kept]
-    row, feature = terms(pa.array(texts, pa.large_string()))
+    row, feature = sample_terms(texts)
     often = telling(row, feature, y)
     row, feature = row[often[feature]], feature[often[feature]]
     m.factor[often] = rng.normal(0, 0.01, (int(often.sum()), FACTORS)).astype(np.float32)
@@ -172,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 def score_toxicity(docs: DataFrame, machine: Machine, keys: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.7) -> DataFrame:
     """keys, score (0 to 1) and predicted (1 if score >= threshold) of every row. The machine (5 MB,
     fixed by DIM_BITS and FACTORS) is broadcast."""
-    schema = docs.select(*keys).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keys).schema.add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
