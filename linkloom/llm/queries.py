@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontamination, language_id, license_scan, mixing, quality_cnn, quality_rules, token_counts, toxicity, url_filter
+from linkloom.llm import decontamination, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -272,3 +272,8 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(CAST(times AS BIGINT
 
 
 ORACLES["op7_mixing"] = mix_oracle("documents")
+
+
+@query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
