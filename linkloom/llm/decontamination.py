@@ -74,32 +74,32 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, threshold: float) -
     return materialized(full.groupBy("__key").agg(F.collect_list("item").alias("__items")))
 
 
-def judged(docs: DataFrame, found: DataFrame, text: str, how: str, threshold: float) -> DataFrame:
-    """docs with ``__leaks``: item_id, n_item, n_shared of every item that leaks into the row's text."""
-    keyed = docs.withColumn("__key", F.md5(F.col(text)))
-    rows = keyed.join(small(found), "__key", how).withColumn("__words", F.when(F.col("__items").isNotNull(), words_of(F.col(text))))
+def verified(rows: DataFrame, found: DataFrame, text: str, threshold: float) -> DataFrame:
+    """rows that are candidates, one for each item that does leak, with item_id, n_item and n_shared.
+
+    Each row's shingles are computed below the expansion into items, hence once."""
+    met = rows.withColumn("__key", F.md5(F.col(text))).join(small(found), "__key").withColumn("__words", words_of(F.col(text)))
     for w in range(1, WIDTH + 1):
-        used = F.exists("__items", lambda x: x["width"] == w)
-        rows = rows.withColumn(f"__s{w}", F.when(used, windows("__words", w, lambda s: F.array_join(s, " "))))
-    mine = lambda x: F.when(x["width"] == 1, F.col("__s1")).when(x["width"] == 2, F.col("__s2")).when(x["width"] == 3, F.col("__s3")).when(x["width"] == 4, F.col("__s4")).otherwise(F.col("__s5"))
-    held = F.transform(
-        "__items",
-        lambda x: F.struct(x["item_id"].alias("item_id"), F.size(x["shingles"]).cast("long").alias("n_item"), F.size(F.array_intersect(x["shingles"], mine(x))).cast("long").alias("n_shared")),
-    )
-    leaks = F.filter(held, lambda x: x["n_shared"] >= F.lit(threshold) * x["n_item"] - 1e-9)
-    return rows.withColumn("__leaks", leaks)
+        used = F.array_contains(F.transform("__items", lambda x: x["width"]), w)
+        met = met.withColumn(f"__s{w}", F.when(used, F.array_distinct(windows("__words", w, lambda s: F.array_join(s, " ")))))
+    pairs = met.drop("__words").withColumn("__item", F.explode("__items"))
+    own = F.coalesce(*[F.when(F.col("__item.width") == w, F.col(f"__s{w}")) for w in range(1, WIDTH + 1)])
+    n_item, n_shared = F.size("__item.shingles").cast("long"), F.size(F.array_intersect("__item.shingles", own)).cast("long")
+    pairs = pairs.withColumns({"item_id": F.col("__item.item_id"), "n_item": n_item, "n_shared": n_shared})
+    return pairs.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """keys, item_id, n_item, n_shared and containment of every document and item that leaks into it."""
     rows = docs.select(*dict.fromkeys((*keys, text)))
     found = candidates(rows, item_shingles(benchmark, item_id, item_text), text, threshold)
-    leaks = judged(rows, found, text, "inner", threshold).select(*keys, F.inline("__leaks"))
+    renamed = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"))
+    leaks = verified(renamed, found, "__text", threshold).select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "item_id", "n_item", "n_shared")
     return leaks.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, into which no benchmark item leaks."""
     found = candidates(docs.select(text), item_shingles(benchmark, item_id, item_text), text, threshold)
-    rows = judged(docs, found, text, "left", threshold)
-    return rows.where(F.coalesce(F.size("__leaks"), F.lit(0)) <= 0).select(*docs.columns)
+    leaky = verified(docs.select(F.col(text).alias("__text")), found, "__text", threshold).select("__key").distinct()
+    return docs.withColumn("__key", F.md5(F.col(text))).join(small(materialized(leaky)), "__key", "left_anti").select(*docs.columns)
