@@ -52,29 +52,26 @@ def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """h, item_id: the smallest hashes of each item, as many as its size partition needs."""
-    hashed = items.select("item_id", F.array_sort(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(F.split(s, " "))))).alias("hashes"), F.size("shingles").alias("n"))
+    """h, item_id, width: the smallest hashes of each item, as many as its size partition needs."""
+    hashed = items.select("item_id", "width", F.array_sort(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(F.split(s, " "))))).alias("hashes"), F.size("shingles").alias("n"))
     part = F.floor(F.log2(F.col("n").cast("double")))
     upper = F.pow(F.lit(2.0), part + 1) - 1
     need = F.floor((1 - F.lit(threshold)) * upper + 1e-9).cast("int") + 1
-    return hashed.select("item_id", F.explode(F.slice("hashes", F.lit(1), need)).alias("h"))
+    return hashed.select("item_id", "width", F.explode(F.slice("hashes", F.lit(1), need)).alias("h"))
 
 
 def candidates(docs: DataFrame, items: DataFrame, text: str, threshold: float) -> DataFrame:
-    """__key (of a text) and __items (id, width and shingles of each item that may leak into it)."""
-    items = materialized(items)
+    """__key (of a text), width and item_id of each item that may leak into it."""
     sketch = materialized(sketches(items, threshold))
     widths, limit = items.agg(F.collect_set("width")).first()[0], sketch.agg(F.max("h")).first()[0]
     rows = docs.select(F.md5(F.col(text)).alias("__key"), words_of(F.col(text)).alias("words"))
     hashes = F.concat(*[windows("words", w, F.xxhash64) for w in sorted(widths)]) if widths else F.array()
     probes = rows.select("__key", F.explode(F.filter(hashes.cast("array<bigint>"), lambda h: h <= F.lit(limit).cast("long"))).alias("h"))
-    met = probes.join(small(sketch), "h").select("__key", "item_id").distinct()
-    known = small(items).select(F.col("item_id").alias("known_id"), "width", "shingles")
-    full = met.join(known, F.col("item_id").eqNullSafe(F.col("known_id"))).select("__key", F.struct("item_id", "width", "shingles").alias("item"))
-    return materialized(full.groupBy("__key").agg(F.collect_list("item").alias("__items")))
+    met = probes.join(small(sketch), "h").groupBy("__key", "item_id").agg(F.first("width").alias("width"))
+    return materialized(met.groupBy("__key").agg(F.collect_list(F.struct("item_id", "width")).alias("__items")))
 
 
-def verified(rows: DataFrame, found: DataFrame, text: str, threshold: float) -> DataFrame:
+def verified(rows: DataFrame, found: DataFrame, items: DataFrame, text: str, threshold: float) -> DataFrame:
     """rows that are candidates, one for each item that does leak, with item_id, n_item and n_shared.
 
     Each row's shingles are computed below the expansion into items, hence once."""
@@ -83,23 +80,27 @@ def verified(rows: DataFrame, found: DataFrame, text: str, threshold: float) ->
         used = F.array_contains(F.transform("__items", lambda x: x["width"]), w)
         met = met.withColumn(f"__s{w}", F.when(used, F.array_distinct(windows("__words", w, lambda s: F.array_join(s, " ")))))
     pairs = met.drop("__words").withColumn("__item", F.explode("__items"))
-    own = F.coalesce(*[F.when(F.col("__item.width") == w, F.col(f"__s{w}")) for w in range(1, WIDTH + 1)])
-    n_item, n_shared = F.size("__item.shingles").cast("long"), F.size(F.array_intersect("__item.shingles", own)).cast("long")
-    pairs = pairs.withColumns({"item_id": F.col("__item.item_id"), "n_item": n_item, "n_shared": n_shared})
+    known = small(items).select(F.col("item_id").alias("__id"), F.col("width").alias("__width"), "shingles")
+    pairs = pairs.join(known, F.col("__item.item_id").eqNullSafe(F.col("__id")) & (F.col("__item.width") == F.col("__width")))
+    own = F.coalesce(*[F.when(F.col("__width") == w, F.col(f"__s{w}")) for w in range(1, WIDTH + 1)])
+    n_item, n_shared = F.size("shingles").cast("long"), F.size(F.array_intersect("shingles", own)).cast("long")
+    pairs = pairs.withColumns({"item_id": F.col("__id"), "n_item": n_item, "n_shared": n_shared})
     return pairs.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """keys, item_id, n_item, n_shared and containment of every document and item that leaks into it."""
     rows = docs.select(*dict.fromkeys((*keys, text)))
-    found = candidates(rows, item_shingles(benchmark, item_id, item_text), text, threshold)
+    items = materialized(item_shingles(benchmark, item_id, item_text))
+    found = candidates(rows, items, text, threshold)
     renamed = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(text).alias("__text"))
-    leaks = verified(renamed, found, "__text", threshold).select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "item_id", "n_item", "n_shared")
+    leaks = verified(renamed, found, items, "__text", threshold).select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "item_id", "n_item", "n_shared")
     return leaks.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, into which no benchmark item leaks."""
-    found = candidates(docs.select(text), item_shingles(benchmark, item_id, item_text), text, threshold)
-    leaky = verified(docs.select(F.col(text).alias("__text")), found, "__text", threshold).select("__key").distinct()
+    items = materialized(item_shingles(benchmark, item_id, item_text))
+    found = candidates(docs.select(text), items, text, threshold)
+    leaky = verified(docs.select(F.col(text).alias("__text")), found, items, "__text", threshold).select("__key").distinct()
     return docs.withColumn("__key", F.md5(F.col(text))).join(small(materialized(leaky)), "__key", "left_anti").select(*docs.columns)
