@@ -1 +1,284 @@
-"""Queries."""
+"""Queries over mentions, clusterings, splits and scores.
+
+The tables hold no mentions: rows of ``lineitem`` stand in for them, with parts as key clusters and
+suppliers as system clusters, ``embeddings`` for mention vectors and ``events`` for score tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkloom.operators import clustering, coref, metrics
+from linkloom.plans.registry import query, table
+from linkloom.plans.sentence_queries import TOKENS, document_tokens
+
+SHARES = {"dev": 0.025, "test": 0.05, "train": 0.925}
+
+
+def clusterings(spark: SparkSession, sf_dir: str, doc: str = "'all'") -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "lineitem").select(F.expr(doc).alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mention"), "l_partkey", "l_suppkey")
+    rows = rows.groupBy("doc", "mention").agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
+    return tuple(rows.select("doc", "mention", F.col(c).alias("cluster")) for c in "ks")
+
+
+def cells(doc: str = "'all'") -> str:
+    return f"""
+rows AS (SELECT {doc} AS doc, l_orderkey * 10 + l_linenumber AS mention, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+kc AS (SELECT doc, k, count(*) AS nk FROM rows GROUP BY ALL), sc AS (SELECT doc, s, count(*) AS ns FROM rows GROUP BY ALL),
+cells AS (SELECT doc, k, s, n, nk, ns FROM (SELECT doc, k, s, count(*) AS n FROM rows GROUP BY ALL) JOIN kc USING (doc, k) JOIN sc USING (doc, s))"""
+
+
+def scores_sql(p_num: str, p_den: str, r_num: str, r_den: str, doc: str = "'all'") -> str:
+    return f"""
+WITH {cells(doc)}, parts AS (SELECT ({p_num}) AS pn, ({p_den}) AS pd, ({r_num}) AS rn, ({r_den}) AS rd),
+pr AS (SELECT coalesce(pn / nullif(pd, 0), 0) AS p, coalesce(rn / nullif(rd, 0), 0) AS r FROM parts)
+SELECT round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM pr"""
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
+
+
+def metric(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return rounded(metrics.summed(metrics.by_document(*clusterings(spark, sf_dir), name)))
+
+
+@query(scores_sql("SELECT count(*) FROM rows", "SELECT count(*) FROM rows", "SELECT count(*) FROM rows", "SELECT count(*) FROM rows"))
+def metric_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric(spark, sf_dir, "mentions")
+
+
+@query(scores_sql("SELECT sum(n - 1) FROM cells", "SELECT sum(ns - 1) FROM sc", "SELECT sum(n - 1) FROM cells", "SELECT sum(nk - 1) FROM kc"))
+def metric_muc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric(spark, sf_dir, "muc")
+
+
+@query(scores_sql("SELECT sum(n * n / ns) FROM cells", "SELECT sum(ns) FROM sc", "SELECT sum(n * n / nk) FROM cells", "SELECT sum(nk) FROM kc"))
+def metric_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric(spark, sf_dir, "b3")
+
+
+LEA = "SELECT sum(CASE WHEN {0} = 1 THEN CASE WHEN {1} = 1 THEN 1 ELSE 0 END ELSE {0} * (n * (n - 1) / 2) / ({0} * ({0} - 1) / 2) END) FROM cells"
+
+
+@query(scores_sql(LEA.format("ns", "nk"), "SELECT sum(ns) FROM sc", LEA.format("nk", "ns"), "SELECT sum(nk) FROM kc"))
+def metric_lea(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric(spark, sf_dir, "lea")
+
+
+@query(f"""
+WITH {cells("l_returnflag")}, p AS (SELECT doc, sum(n - 1) AS num FROM cells GROUP BY doc)
+SELECT doc, CAST(num AS DOUBLE) AS p_num, CAST((SELECT sum(ns - 1) FROM sc WHERE sc.doc = p.doc) AS DOUBLE) AS p_den, CAST(num AS DOUBLE) AS r_num, CAST((SELECT sum(nk - 1) FROM kc WHERE kc.doc = p.doc) AS DOUBLE) AS r_den FROM p
+""")
+def metric_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.by_document(*clusterings(spark, sf_dir, "l_returnflag"), "muc")
+
+
+@query()
+def metric_ceafe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents: the matching is solved in each, the sums divided at the end."""
+    return rounded(metrics.summed(metrics.ceaf(*clusterings(spark, sf_dir, "l_orderkey"))))
+
+
+@query()
+def metric_ceafm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.summed(metrics.ceaf(*clusterings(spark, sf_dir, "l_orderkey"), entity=False)))
+
+
+@query()
+def metric_conll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.conll(*clusterings(spark, sf_dir, "l_orderkey")))
+
+
+@query("""
+WITH k AS (SELECT doc_id FROM labels WHERE quality = 1), s AS (SELECT doc_id FROM labels WHERE toxic = 0),
+t AS (SELECT (SELECT count(*) FROM k JOIN s USING (doc_id)) AS n, (SELECT count(*) FROM k) AS nk, (SELECT count(*) FROM s) AS ns)
+SELECT round(n / ns, 9) AS precision, round(n / nk, 9) AS recall, round(2 * (n / ns) * (n / nk) / (n / ns + n / nk), 9) AS f1 FROM t
+""")
+def metric_non_referring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select(F.lit("all").alias("doc"), F.col("doc_id").alias("mention"), "quality", "toxic")
+    return rounded(metrics.set_overlap(rows.where("quality = 1"), rows.where("toxic = 0")))
+
+
+@query("""
+WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn, count(*) FILTER (quality <> 1 AND toxic <> 1) AS tn FROM labels)
+SELECT tp, fp, fn, tn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM c
+""")
+def pairwise_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity read as a prediction of quality."""
+    b = metrics.binary(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return b.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query("SELECT event_type, user_id % 5 AS seed, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events GROUP BY ALL")
+def score_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("seed"), "value")
+    return metrics.mean_and_deviation(scores, ["event_type", "seed"], "value").select("event_type", "seed", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("SELECT event_type, " + ", ".join(f"round(avg(value) FILTER (user_id % 5 = {k}), 6) AS seed_{k}" for k in range(5)) + " FROM events GROUP BY event_type")
+def score_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", F.concat(F.lit("seed_"), F.col("user_id") % 5).alias("seed"), "value")
+    names = [f"seed_{k}" for k in range(5)]
+    return rows.groupBy("event_type").pivot("seed", names).agg(F.avg("value")).select("event_type", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("SELECT user_id, round(count(*) / sum(1 / value), 6) AS harmonic_mean FROM events WHERE value > 0 GROUP BY user_id")
+def score_hmean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.harmonic_mean(table(spark, sf_dir, "events"), ["user_id"], "value").select("user_id", F.round("harmonic_mean", 6).alias("harmonic_mean"))
+
+
+@query("SELECT event_type, max_by(event_id, (value, -event_id)) AS event_id, max(value) AS value FROM events GROUP BY event_type")
+def score_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scoring entry of each group, as when the best file of a tuning run is picked."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"), F.max("value").alias("value"))
+
+
+@query("SELECT a.label AS topic, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+def mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coref.mention_pairs(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "topic"), "topic", "vec_id")
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT a.label AS topic, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / sqrt(list_sum(list_transform(a.e, lambda x: x * x)) * list_sum(list_transform(b.e, lambda x: x * x))) AS score
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT topic, a, b, round(score, 5) AS score, round(1 / (1 + exp(-score)), 5) AS probability FROM p
+""")
+def pair_scores_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "topic")
+    return coref.scored_pairs(rows, "topic", "vec_id", "embedding").select("topic", "a", "b", F.round("score", 5).alias("score"), F.round("probability", 5).alias("probability"))
+
+
+@query("""
+WITH m AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY md5(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), l_orderkey * 10 + l_linenumber) AS i
+  FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem)),
+p AS (SELECT x.l_partkey, x.k AS a, y.k AS b, x.n, y.i - x.i AS d, x.i FROM m x JOIN m y ON x.l_partkey = y.l_partkey AND x.i < y.i)
+SELECT l_partkey, a, b FROM p WHERE (d - 1) * n - d * (d - 1) // 2 + i <= least(floor(6 * sqrt(n)), n * (n - 1) // 2)
+""")
+def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).distinct()
+    return coref.positive_pairs(rows, "l_partkey", "k")
+
+
+@query()
+def agglomerative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "topic")
+    return clustering.offset_labels(clustering.cluster_vectors(vectors, "topic", "vec_id", "embedding", 0.6), "topic", "vec_id")
+
+
+@query("SELECT l_partkey, count(*) AS mentions, count(*) = 1 AS singleton FROM lineitem GROUP BY 1")
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("mentions"), (F.count("*") == 1).alias("singleton"))
+
+
+@query("SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS mentions, count(*) FILTER (n = 1) AS singletons FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("clusters"), F.sum("n").alias("mentions"), F.count_if(F.col("n") == 1).alias("singletons"))
+
+
+@query(f"""
+WITH {TOKENS}, spans AS (
+  SELECT doc_id, sentence_idx, s AS "start", e AS "end" FROM (SELECT doc_id, sentence_idx, hi, s, unnest(range(s, least(s + 9, hi) + 1)) AS e FROM (SELECT doc_id, sentence_idx, max(token_idx) AS hi, unnest(range(max(token_idx) + 1)) AS s FROM tokens GROUP BY ALL))
+), scored AS (SELECT *, ("start" * 31 + "end" * 17 + sentence_idx * 7) % 101 AS score FROM spans),
+k AS (SELECT doc_id, CAST(floor(count(*) * 0.25) AS BIGINT) AS k FROM tokens GROUP BY doc_id)
+SELECT doc_id, sentence_idx, "start", "end", score FROM scored JOIN k USING (doc_id)
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_idx, "start", "end") <= k
+""")
+def topk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = (F.col("start") * 31 + F.col("end") * 17 + F.col("sentence_idx") * 7) % 101
+    return coref.top_spans(document_tokens(spark, sf_dir), "doc_id", "sentence_idx", "token_idx", score)
+
+
+NUMBERED = f"""
+{TOKENS}, numbered AS (SELECT doc_id, sentence_idx, token, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_idx, token_idx) - 1 AS pos FROM tokens),
+mentions AS (SELECT doc_id, pos AS s, least(pos + pos % 3, max(pos) OVER (PARTITION BY doc_id)) AS e, pos % 5 AS c FROM numbered QUALIFY pos % 7 = 0)"""
+
+
+def numbered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("doc_id").orderBy("sentence_idx", "token_idx")
+    return document_tokens(spark, sf_dir).select("doc_id", "sentence_idx", "token", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+
+
+@query(f"""
+WITH {NUMBERED}, marks AS (
+  SELECT doc_id, s AS pos, 0 AS kind, -e AS o, '(' || c || ')' AS t FROM mentions WHERE s = e UNION ALL SELECT doc_id, s, 1, -e, '(' || c FROM mentions WHERE s <> e UNION ALL SELECT doc_id, e, 2, -s, c || ')' FROM mentions WHERE s <> e
+), joined AS (SELECT doc_id, pos, string_agg(t, '|' ORDER BY kind, o, t) AS coref FROM marks GROUP BY ALL)
+SELECT doc_id, sentence_idx, pos, token, coalesce(coref, '-') AS coref FROM numbered LEFT JOIN joined USING (doc_id, pos)
+""")
+def conll_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh token opens a mention of one to three tokens."""
+    rows = numbered_tokens(spark, sf_dir)
+    last = rows.groupBy("doc_id").agg(F.max("pos").alias("last"))
+    mentions = rows.where("pos % 7 = 0").join(last, "doc_id").select("doc_id", F.col("pos").alias("start"), F.least(F.col("pos") + F.col("pos") % 3, "last").alias("end"), (F.col("pos") % 5).alias("cluster"))
+    return coref.conll_column(rows, mentions, "doc_id", "pos")
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, sentence_idx, pos, CASE WHEN lag(sentence_idx) OVER (PARTITION BY doc_id ORDER BY pos) = sentence_idx THEN '___' ELSE token END AS token FROM numbered")
+def conll_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coref.masked_tokens(numbered_tokens(spark, sf_dir), ["pos"], "sentence_idx", "token", "doc_id")
+
+
+@query("""
+WITH m AS (SELECT doc_id, k, (doc_id + k * 7) % 50 AS s, (doc_id + k * 7) % 50 + (k * 3) % 9 AS e FROM documents, range(20) t(k))
+SELECT doc_id, k, s, e FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.k <> m.k AND o.s <= m.s AND m.e <= o.e AND (o.s < m.s OR m.e < o.e OR o.k < m.k))
+""")
+def nested_mentions_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("k"))
+    s = (F.col("doc_id") + F.col("k") * 7) % 50
+    spans = rows.select("doc_id", "k", s.alias("s"), (s + (F.col("k") * 3) % 9).alias("e"))
+    return coref.without_nested(spans, "doc_id", "s", "e", "k").select("doc_id", "k", "s", "e")
+
+
+def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
+SPLITS = f"""
+events_ AS (SELECT l_partkey AS dst, count(*) AS n FROM lineitem GROUP BY 1),
+shares AS (SELECT dst, sum(n) OVER (ORDER BY md5(CAST(dst AS VARCHAR)), dst ROWS UNBOUNDED PRECEDING) / (SELECT sum(n) FROM events_) AS share FROM events_),
+splits AS (
+  SELECT l_orderkey AS src, ['dev', 'test', 'train'][min(CASE WHEN share <= {SHARES["dev"]!r} THEN 0 WHEN share <= {sum([SHARES["dev"], SHARES["test"]])!r} THEN 1 ELSE 2 END) + 1] AS split
+  FROM lineitem JOIN shares ON dst = l_partkey GROUP BY 1
+)"""
+
+
+@query(f"WITH {SPLITS} SELECT * FROM splits")
+def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coref.assign_splits(order_links(spark, sf_dir), "src", "dst", SHARES)
+
+
+@query(f"""
+WITH {SPLITS}, joined AS (SELECT src, l_partkey AS dst, split FROM lineitem JOIN splits ON src = l_orderkey)
+SELECT src, dst, split, count(*) AS n FROM joined WHERE dst NOT IN (SELECT dst FROM joined GROUP BY dst HAVING count(DISTINCT split) > 1) GROUP BY ALL
+""")
+def split_clusters_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = order_links(spark, sf_dir)
+    kept = coref.within_one_split(edges, coref.assign_splits(edges, "src", "dst", SHARES), "src", "dst")
+    return kept.groupBy("src", "dst", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_partkey AS dst, string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR)) AS pins, count(*) AS weight FROM lineitem GROUP BY 1")
+def hypergraph_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = coref.hyperedges(order_links(spark, sf_dir).withColumn("src", F.col("src").cast("string")), "src", "dst")
+    return h.select("dst", F.array_join("pins", ",").alias("pins"), "weight")
+
+
+@query()
+def split_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coref.balanced_partition(order_links(spark, sf_dir), "src", "dst", SHARES)
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")
+def anchor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reproducible sample of 100 rows; the limit is the operator."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return rows.orderBy(F.md5(F.concat(F.lit("0:"), "doc_id")), "doc_id").limit(100)
+
+
+@query("SELECT l_partkey AS dst, count(DISTINCT l_orderkey) AS in_degree FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) BETWEEN 28 AND 30")
+def subgraph_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = order_links(spark, sf_dir).distinct().groupBy("dst").agg(F.count("*").alias("in_degree"))
+    return targets.where("in_degree BETWEEN 28 AND 30")
