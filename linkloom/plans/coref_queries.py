@@ -181,7 +181,7 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {TOKENS}, spans AS (
-  SELECT doc_id, sentence_idx, s AS "start", e AS "end" FROM (SELECT doc_id, sentence_idx, hi, s, unnest(range(s, least(s + 9, hi) + 1)) AS e FROM (SELECT doc_id, sentence_idx, max(token_idx) AS hi, unnest(range(max(token_idx) + 1)) AS s FROM tokens GROUP BY ALL))
+  SELECT doc_id, sentence_idx, s AS "start", e AS "end" FROM (SELECT doc_id, sentence_idx, hi, s, unnest(range(s, least(s + 9, hi) + 1)) AS e FROM (SELECT doc_id, sentence_idx, max(token_idx) AS hi, unnest(range(max(token_idx) + 1)) AS s FROM tokens GROUP BY doc_id, sentence_idx))
 ), scored AS (SELECT *, ("start" * 31 + "end" * 17 + sentence_idx * 7) % 101 AS score FROM spans),
 k AS (SELECT doc_id, CAST(floor(count(*) * 0.25) AS BIGINT) AS k FROM tokens GROUP BY doc_id)
 SELECT doc_id, sentence_idx, "start", "end", score FROM scored JOIN k USING (doc_id)

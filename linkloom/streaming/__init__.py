@@ -1,0 +1 @@
+"""Kept empty on purpose: all operators are batch operators; there is no streaming query to mirror."""
