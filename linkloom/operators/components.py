@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.materialize import materialized
+from linkloom.operators.materialize import Scratch, saved
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -16,10 +16,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     neighbours are. Both keep components and turn them into stars in a number of rounds that grows
     with the logarithm of their size. A node with very many neighbours is only ever a grouping key
     of a minimum (pre-aggregated by task) and of a join with its one-row result, which Spark can
-    split. Each round is written to the checkpoint folder, so that lineage stays short.
+    split. Each round is written below the checkpoint folder, so that lineage stays short; only the
+    result stays there.
     Null nodes and self-loops are dropped; an empty table has no components."""
     links = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col("u") != F.col("v"))
-    links = materialized(links.distinct())
+    scratch = Scratch(edges.sparkSession)
+    links = scratch.keep(links.distinct())
     before = None
     while True:
         # Large step: link each larger neighbour to the minimum of the closed neighbourhood.
@@ -29,11 +31,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # Small step: link a node's smaller neighbours and itself to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialized(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        links = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         # The rounds end when the links no longer change: compared by count and an order-free digest.
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = saved(nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+    scratch.clear()
+    return out
