@@ -160,3 +160,12 @@ SELECT doc_id, sentence_idx, segment FROM fold
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = document_tokens(spark, sf_dir).groupBy("doc_id", "sentence_idx").agg(F.count("*").alias("n"))
     return sentences.segmented(sized, "doc_id", "sentence_idx", "n", 128)
+
+
+@query()
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and anchors of whole pages by the structural parse, list items being the containers."""
+    from linkloom.sources import html
+
+    rows = html.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html", container="li")
+    return rows.select("page_id", F.inline("links")).select("page_id", "sentence_idx", "chars_start", "chars_end", "to_url")
