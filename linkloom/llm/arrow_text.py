@@ -11,8 +11,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch on their way to a Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after making sure that its session sends at most `BATCH_ROWS` rows at a time to Python: with
+    whole documents in the rows, Spark's default of 10,000 takes hundreds of megabytes a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +53,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         end = max(start + 1, min(end, batch.num_rows))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def sums_by_row(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.arrow_text import mix, slices
+from linkloom.llm.arrow_text import mix, slices, small_batches
 
 ORDERS = (2, 3, 4)
 MIN_SHARE = 1e-5
@@ -184,7 +184,7 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
                         grams, n = np.unique(h, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], names=["k", "gram", "n"])
 
-    summed = picked.mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    summed = small_batches(picked).mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
     totals = {r["k"]: r["n"] for r in summed.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), UNKNOWN)
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, filters: Filters, keys: tuple[str, ...] = ("doc_id
                 names, score = shared.value.decide(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(names, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select(*dict.fromkeys((*keys, text))).mapInArrow(run, schema)
+    return small_batches(docs.select(*dict.fromkeys((*keys, text)))).mapInArrow(run, schema)
 
 
 def filter_languages(docs: DataFrame, filters: Filters, wanted: tuple[str, ...], min_score: float, text: str = "text") -> DataFrame:
@@ -233,4 +233,4 @@ def filter_languages(docs: DataFrame, filters: Filters, wanted: tuple[str, ...],
                 keep = pa.array([n in wanted and s >= min_score for n, s in zip(names, score.tolist())], pa.bool_())
                 yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from linkloom.llm.arrow_text import slices, utf8
+from linkloom.llm.arrow_text import slices, small_batches, utf8
 from linkloom.llm.labelled import labelled_sample
 from linkloom.llm.toxicity import first_of_kind, sigmoid
 
@@ -56,9 +56,13 @@ def lay_out(column: pa.Array) -> Blocks:
     return Blocks(data, first, count, position[None, :] < left[:, None])
 
 
-def responses(data: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Responses (block, window, filter) of filters[WIDTH, 256, FILTERS]."""
-    pairs = [(filters[j][:, None, :] + filters[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
+def tabulated(filters: np.ndarray) -> list[np.ndarray]:
+    """For each of a window's pair positions, the responses of filters[WIDTH, 256, FILTERS] to all pairs of bytes."""
+    return [(filters[j][:, None, :] + filters[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
+
+
+def responses(data: np.ndarray, pairs: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Responses (block, window, filter)."""
     codes = data[: len(data) // 2 * 2].reshape(-1, 2)
     codes = codes[:, 0].astype(np.int64) << 8 | codes[:, 1]
     n = (len(data) - WIDTH) // STRIDE
@@ -76,13 +80,15 @@ class Network:
     bias: np.ndarray
     head: np.ndarray
     constant: float | None = None
+    #: Filled by `scores` for a fitted network, which no longer changes.
+    pairs: list[np.ndarray] | None = None
 
     def filters(self) -> np.ndarray:
         return np.einsum("be,jef->jbf", self.embed, self.kernel).astype(np.float32)
 
     def pooled(self, b: Blocks) -> tuple[np.ndarray, np.ndarray]:
         """Each block's best rectified response by filter, and the window it stands at."""
-        r = responses(b.data, self.filters(), self.bias.astype(np.float32))
+        r = responses(b.data, self.pairs or tabulated(self.filters()), self.bias.astype(np.float32))
         # A text that isn't a whole number of blocks must not see what follows it.
         r[~b.valid] = 0
         at = r.argmax(axis=1)
@@ -107,6 +113,8 @@ class Network:
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(column), self.constant)
+        if self.pairs is None:
+            self.pairs = tabulated(self.filters())
         return sigmoid(self.features(lay_out(column))[0] @ self.head)
 
 
@@ -183,11 +191,11 @@ def score_quality(docs: DataFrame, network: Network, keys: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text):
                 score = shared.value.scores(part.column(text))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.select(*dict.fromkeys((*keys, text))).mapInArrow(run, schema)
+    return small_batches(docs.select(*dict.fromkeys((*keys, text)))).mapInArrow(run, schema)
 
 
 def keep_quality(docs: DataFrame, network: Network, threshold: float, text: str = "text") -> DataFrame:
@@ -196,7 +204,7 @@ def keep_quality(docs: DataFrame, network: Network, threshold: float, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text):
                 yield part.filter(pa.array(shared.value.scores(part.column(text)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linkloom.llm.arrow_text import joined, mix, range_hashes, slices
+from linkloom.llm.arrow_text import joined, mix, range_hashes, slices, small_batches
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -162,4 +162,4 @@ def clean_lines(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
                     columns.append(pa.array([b"\n".join(x).decode() if ok else None for x, ok in zip(lines, there)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*keys, text).mapInArrow(run, schema)
+    return small_batches(docs.select(*keys, text)).mapInArrow(run, schema)

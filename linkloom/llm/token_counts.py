@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linkloom.llm.arrow_text import slices, utf8
+from linkloom.llm.arrow_text import slices, small_batches, utf8
 
 SPACE = "▁"
 CHUNK = 768
@@ -213,7 +213,7 @@ def count_tokens(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 21):
                 _, offsets = utf8(part.column(text))
                 tokens = machine.counts(["" if t is None else t for t in part.column(text).to_pylist()])
                 columns = [part.column(k) for k in keys]
@@ -222,4 +222,4 @@ def count_tokens(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc
                     names=[*keys, "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select(*keys, text).mapInArrow(run, schema)
+    return small_batches(docs.select(*keys, text)).mapInArrow(run, schema)

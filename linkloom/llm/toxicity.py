@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
-from linkloom.llm.arrow_text import joined, mix, range_hashes, slices
+from linkloom.llm.arrow_text import joined, mix, range_hashes, slices, small_batches
 from linkloom.llm.labelled import labelled_sample
 
 DIM_BITS = 18
@@ -192,4 +192,4 @@ def score_toxicity(docs: DataFrame, machine: Machine, keys: tuple[str, ...] = ("
                 score = shared.value.scores(part.column(text))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.select(*dict.fromkeys((*keys, text))).mapInArrow(run, schema)
+    return small_batches(docs.select(*dict.fromkeys((*keys, text)))).mapInArrow(run, schema)
