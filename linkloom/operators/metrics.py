@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -117,8 +117,12 @@ def ceaf(key: DataFrame, system: DataFrame, entity: bool = True) -> DataFrame:
     ``2n / (|k| + |s|)`` and numbers of clusters, or by n and numbers of mentions.
 
     Clusters that share no mention have weight 0, so each connected part of a document's sparse
-    matching is solved by itself."""
-    cells = contingency(key, system)
+    matching is solved by itself. A pair of clusters that meet no others is a part with one solution
+    and stays in the JVM; only the rest is solved in Python, document by document."""
+    alone = lambda c: F.count("*").over(Window.partitionBy("doc", c)) == 1
+    cells = contingency(key, system).withColumn("alone", alone("k") & alone("s"))
+    weight = 2 * F.col("n") / (F.col("nk") + F.col("ns")) if entity else F.col("n").cast("double")
+    single = cells.where("alone").groupBy("doc").agg(F.sum(weight).alias("num"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         total = 0.0
@@ -131,7 +135,8 @@ def ceaf(key: DataFrame, system: DataFrame, entity: bool = True) -> DataFrame:
         return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "num": [total]})
 
     schema = key.select("doc").schema.add("num", "double")
-    best = cells.groupBy("doc").applyInPandas(run, schema)
+    solved = cells.where("NOT alone").drop("alone").groupBy("doc").applyInPandas(run, schema)
+    best = single.unionByName(solved).groupBy("doc").agg(F.sum("num").alias("num"))
     count = F.countDistinct("cluster") if entity else F.count("*")
     k = key.groupBy("doc").agg(count.cast("double").alias("r_den"))
     s = system.groupBy("doc").agg(count.cast("double").alias("p_den"))
