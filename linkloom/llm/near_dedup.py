@@ -9,11 +9,15 @@ texts that share a part j of their k-mers a sketch agrees with probability of ab
 j = 0.8 all 32 sketches miss a pair once in 10 ** 9 or so.
 
 Candidates are verified by the word edit distance inside a band: texts are linked when it is at most
-``1 - threshold`` of the longer one's words. Exact copies count once from the start. In a bucket
-texts are compared with a few representatives only, not with all others, in rounds: what is linked
-becomes one part (a connected component), for which one member speaks from then on. The first round
-uses a few sketches, the others all; they end when a round adds no more than a thousandth of the
-links so far, at any size of the corpus (what is left then has few k-mers in common). Buckets with a third of all rows are pre-aggregated minima and joins that
+``1 - threshold`` of the longer one's words. Exact copies count once from the start. Rounds first
+gather large groups cheaply: in a bucket texts are compared with a few representatives, what is
+linked becomes one part (a connected component), and one member speaks for it from then on. The
+first round uses a few sketches, the others all, until a round adds no more than a thousandth of the
+links so far. Then `unsettled` lists every pair of texts that share a bucket, have fitting lengths,
+lie in different parts and were not tested, and all of them are: no pair of a bucket is left out. In
+large buckets it lists only pairs that share one of their rarest words, which similar texts must
+(texts of n words with at most d edits share all but d of them, so one of the d + 1 that come first
+in any order of words). Buckets with a third of all rows are pre-aggregated minima and joins that
 Spark can split; no group is ever collected.
 
 Results: one row per document with class_id, the smallest doc_id of its class, and class_size. Null
@@ -45,8 +49,12 @@ THRESHOLD = 0.8
 FIRST_SKETCHES = 4
 #: Representatives of a bucket in each round after the first.
 LATER_HEADS = 8
-#: Rounds end when one adds no more than one link in so many.
+#: Rounds end, and all other pairs are listed, when one adds no more than one link in so many.
 ENOUGH = 1000
+#: In buckets of more texts pairs are listed by their rarest words.
+HOT_BUCKET = 64
+#: Texts that rank words by frequency, about, and words that are ranked. Any order is exact.
+RANKING_TEXTS, RANKED_WORDS = 2000, 50_000
 #: Sides of joins up to this many rows are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -58,7 +66,7 @@ _SALT = mix(np.arange(501, 501 + SKETCHES, dtype=np.uint64))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def kmers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kmers(column: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words per row, and row and hash of all occurrence-labelled k-mers in text order."""
     data, starts, _ = joined(pc.utf8_lower(column))
     edge = np.diff(np.concatenate(([False], _is_word[data], [False])).astype(np.int8))
@@ -67,15 +75,15 @@ def kmers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_words = np.bincount(w_row, minlength=len(starts))
     with np.errstate(over="ignore"):
         h = range_hashes(data, begin, end)
-        m = max(0, len(h) - K + 1)
+        m = max(0, len(h) - k + 1)
         sums = np.zeros(m, np.uint64)
-        for j in range(K):
+        for j in range(k):
             sums += h[j : j + m] * _ODD[j]
         whole = np.flatnonzero(w_row[:m] == w_row[len(w_row) - m :])
-        short = np.flatnonzero((n_words > 0) & (n_words < K))
+        short = np.flatnonzero((n_words > 0) & (n_words < k))
         first = np.searchsorted(w_row, short)
         few = np.zeros(len(short), np.uint64)
-        for j in range(K - 1):
+        for j in range(k - 1):
             there = n_words[short] > j
             few[there] += h[first[there] + j] * _ODD[j]
         row = np.concatenate((w_row[whole], short))
@@ -217,24 +225,106 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
     return small_batches(both.select("node", "head", "left", "right")).mapInArrow(run, "node long, head long").distinct()
 
 
+def rare_words(docs: DataFrame, nodes: DataFrame, text: str, threshold: float) -> DataFrame:
+    """node, token: of each of the texts nodes, the first words in an order from rare to frequent, one
+    more than a similar text can lack. A repeated word is another one each time. nodes must be cheap
+    to count."""
+    n = nodes.count()
+    rows = docs.select(F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = rows.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
+
+    def tokens(firsts: bool, known: np.ndarray | None = None, rank: np.ndarray | None = None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    n_words, row, code = kmers(part.column("text"), 1)
+                    code = code.view(np.int64)
+                    if firsts:
+                        place = np.zeros(len(code), np.int64)
+                        if len(known):
+                            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                            place = np.where(known[at] == code, rank[at], 0)
+                        by = np.lexsort((code, place, row))
+                        row, code = row[by], code[by]
+                        begin = np.cumsum(n_words) - n_words
+                        limit = ((1 - threshold) * n_words + 1e-9).astype(np.int64)
+                        first = np.arange(len(row)) - begin[row] <= limit[row]
+                        row, code = row[first], code[first]
+                    yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), pa.array(code)], names=["node", "token"])
+
+        return run
+
+    some = small_batches(rows.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // RANKING_TEXTS))) == 0)).mapInArrow(tokens(False), "node long, token long")
+    common = some.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED_WORDS).collect()
+    common.sort(key=lambda r: r.token)
+    known, rank = (np.array([r[i] for r in common], np.int64) for i in range(2))
+    return small_batches(rows).mapInArrow(tokens(True, known, rank), "node long, token long").distinct()
+
+
+def unsettled(shared: DataFrame, known: DataFrame, tested: DataFrame, docs: DataFrame, text: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """node, head and their parts: all pairs of a bucket in different parts that may be similar, but those tested.
+
+    Members of one part never meet: the parts under a key are paired first, then their members."""
+    rows = shared.select("bucket", "node").join(known, "node")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("bucket", "n")
+    rows = scratch.keep(rows.join(sizes, "bucket"))
+    hot = rows.where(F.col("n") > HOT_BUCKET)
+    found = [rows.where(F.col("n") <= HOT_BUCKET).select(F.col("bucket").alias("key"), "node", "part", "words")]
+    nodes = scratch.keep(hot.select("node").distinct())
+    if not nodes.isEmpty():
+        tokens = scratch.keep(rare_words(docs, nodes, text, threshold))
+        keyed = hot.join(tokens, "node").select(F.xxhash64("bucket", "token").alias("key"), "node", "part", "words")
+        found.append(keyed)
+    pairs = None
+    for keyed in found:
+        several = keyed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
+        keyed = scratch.keep(keyed.join(several, "key"))
+        parts = keyed.select("key", "part").distinct()
+        sides = parts.withColumnRenamed("part", "node_part").join(parts.withColumnRenamed("part", "head_part"), "key").where("node_part < head_part")
+        for side in ("node", "head"):
+            members = keyed.select("key", F.col("part").alias(f"{side}_part"), F.col("node").alias(side), F.col("words").alias(f"{side}_words"))
+            sides = sides.join(members, ["key", f"{side}_part"])
+        fits = F.least("node_words", "head_words") >= F.lit(threshold) * F.greatest("node_words", "head_words") - 1e-9
+        # Pairs are named with the lesser text first, as in the rounds.
+        turned = F.col("node") > F.col("head")
+        names = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("node", "head"), ("head", "node"), ("node_part", "head_part"), ("head_part", "node_part"))]
+        sides = sides.where(fits).select(*names).distinct()
+        pairs = sides if pairs is None else pairs.unionByName(sides).distinct()
+    return scratch.keep(pairs.join(tested, ["node", "head"], "left_anti"))
+
+
 def components(nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: float, scratch: Scratch) -> DataFrame:
     """node, component of every text; a text that is linked to none is its own component."""
-    sketches = nodes.where(F.col("sketch").isNotNull()).select("node", "sketch")
+    rows = nodes.where(F.col("sketch").isNotNull()).select("node", F.posexplode("sketch").alias("place", "bucket"))
+    # Only buckets of several texts matter.
+    shared = scratch.keep(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"))
     known = nodes.select("node", "words", F.col("node").alias("part"))
     tested, total = None, 0
+
+    def settle(known: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """known after the pairs that are similar are linked, and their number."""
+        new = scratch.keep(verified(pairs.select("node", "head"), docs, nodes, key, text, threshold))
+        n = new.count()
+        if n:
+            # Only parts that a new link joins are contracted; names of parts are carried over.
+            joins = pairs.join(new, ["node", "head"], "left_semi").select("node_part", "head_part")
+            merged = connected_components(joins, "node_part", "head_part").select(F.col("node").alias("part"), "component")
+            known = scratch.keep(known.join(merged, "part", "left").select("node", "words", F.coalesce("component", "part").alias("part")))
+        return known, n
+
     for turn in range(1 << 30):
         # Large groups of near copies agree in most sketches: the first few of them gather such a group
         # into one part, and from then on one member of each part speaks for it in a bucket, another
         # one in each round. Representatives are the least names under a mask.
+        short = Scratch(docs.sparkSession)
         masks = [F.xxhash64(F.lit(turn), F.lit(k)) for k in range(1 if turn == 0 else LATER_HEADS)]
-        used = F.slice("sketch", 1, FIRST_SKETCHES) if turn == 0 else F.col("sketch")
-        rows = sketches.join(known, "node").select("node", "part", F.explode(used).alias("bucket"))
-        spoken = rows.groupBy("bucket", "part").agg(F.min(F.col("node").bitwiseXOR(masks[0])).alias("least"))
-        members = scratch.keep(spoken.select("bucket", F.col("least").bitwiseXOR(masks[0]).alias("node")))
+        used = shared.where(F.col("place") < FIRST_SKETCHES) if turn == 0 else shared
+        spoken = used.join(known, "node").groupBy("bucket", "part").agg(F.min(F.col("node").bitwiseXOR(masks[0])).alias("least"))
+        members = short.keep(spoken.select("bucket", F.col("least").bitwiseXOR(masks[0]).alias("node")))
         least = members.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min(F.col("node").bitwiseXOR(m)).alias(f"m{k}") for k, m in enumerate(masks)])
         heads = F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(m) for k, m in enumerate(masks)]))
         heads = least.where("n > 1").select("bucket", heads.alias("heads"))
-        heads = scratch.keep(heads.select("bucket", "heads", F.explode("heads").alias("head")))
+        heads = short.keep(heads.select("bucket", "heads", F.explode("heads").alias("head")))
         # Two representatives meet once, not from either side.
         once = F.when(F.array_contains("heads", F.col("node")), F.col("node") < F.col("head")).otherwise(True)
         pairs = members.join(heads, "bucket").where(once).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
@@ -244,17 +334,14 @@ def components(nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold
             pairs = pairs.join(known.select(F.col("node").alias(side), F.col("words").alias(f"{side}_words"), F.col("part").alias(f"{side}_part")), side)
         fits = F.least("node_words", "head_words") >= F.lit(threshold) * F.greatest("node_words", "head_words") - 1e-9
         pairs = scratch.keep(pairs.where(fits & (F.col("node_part") != F.col("head_part"))).select("node", "head", "node_part", "head_part"))
-        new = scratch.keep(verified(pairs.select("node", "head"), docs, nodes, key, text, threshold))
-        n = new.count()
-        if n:
-            # Only parts that a new link joins are contracted; names of parts are carried over.
-            joins = pairs.join(new, ["node", "head"], "left_semi").select("node_part", "head_part")
-            merged = connected_components(joins, "node_part", "head_part").select(F.col("node").alias("part"), "component")
-            known = scratch.keep(known.join(merged, "part", "left").select("node", "words", F.coalesce("component", "part").alias("part")))
+        known, n = settle(known, pairs)
+        short.clear()
         total += n
-        if turn and n * ENOUGH <= total:
-            return known.select("node", F.col("part").alias("component"))
         tested = pairs.select("node", "head") if tested is None else tested.unionByName(pairs.select("node", "head"))
+        if turn and n * ENOUGH <= total:
+            break
+    known, _ = settle(known, unsettled(shared, known, tested, docs, text, threshold, scratch))
+    return known.select("node", F.col("part").alias("component"))
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

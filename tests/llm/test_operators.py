@@ -14,6 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from linkloom.llm import decontamination, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, toxicity, url_filter  # noqa: E402
+from linkloom.operators.materialize import Scratch  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -282,6 +283,36 @@ def test_near_duplicates_by_hand(spark):
     assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == set(least.values())
 
 
+@pytest.mark.parametrize("hot", [8, 1000])
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch, hot):
+    # One bucket of many parts: pairs of similar texts that miss all representatives are linked too.
+    monkeypatch.setattr(near_dedup, "HOT_BUCKET", hot)
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(60)]
+    passage = prose(12, rng, words)
+    rows = []
+    for g in range(60):
+        own = prose(rng.choice([2, 20, 28]), rng, words).split()
+        rows.append((2 * g, " ".join(own) + " " + passage))
+        own[rng.randrange(len(own))] = "changed"
+        rows.append((2 * g + 1, " ".join(own) + " " + passage))
+    docs = frame(spark, rows)
+    nodes = docs.select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("id"), F.size(F.split("text", " ")).alias("words"), F.array(F.lit(7).cast("long")).alias("sketch"))
+    scratch = Scratch(spark)
+    got = {r.id: r.component for r in near_dedup.components(nodes, docs, "doc_id", "text", 0.8, scratch).join(nodes, "node").collect()}
+    scratch.clear()
+    lists = {i: near_dedup.word_list(t)[0] for i, t in rows}
+    root = {i: i for i in lists}
+    for i in lists:
+        for j in lists:
+            longest = max(len(lists[i]), len(lists[j]))
+            if i < j and root[i] != root[j] and distance_by_hand(lists[i], lists[j]) <= int(0.2 * longest + 1e-9):
+                old = root[j]
+                root = {k: root[i] if r == old else r for k, r in root.items()}
+    classes = lambda of: {frozenset(i for i in of if of[i] == c) for c in of.values()}
+    assert classes(got) == classes(root) and 20 < len(classes(root)) < 110
+
+
 def test_near_duplicates_of_repeated_rows_and_nulls(spark):
     docs = frame(spark, [(3, "Same text."), (3, "Same text."), (None, "Same text."), (4, None), (6, None), (7, "")])
     got = sorted(((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()), key=str)
