@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import clustering, coref, dedup, links, metrics, pages, sentences
 from linkloom.operators.components import connected_components
+from linkloom.plans import dedup_queries
 from linkloom.plans.stages import Stage, run_stages
 from linkloom.sources import tables
 from linkloom.sources.html import parse_page
@@ -164,6 +165,20 @@ def test_tfidf_pairs_match_all_pairs(spark):
     assert {(r.a, r.b) for r in dedup.cosine_pairs(w, "k", 0.2).collect()} == want
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_all_pairs_of_buckets(spark, monkeypatch, block):
+    # Pairs of documents that share a bucket without its least member's agreement, and copies.
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block)
+    rng = random.Random(5)
+    first = [rng.randrange(9) for _ in range(16)]
+    signs = {i: first + [rng.randrange(2) for _ in range(112)] for i in range(25)} | {30 + i: first + [7] * 112 for i in range(4)}
+    got = {(r.src, r.dst): r.similarity for r in dedup_queries.all_pairs(spark.createDataFrame(list(signs.items()), "k long, signature array<long>"), "k").collect()}
+    agree = lambda a, b: sum(x == y for x, y in zip(signs[a], signs[b]))
+    least = [i for i in signs if i <= 30]
+    want = {(a, b): round(agree(a, b) / 128, 6) for a in least for b in least if a > b and agree(a, b) > 64} | {(i, 30): 1.0 for i in (31, 32, 33)}
+    assert got == pytest.approx(want, abs=2e-6) and len(want) > 100
+
+
 def test_stage_runner(spark):
     df = spark.range(3)
     double = Stage("double", ("x",), ("y",), lambda x: {"y": x.select((F.col("id") * 2).alias("id"))}, keep=True)
