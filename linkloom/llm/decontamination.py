@@ -67,7 +67,8 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, threshold: float) -
     rows = docs.select(F.md5(F.col(text)).alias("__key"), words_of(F.col(text)).alias("words"))
     hashes = F.concat(*[windows("words", w, F.xxhash64) for w in sorted(widths)]) if widths else F.array()
     probes = rows.select("__key", F.explode(F.filter(hashes.cast("array<bigint>"), lambda h: h <= F.lit(limit).cast("long"))).alias("h"))
-    met = probes.join(small(sketch), "h").groupBy("__key", "item_id").agg(F.first("width").alias("width"))
+    # Rows that share an item id, or have none, may differ in width: each is verified in its own.
+    met = probes.join(small(sketch), "h").select("__key", "item_id", "width").distinct()
     return materialized(met.groupBy("__key").agg(F.collect_list(F.struct("item_id", "width")).alias("__items")))
 
 

@@ -177,6 +177,18 @@ def test_decontamination_by_hand(spark):
     assert decontamination.decontaminate(frame(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_of_repeated_and_null_item_ids(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    for item in (7, None):
+        short, long = "blue stone", prose(20, rng, words)
+        bench = spark.createDataFrame([(item, short), (item, long)], "item_id long, text string")
+        docs = frame(spark, [(1, prose(30, rng, words) + " " + short), (2, long + " " + prose(30, rng, words)), (3, short + " " + long), (4, "blue " + long + " stone")])
+        got = sorted((r.doc_id, r.n_item) for r in decontamination.find_leaks(docs, bench).collect())
+        assert got == [(1, 1), (2, 16), (3, 1), (3, 16), (4, 16)]
+        assert decontamination.decontaminate(docs, bench).count() == 0
+
+
 def test_url_rules(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "/de/"), ("allow", "a.com", "/de/x")]
     rows = [(1, "http://X.example.ORG/es/1"), (2, "http://example.org"), (3, "http://a.com/de/xy?q"), (4, "http://b.com/de/x"), (5, None), (6, "nothing"), (7, "http://m.free-bets.example.net/"), (8, "http://notexample.org/es/"), (8, "http://notexample.org/es/")]
