@@ -47,7 +47,8 @@ class Blocks:
 def lay_out(column: pa.Array) -> Blocks:
     raw, offsets = utf8(column)
     sizes = np.diff(offsets)
-    count = np.maximum(1, -(-sizes // BLOCK_BYTES))
+    # The last window of a text ends in zeros of its own, not in the next text.
+    count = -(-(sizes + WIDTH - STRIDE) // BLOCK_BYTES)
     first = np.cumsum(count) - count
     data = np.zeros(int(count.sum()) * BLOCK_BYTES + WIDTH, np.uint8)
     data[np.arange(len(raw)) + np.repeat(first * BLOCK_BYTES - offsets[:-1], sizes)] = raw

@@ -252,6 +252,21 @@ def test_quality_network_covers_whole_texts():
     assert net.scores(pa.array([long + " x***y%%%" * 3000], pa.large_string()))[0] < net.scores(pa.array([long], pa.large_string()))[0] - 0.1
 
 
+@pytest.mark.parametrize("length", [*range(250, 258), *range(506, 514)])
+def test_quality_scores_ignore_neighbours(length):
+    import pyarrow as pa
+
+    net = quality_cnn.fit([prose(20, random.Random(i)) if i % 2 else "### *** %%%" * (i + 1) for i in range(12)], [i % 2 for i in range(12)])
+    text = (prose(200, random.Random(3)))[:length]
+    layouts = [[text], [text, "%%%***###"], [text, "zzzzzzzz"], ["x", text, "\x7f~}|{`_^"]]
+    parts = [quality_cnn.lay_out(pa.array(t, pa.large_string())) for t in layouts]
+    seen = [net.features(b)[0][t.index(text)] for b, t in zip(parts, layouts)]
+    assert all((x == seen[0]).all() for x in seen)
+    for b, t in zip(parts, layouts):
+        at = b.first[t.index(text)] * quality_cnn.BLOCK_BYTES + length
+        assert not b.data[at : at + quality_cnn.WIDTH - quality_cnn.STRIDE].any()
+
+
 def distance_by_hand(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
