@@ -8,35 +8,44 @@ one bucket. Because order counts, agreement follows edit similarity rather than
 texts that share a part j of their k-mers a sketch agrees with probability of about j ** 3: at
 j = 0.8 all 32 sketches miss a pair once in 10 ** 9 or so.
 
-Candidates are verified by the word edit distance inside a band: texts are linked when it is at most
-``1 - threshold`` of the longer one's words. Exact copies count once from the start. Rounds first
-gather large groups cheaply: in a bucket texts are compared with a few representatives, what is
-linked becomes one part (a connected component), and one member speaks for it from then on. The
-first round uses a few sketches, the others all, until a round adds no more than a thousandth of the
-links so far. Then `unsettled` lists every pair of texts that share a bucket, have fitting lengths,
-lie in different parts and were not tested, and all of them are: no pair of a bucket is left out. In
-large buckets it lists only pairs that share one of their rarest words, which similar texts must
-(texts of n words with at most d edits share all but d of them, so one of the d + 1 that come first
-in any order of words). Buckets with a third of all rows are pre-aggregated minima and joins that
-Spark can split; no group is ever collected.
+Candidates are texts that share a bucket; they are linked when their word edit distance, found
+inside a band, is at most ``1 - threshold`` of the longer one's words. Exact copies count once from
+the start. Every pair of a bucket is decided, in an order that leaves few of them to test:
+
+* first each member of a bucket is tested against one representative, and what is linked becomes one
+  part (a connected component). Only buckets that still hold several parts go on;
+* while that finds links and many pairs remain, one speaker of each part is tested against another
+  representative;
+* then `settled` tests every remaining pair of a bucket that lies in different parts. The texts of
+  small buckets share cells of bounded size; a large bucket is dealt in blocks over many cells, and
+  large buckets that hold the same texts are dealt together, so that a text travels once for each
+  block it meets. Only links leave a cell. This step is the one part whose work grows with the
+  square of something: the texts of a bucket that stay in different parts.
+
+Buckets with a third of all rows are pre-aggregated minima and joins that Spark can split; no group
+is ever collected.
 
 Results: one row per document with class_id, the smallest doc_id of its class, and class_size. Null
 texts and texts without words are only ever equal to exact copies (null ones to nothing); repeated
-rows are copies; null ids never become class ids unless the class has no other. A text is named by
-its 64-bit hash: among ten billion distinct texts about three would meet by chance.
+rows are copies; null ids never become class ids unless the class has no other. Ties cannot arise:
+classes are components, whatever the order of tests. An empty table gives an empty result. Very long
+texts take memory in proportion to their length (`edit_distance` says how long they take). Extra
+columns are not read by `near_duplicates` and pass `drop_near_duplicates` untouched, whatever their
+names. A text is named by its 64-bit hash: among ten billion distinct texts about three would meet by
+chance.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow_text import joined, mix, range_hashes, slices, small_batches
@@ -45,17 +54,16 @@ from linkloom.operators.materialize import Scratch, saved
 
 K, SKETCHES, MINIMA = 5, 32, 3
 THRESHOLD = 0.8
-#: Sketches of the first round.
-FIRST_SKETCHES = 4
-#: Representatives of a bucket in each round after the first.
-LATER_HEADS = 8
-#: Rounds end, and all other pairs are listed, when one adds no more than one link in so many.
-ENOUGH = 1000
-#: In buckets of more texts pairs are listed by their rarest words.
-HOT_BUCKET = 64
-#: Texts that rank words by frequency, about, and words that are ranked. Any order is exact.
-RANKING_TEXTS, RANKED_WORDS = 2000, 50_000
-#: Sides of joins up to this many rows are broadcast.
+#: Bytes of text in one cell of `settled`, about (a cell of two blocks holds twice as much).
+CELL_BYTES = 1 << 21
+#: Rounds with speakers go on while at least one test in so many finds a link and at least so many
+#: pairs a row are left.
+FRUITFUL, MANY = 10, 4
+#: Words of a block of `Places`.
+BLOCK = 2048
+#: The first band of an alignment; each further one is four times as wide.
+BAND = 32
+#: Sides of joins up to this many rows of a few numbers are broadcast.
 BROADCAST_ROWS = 200_000
 
 _is_word = np.zeros(256, bool)
@@ -130,11 +138,38 @@ def sketch(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray | None]]:
     return n_words, signs
 
 
-def edit_distance(a: list[int], b: list[int], limit: int) -> int:
+class Places:
+    """Where each word of a sequence stands, as bits by blocks of `BLOCK` places, so that memory follows
+    the sequence's length whatever it holds."""
+
+    def __init__(self, words: list):
+        found: dict = {}
+        for i, x in enumerate(words):
+            block, at = divmod(i, BLOCK)
+            blocks, bits = found.setdefault(x, ([], []))
+            if blocks and blocks[-1] == block:
+                bits[-1] |= 1 << at
+            else:
+                blocks.append(block)
+                bits.append(1 << at)
+        self.found = found
+
+    def within(self, word, start: int, width: int) -> int:
+        """Bit t is set where the word stands at start + t, for t below width or a little more."""
+        blocks, bits = self.found.get(word, ((), ()))
+        out = 0
+        for k in range(bisect_left(blocks, start // BLOCK), bisect_right(blocks, (start + width - 1) // BLOCK)):
+            shift = blocks[k] * BLOCK - start
+            out |= bits[k] << shift if shift >= 0 else bits[k] >> -shift
+        return out
+
+
+def edit_distance(a: list, b: list, limit: int) -> int:
     """The edit distance of two sequences if it is at most limit, else limit + 1.
 
-    Bit-parallel over a band of diagonals: a column's vertical differences inside the band are the
-    bits of two integers, and the band moves down one row with each column."""
+    What the ends share is cut off, then bands of growing width are tried. n words with d edits take
+    about n * d / 64 machine steps: half a million words with a few hundred edits some seconds, with
+    an edit in every fifth word a few minutes; memory follows n."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -148,43 +183,52 @@ def edit_distance(a: list[int], b: list[int], limit: int) -> int:
         return limit + 1
     if not b or limit == 0:
         return len(a) if len(a) <= limit else limit + 1
-    band = min(limit, len(a))
+    places = Places(a)
+    band = min(limit, len(a), max(BAND, len(a) - len(b)))
+    while (found := banded(len(a), b, places, band)) > band < min(limit, len(a)):
+        band = min(limit, len(a), 4 * band)
+    return min(found, limit + 1)
+
+
+def banded(rows: int, b: list, places: Places, band: int) -> int:
+    """The edit distance of b and a sequence of at least its length if it is at most band, else more.
+
+    Bit-parallel over a band of diagonals: a column's vertical differences inside the band are the
+    bits of two integers, and the band moves down one row with each column."""
     width = 2 * band + 1
     mask = (1 << width) - 1
-    rows: dict[int, int] = {}
-    for i, x in enumerate(a):
-        rows[x] = rows.get(x, 0) | 1 << i
-    # Bit width - 1 is the band's last row; the score follows that row down to the end of a, then
-    # the last row of a to the end of b.
+    # Bit width - 1 is the band's last row; the score follows that row down to the end of the longer
+    # sequence, then its last row to the end of b.
     positive, negative, score = mask >> band << band & mask, 0, band
     corner, along = 1 << (width - 1), 1 << (width - 2)
     shift = band + 1 - width
     for j, x in enumerate(b):
-        met = rows.get(x, 0)
-        met = (met >> shift if shift >= 0 else met << -shift) & mask
+        met = places.within(x, shift, width) & mask
         shift += 1
         diagonal = ((((met & positive) + positive) ^ positive) | met | negative) & mask
         up = negative | ~(diagonal | positive) & mask
         down = diagonal & positive
-        if j < len(a) - band:
+        if j < rows - band:
             score += not diagonal & corner
         else:
             score += bool(up & along) - bool(down & along)
             along >>= 1
         positive = (down | ~((diagonal >> 1) | up)) & mask
         negative = (diagonal >> 1) & up
-    return min(score, limit + 1)
+    return score
+
 
+Words = tuple[list[str], Counter]
 
-@lru_cache(maxsize=64)
-def word_list(text: str) -> tuple[list[str], Counter]:
+
+def words_of(text: str) -> Words:
     words = _WORD.findall(text.lower())
     return words, Counter(words)
 
 
-def similar(left: str, right: str, threshold: float) -> bool:
+def similar(left: Words, right: Words, threshold: float) -> bool:
     """Whether the word edit distance is at most 1 - threshold of the longer text's words."""
-    (a, bag_a), (b, bag_b) = word_list(left), word_list(right)
+    (a, bag_a), (b, bag_b) = left, right
     longest = max(len(a), len(b))
     limit = int((1 - threshold) * longest + 1e-9)
     if abs(len(a) - len(b)) > limit or longest - (bag_a & bag_b).total() > limit:
@@ -193,163 +237,155 @@ def similar(left: str, right: str, threshold: float) -> bool:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """node (the text's hash), id, words and sketch (null without words) of every row."""
-    rows = docs.select(F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("node"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """node (the text's hash), id, bytes, words and sketch (null without words) of every row."""
+    rows = docs.select(F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("node"), F.col(key).cast("long").alias("id"), F.octet_length(text).cast("long").alias("bytes"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 n_words, signs = sketch(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("id"), pa.array(n_words.astype(np.int32)), pa.array(signs, pa.list_(pa.int64()))], names=["node", "id", "words", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n_words.astype(np.int32)), pa.array(signs, pa.list_(pa.int64()))], names=["node", "id", "bytes", "words", "sketch"])
+
+    return small_batches(rows).mapInArrow(run, "node long, id long, bytes long, words int, sketch array<long>")
+
+
+class Texts:
+    """The distinct texts of docs and their nodes table: node, id, bytes, words, sketch."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str):
+        self.docs, self.nodes, self.key, self.text = docs, nodes, key, text
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """node, text of the wanted nodes. wanted must be cheap to count."""
+        wanted = wanted.join(self.nodes.select("node", F.col("id").alias("__id")), "node")
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        rows = self.docs.select(F.xxhash64(F.col(self.text)).alias("node"), F.col(self.key).cast("long").alias("__own"), F.col(self.text).alias("text")).where(F.col("text").isNotNull())
+        # The row of the smallest id, so copies stay where they are.
+        return rows.join(wanted, "node").where(F.col("__own").eqNullSafe(F.col("__id"))).select("node", "text")
+
 
-    return small_batches(rows).mapInArrow(run, "node long, id long, words int, sketch array<long>")
+def fits(threshold: float, *words: str) -> Column:
+    return F.least(*words) >= F.lit(threshold) * F.greatest(*words) - 1e-9
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """The pairs (node, head) of which the texts are similar. pairs must be cheap to count."""
-    wanted = pairs.select("node").union(pairs.select("head")).distinct().join(nodes.select("node", F.col("id").alias("__id")), "node")
-    if 2 * pairs.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.xxhash64(F.col(text)).alias("node"), F.col(key).cast("long").alias("__own"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    # One row of each text: that of the smallest id, so copies stay where they are.
-    texts = rows.join(wanted, "node").where(F.col("__own").eqNullSafe(F.col("__id"))).select("node", "text")
-    left = pairs.join(texts, "node").select("node", "head", F.col("text").alias("left"))
-    both = left.join(texts.select(F.col("node").alias("head"), F.col("text").alias("right")), "head")
+def verified(pairs: DataFrame, texts: Texts, threshold: float) -> DataFrame:
+    """The pairs (node, head) of which the texts are similar. pairs must be cheap to read twice."""
+    found = texts.of(pairs.select("node").union(pairs.select("head")).distinct())
+    left = pairs.join(found, "node").select("node", "head", F.col("text").alias("left"))
+    both = left.join(found.select(F.col("node").alias("head"), F.col("text").alias("right")), "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs of one head mostly come together: its words are taken once.
+        last, words = None, None
         for batch in batches:
             for part in slices(batch, "left"):
-                ok = [similar(x, y, threshold) for x, y in zip(part.column("left").to_pylist(), part.column("right").to_pylist())]
+                ok = []
+                for head, x, y in zip(part.column("head").to_pylist(), part.column("left").to_pylist(), part.column("right").to_pylist()):
+                    if head != last:
+                        last, words = head, words_of(y)
+                    ok.append(similar(words_of(x), words, threshold))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("head")], names=["node", "head"]).filter(pa.array(ok, pa.bool_()))
 
     return small_batches(both.select("node", "head", "left", "right")).mapInArrow(run, "node long, head long").distinct()
 
 
-def rare_words(docs: DataFrame, nodes: DataFrame, text: str, threshold: float) -> DataFrame:
-    """node, token: of each of the texts nodes, the first words in an order from rare to frequent, one
-    more than a similar text can lack. A repeated word is another one each time. nodes must be cheap
-    to count."""
-    n = nodes.count()
-    rows = docs.select(F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "node", "left_semi")
-
-    def tokens(firsts: bool, known: np.ndarray | None = None, rank: np.ndarray | None = None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    n_words, row, code = kmers(part.column("text"), 1)
-                    code = code.view(np.int64)
-                    if firsts:
-                        place = np.zeros(len(code), np.int64)
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-                            place = np.where(known[at] == code, rank[at], 0)
-                        by = np.lexsort((code, place, row))
-                        row, code = row[by], code[by]
-                        begin = np.cumsum(n_words) - n_words
-                        limit = ((1 - threshold) * n_words + 1e-9).astype(np.int64)
-                        first = np.arange(len(row)) - begin[row] <= limit[row]
-                        row, code = row[first], code[first]
-                    yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), pa.array(code)], names=["node", "token"])
-
-        return run
-
-    some = small_batches(rows.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // RANKING_TEXTS))) == 0)).mapInArrow(tokens(False), "node long, token long")
-    common = some.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED_WORDS).collect()
-    common.sort(key=lambda r: r.token)
-    known, rank = (np.array([r[i] for r in common], np.int64) for i in range(2))
-    return small_batches(rows).mapInArrow(tokens(True, known, rank), "node long, token long").distinct()
-
-
-def unsettled(shared: DataFrame, known: DataFrame, tested: DataFrame, docs: DataFrame, text: str, threshold: float, scratch: Scratch) -> DataFrame:
-    """node, head and their parts: all pairs of a bucket in different parts that may be similar, but those tested.
-
-    Members of one part never meet: the parts under a key are paired first, then their members."""
-    rows = shared.select("bucket", "node").join(known, "node")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("bucket", "n")
-    rows = scratch.keep(rows.join(sizes, "bucket"))
-    hot = rows.where(F.col("n") > HOT_BUCKET)
-    found = [rows.where(F.col("n") <= HOT_BUCKET).select(F.col("bucket").alias("key"), "node", "part", "words")]
-    nodes = scratch.keep(hot.select("node").distinct())
-    if not nodes.isEmpty():
-        tokens = scratch.keep(rare_words(docs, nodes, text, threshold))
-        keyed = hot.join(tokens, "node").select(F.xxhash64("bucket", "token").alias("key"), "node", "part", "words")
-        found.append(keyed)
-    pairs = None
-    for keyed in found:
-        several = keyed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
-        keyed = scratch.keep(keyed.join(several, "key"))
-        parts = keyed.select("key", "part").distinct()
-        sides = parts.withColumnRenamed("part", "node_part").join(parts.withColumnRenamed("part", "head_part"), "key").where("node_part < head_part")
-        for side in ("node", "head"):
-            members = keyed.select("key", F.col("part").alias(f"{side}_part"), F.col("node").alias(side), F.col("words").alias(f"{side}_words"))
-            sides = sides.join(members, ["key", f"{side}_part"])
-        fits = F.least("node_words", "head_words") >= F.lit(threshold) * F.greatest("node_words", "head_words") - 1e-9
-        # Pairs are named with the lesser text first, as in the rounds.
-        turned = F.col("node") > F.col("head")
-        names = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("node", "head"), ("head", "node"), ("node_part", "head_part"), ("head_part", "node_part"))]
-        sides = sides.where(fits).select(*names).distinct()
-        pairs = sides if pairs is None else pairs.unionByName(sides).distinct()
-    return scratch.keep(pairs.join(tested, ["node", "head"], "left_anti"))
-
-
-def components(nodes: DataFrame, docs: DataFrame, key: str, text: str, threshold: float, scratch: Scratch) -> DataFrame:
-    """node, component of every text; a text that is linked to none is its own component."""
-    rows = nodes.where(F.col("sketch").isNotNull()).select("node", F.posexplode("sketch").alias("place", "bucket"))
+def links_in(cell: pa.Table, threshold: float) -> pa.Table:
+    """The links of a cell that join different parts: pairs of one group that share a sketch."""
+    part, place, block = (cell.column(c).to_numpy() for c in ("part", "place", "block"))
+    node, group = cell.column("node").to_numpy(), cell.column("group").to_numpy()
+    signs = cell.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    words = [words_of(t) for t in cell.column("text").to_pylist()]
+    size = np.array([len(w) for w, _ in words])
+    across = len(node) > 0 and bool(cell.column("i")[0].as_py() != cell.column("j")[0].as_py())
+    root = {p: p for p in part.tolist()}
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    found: list[tuple[int, int]] = []
+    order = np.lexsort((node, group))
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        for k, x in enumerate(at[:-1].tolist()):
+            rest = at[k + 1 :]
+            rest = rest[(part[rest] != part[x]) & (np.minimum(size[rest], size[x]) >= threshold * np.maximum(size[rest], size[x]) - 1e-9)]
+            if across:
+                rest = rest[block[rest] != block[x]]
+            agree = signs[rest] == signs[x]
+            # A pair of a bucket is tested under the first sketch in which it agrees.
+            rest = rest[agree.any(axis=1) & ((place[x] < 0) | (agree.argmax(axis=1) == place[x]))]
+            for y in rest.tolist():
+                p, q = find(int(part[x])), find(int(part[y]))
+                if p != q and similar(words[x], words[y], threshold):
+                    root[p] = q
+                    found.append((int(node[x]), int(node[y])))
+    return pa.table({"node": pa.array([x for x, _ in found], pa.int64()), "head": pa.array([y for _, y in found], pa.int64())})
+
+
+def settled(left: DataFrame, texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
+    """node, head: links that join all parts that any similar pair of a bucket in left would join."""
+    sizes = scratch.keep(left.groupBy("bucket").agg(F.sum("bytes").alias("held")))
+    total = sizes.where(F.col("held") <= CELL_BYTES).agg(F.sum("held")).first()[0] or 0
+    whole = left.join(sizes.where(F.col("held") <= CELL_BYTES), "bucket")
+    cells = whole.select(F.pmod(F.xxhash64("bucket"), F.lit(1 + total // CELL_BYTES)).alias("cell"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("block"), F.col("bucket").alias("group"), "place", "node", "part")
+    large = scratch.keep(left.join(sizes.where(F.col("held") > CELL_BYTES).select("bucket"), "bucket"))
+    if not large.isEmpty():
+        # Large buckets with common texts are one group.
+        same = connected_components(large.select(F.xxhash64("bucket", F.lit("bucket")).alias("b"), "node"), "b", "node", scratch)
+        members = large.select("node", "part", "bytes").distinct().join(same, "node").withColumnRenamed("component", "group")
+        blocks = members.groupBy("group").agg((1 + F.floor(F.sum("bytes") / CELL_BYTES)).cast("int").alias("n"))
+        members = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n")).cast("int"))
+        other = members.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        cells = cells.unionByName(other.select(F.col("group").alias("cell"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "group", F.lit(-1).alias("place"), "node", "part"))
+    cells = scratch.keep(cells)
+    found = texts.of(cells.select("node").distinct())
+    full = cells.join(texts.nodes.select("node", "sketch"), "node").join(found, "node")
+    return full.groupBy("cell", "i", "j").applyInArrow(lambda cell: links_in(cell, threshold), "node long, head long")
+
+
+def components(texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
+    """node, component of every text that is linked to another."""
+    rows = texts.nodes.where(F.col("sketch").isNotNull()).select("node", "bytes", "words", F.posexplode("sketch").alias("place", "bucket"))
+    heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "words")).alias("head")).where("n > 1").drop("n")
     # Only buckets of several texts matter.
-    shared = scratch.keep(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"))
-    known = nodes.select("node", "words", F.col("node").alias("part"))
-    tested, total = None, 0
-
-    def settle(known: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
-        """known after the pairs that are similar are linked, and their number."""
-        new = scratch.keep(verified(pairs.select("node", "head"), docs, nodes, key, text, threshold))
-        n = new.count()
-        if n:
-            # Only parts that a new link joins are contracted; names of parts are carried over.
-            joins = pairs.join(new, ["node", "head"], "left_semi").select("node_part", "head_part")
-            merged = connected_components(joins, "node_part", "head_part").select(F.col("node").alias("part"), "component")
-            known = scratch.keep(known.join(merged, "part", "left").select("node", "words", F.coalesce("component", "part").alias("part")))
-        return known, n
-
-    for turn in range(1 << 30):
-        # Large groups of near copies agree in most sketches: the first few of them gather such a group
-        # into one part, and from then on one member of each part speaks for it in a bucket, another
-        # one in each round. Representatives are the least names under a mask.
-        short = Scratch(docs.sparkSession)
-        masks = [F.xxhash64(F.lit(turn), F.lit(k)) for k in range(1 if turn == 0 else LATER_HEADS)]
-        used = shared.where(F.col("place") < FIRST_SKETCHES) if turn == 0 else shared
-        spoken = used.join(known, "node").groupBy("bucket", "part").agg(F.min(F.col("node").bitwiseXOR(masks[0])).alias("least"))
-        members = short.keep(spoken.select("bucket", F.col("least").bitwiseXOR(masks[0]).alias("node")))
-        least = members.groupBy("bucket").agg(F.count("*").alias("n"), *[F.min(F.col("node").bitwiseXOR(m)).alias(f"m{k}") for k, m in enumerate(masks)])
-        heads = F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(m) for k, m in enumerate(masks)]))
-        heads = least.where("n > 1").select("bucket", heads.alias("heads"))
-        heads = short.keep(heads.select("bucket", "heads", F.explode("heads").alias("head")))
-        # Two representatives meet once, not from either side.
-        once = F.when(F.array_contains("heads", F.col("node")), F.col("node") < F.col("head")).otherwise(True)
-        pairs = members.join(heads, "bucket").where(once).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "head"], "left_anti")
-        for side in ("node", "head"):
-            pairs = pairs.join(known.select(F.col("node").alias(side), F.col("words").alias(f"{side}_words"), F.col("part").alias(f"{side}_part")), side)
-        fits = F.least("node_words", "head_words") >= F.lit(threshold) * F.greatest("node_words", "head_words") - 1e-9
-        pairs = scratch.keep(pairs.where(fits & (F.col("node_part") != F.col("head_part"))).select("node", "head", "node_part", "head_part"))
-        known, n = settle(known, pairs)
-        short.clear()
-        total += n
-        tested = pairs.select("node", "head") if tested is None else tested.unionByName(pairs.select("node", "head"))
-        if turn and n * ENOUGH <= total:
+    shared = scratch.keep(rows.join(heads, "bucket"))
+    pairs = shared.where((F.col("node") != F.col("head.node")) & fits(threshold, "words", "head.words")).select("node", F.col("head.node").alias("head")).distinct()
+    links, left, turn = None, shared, 0
+    while True:
+        pairs = scratch.keep(pairs)
+        new = scratch.keep(verified(pairs, texts, threshold))
+        tested, n = pairs.count(), new.count()
+        links = new if links is None else links.unionByName(new)
+        parts = connected_components(links, "node", "head", scratch)
+        rows = left.select("bucket", "place", "node", "bytes", "words").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        sums = rows.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        sums = scratch.keep(sums.where("parts > 1"))
+        n_left, n_pairs = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("within")), F.lit(0)) / 2).first()
+        if n_left == 0:
+            return parts
+        left = scratch.keep(rows.join(sums.select("bucket"), "bucket"))
+        if n_pairs <= MANY * n_left or n * FRUITFUL < tested:
             break
-    known, _ = settle(known, unsettled(shared, known, tested, docs, text, threshold, scratch))
-    return known.select("node", F.col("part").alias("component"))
+        turn += 1
+        # Another speaker and representative each time: the least under a mask.
+        mask = F.xxhash64(F.lit(turn))
+        spoken = left.groupBy("bucket", "part").agg(F.min(F.struct(F.col("node").bitwiseXOR(mask).alias("name"), "words", "part")).alias("s"))
+        heads = spoken.groupBy("bucket").agg(F.min("s").alias("h"))
+        met = spoken.join(heads, "bucket").where((F.col("s.part") != F.col("h.part")) & fits(threshold, "s.words", "h.words"))
+        pairs = met.select(F.col("s.name").bitwiseXOR(mask).alias("node"), F.col("h.name").bitwiseXOR(mask).alias("head")).distinct()
+    last = scratch.keep(settled(left, texts, threshold, scratch))
+    return connected_components(links.unionByName(last), "node", "head", scratch)
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """node, class_id, class_size and own_id (the text's smallest id) of every distinct text."""
     scratch = Scratch(docs.sparkSession)
     prints = fingerprints(docs, key, text).where(F.col("node").isNotNull())
-    nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("sketch").alias("sketch")))
-    small = nodes.select("node", "id", "copies").join(components(nodes, docs, key, text, threshold, scratch), "node")
+    nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bytes", "words", "sketch")]))
+    parts = components(Texts(docs, nodes, key, text), threshold, scratch)
+    small = nodes.select("node", "id", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = scratch.keep(small.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")))
     out = saved(small.join(classes, "component").select("node", "class_id", "class_size", F.col("id").alias("own_id")))
     scratch.clear()
@@ -367,11 +403,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of the smallest id, with all its columns."""
-    classes = text_classes(docs, key, text, threshold).where("class_size > 1").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
+    classes = text_classes(docs, key, text, threshold).where("class_size > 1").select("node", "class_id")
     if classes.count() <= BROADCAST_ROWS:
         classes = F.broadcast(classes)
-    rows = docs.withColumn("__name", F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))))
-    rows = rows.join(classes, F.col("__name") == F.col("__node"), "left")
-    alone = rows.where(F.col("__node").isNull())
-    chosen = rows.where(F.col("__node").isNotNull() & F.col(key).cast("long").eqNullSafe(F.col("__class"))).dropDuplicates([key, "__class"])
-    return alone.unionByName(chosen).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("own"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("name"))
+    rows = rows.join(classes, F.col("name") == F.col("node"), "left")
+    alone = rows.where(F.col("node").isNull())
+    chosen = rows.where(F.col("node").isNotNull() & F.col("own").eqNullSafe(F.col("class_id"))).dropDuplicates(["own", "class_id"])
+    return alone.unionByName(chosen).select("row.*")
