@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.materialize import Scratch, saved
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", keep: Scratch | None = None) -> DataFrame:
     """node, component (the smallest node of its component) for every node of an edge.
 
     Alternates two contractions until nothing changes. In the large step every node's larger
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     with the logarithm of their size. A node with very many neighbours is only ever a grouping key
     of a minimum (pre-aggregated by task) and of a join with its one-row result, which Spark can
     split. Each round is written below the checkpoint folder, so that lineage stays short; only the
-    result stays there.
+    result stays there, in the scratch folder keep if one is given.
     Null nodes and self-loops are dropped; an empty table has no components."""
     links = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col("u") != F.col("v"))
     scratch = Scratch(edges.sparkSession)
@@ -38,6 +38,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         before = now
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = saved(nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+    out = (keep.keep if keep else saved)(nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
     scratch.clear()
     return out
