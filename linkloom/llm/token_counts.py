@@ -10,14 +10,20 @@ relative to the present one are a finite state. `Transducer` interns these state
 annotates each transition with the tokens it emits: the change of the count, which can be negative
 when a longer piece absorbs earlier ones.
 
-Texts are cut into chunks that run in lockstep, one character of every chunk per numpy step. Each
-chunk yields one entry of its state map: entry state (guessed from a warm-up over the characters
-before it) -> exit state and count. A scan composes the maps: where a chunk's exit state differs
-from the next one's entry, the map of the latter is extended by the true entry state, until all
-agree. A text's count is the sum of its transitions' annotations.
-
-Null and empty texts have no tokens. Rows come back one for one, repeated rows included; other
-columns are not read.
+Texts are cut into chunks that run in lockstep, one character of every chunk per numpy step. A chunk's
+state map sends entry states to exit states, with the tokens emitted on the way. It is computed for
+the states in which the chunk can be entered: at first one guess, taken from a warm-up over the
+characters before it, then every exit state of the map before it, until each map's exits are entries
+of the next one. Pieces forget most of what lies before them, so one or two passes do for prose. A
+run of one character may remember its beginning, but its states recur: from the third pass on a
+missing entry is tried in twice as many chunks each time, so passes grow with the logarithm of the
+run. The maps, now total functions between small sets, are composed by a parallel
+prefix scan, in a number of steps that grows with the logarithm of the number of chunks; it gives
+every chunk its true entry state. A text's count is the sum of its transitions' annotations.
+
+Null and empty texts have no tokens. Very long texts are cut like all others and cost what their
+length costs. Rows come back one for one, repeated rows included, and an empty table gives an empty
+result; there are no ties to break. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,18 +183,58 @@ class Transducer:
         before = np.zeros((n, WARM_UP), np.uint16)
         before[1:] = table[:-1, -WARM_UP:]
         columns = np.ascontiguousarray(table.T)
-        entry = self.run(np.ascontiguousarray(before.T), np.zeros(n, np.int64), None)
-        emitted = np.empty((CHUNK, n), np.int8)
-        leave = self.run(columns, entry, emitted)
-        while len(wrong := np.flatnonzero(leave[:-1] != entry[1:]) + 1):
-            entry[wrong] = leave[wrong - 1]
-            again = np.empty((CHUNK, len(wrong)), np.int8)
-            leave[wrong] = self.run(np.ascontiguousarray(columns[:, wrong]), entry[wrong], again)
-            emitted[:, wrong] = again
-        flat = np.ascontiguousarray(emitted.T).reshape(-1)[: len(points)]
+        guess = self.run(np.ascontiguousarray(before.T), np.zeros(n, np.int64), None)
+        enter, leave, emitted, row = self.state_maps(columns, guess)
+        entry = composed(enter, leave)
+        flat = emitted[row[np.arange(n), entry]].reshape(-1)[: len(points)]
         total = np.concatenate(([0], np.cumsum(flat, dtype=np.int64)))
         return total[starts + sizes] - total[starts]
 
+    def state_maps(self, columns: np.ndarray, guess: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each chunk's map, closed: every exit state of a chunk is an entry state of the next one.
+
+        ``enter[k, j]`` (-1 beyond a chunk's entries) goes to ``leave[k, j]``, and the row
+        ``row[k, j]`` of the third array has the tokens that each of its characters emits."""
+        n = len(guess)
+        enter, leave, row = (np.full((n, 1), -1, np.int64) for _ in range(3))
+        emitted = np.empty((0, len(columns)), np.int8)
+        chunk, state = np.arange(n), guess
+        self.passes = 0
+        while len(chunk):
+            self.passes += 1
+            out = np.empty((len(columns), len(chunk)), np.int8)
+            left = self.run(np.ascontiguousarray(columns[:, chunk]), state, out)
+            # New entries follow a chunk's earlier ones.
+            at = (enter >= 0).sum(axis=1)[chunk] + np.arange(len(chunk)) - np.searchsorted(chunk, chunk)
+            if (wide := at.max() + 1 - enter.shape[1]) > 0:
+                enter, leave, row = (np.pad(x, ((0, 0), (0, wide)), constant_values=-1) for x in (enter, leave, row))
+            enter[chunk, at], leave[chunk, at], row[chunk, at] = state, left, len(emitted) + np.arange(len(chunk))
+            emitted = np.concatenate((emitted, out.T))
+            unknown = (leave[:-1] >= 0) & ~(leave[:-1, :, None] == enter[1:, None, :]).any(axis=2)
+            k, j = np.nonzero(unknown)
+            chunk, state = k + 1, leave[k, j]
+            if self.passes > 2 and len(chunk):
+                # What is still unknown comes from a text with a memory: its states recur further on.
+                spread = np.arange(1 << min(self.passes - 2, 30))[: n - int(chunk.min())]
+                chunk, state = (chunk[:, None] + spread).reshape(-1), np.repeat(state, len(spread))
+                chunk, state = chunk[chunk < n], state[chunk < n]
+                fresh = ~(enter[chunk] == state[:, None]).any(axis=1)
+                chunk, state = chunk[fresh], state[fresh]
+            chunk, state = np.unique(np.stack((chunk, state)), axis=1)
+        return enter, leave, emitted, row
+
+
+def composed(enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Which of its entries each chunk is entered by, if the first is entered by its first: the chunks'
+    maps, as positions among the next one's entries, composed by a prefix scan."""
+    step = (leave[:-1, :, None] == enter[1:, None, :]).argmax(axis=2)
+    reach = 1
+    while reach < len(step):
+        # step[k] has gone through `reach` chunks up to k; the ones before it are put in front.
+        step[reach:] = np.take_along_axis(step[reach:], step[:-reach].copy(), axis=1)
+        reach *= 2
+    return np.concatenate(([0], step[:, 0]))
+
 
 _compiled: dict[int, Transducer] = {}
 

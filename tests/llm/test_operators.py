@@ -1,5 +1,6 @@
 """Edge cases and brute-force versions of the training-data operators."""
 
+import math
 import random
 import tracemalloc
 
@@ -194,10 +195,28 @@ def test_url_rules(spark):
     rows = [(1, "http://X.example.ORG/es/1"), (2, "http://example.org"), (3, "http://a.com/de/xy?q"), (4, "http://b.com/de/x"), (5, None), (6, "nothing"), (7, "http://m.free-bets.example.net/"), (8, "http://notexample.org/es/"), (8, "http://notexample.org/es/")]
     got = sorted(url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect())
     assert [(r.page_id, r.rule, r.verdict) for r in got] == [
-        (1, "example.org/es/", "block"), (2, None, "allow"), (3, "a.com/de/x", "allow"), (4, "com/de/", "block"), (5, None, "allow"), (6, None, "allow"), (7, None, "block"), (8, "org/", "allow"), (8, "org/", "allow"),
+        (1, "example.org/es/", "block"), (2, None, "allow"), (3, "a.com/de/x", "allow"), (4, "com/de/", "block"), (5, None, "allow"), (6, None, "allow"), (7, None, "allow"), (8, "org/", "allow"), (8, "org/", "allow"),
     ]
     assert got[4].host == "" and got[4].path == "" and got[0].host == "x.example.org"
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+    named = spark.createDataFrame([(1, "http://a.org/", 5), (None, "http://x.net", 6)], "id long, url string, digest int")
+    got = url_filter.judge_urls(named, rules, "id", default="block")
+    assert got.columns == ["id", "host", "path", "rule", "verdict"] and {(r.id, r.verdict) for r in got.collect()} == {(1, "allow"), (None, "block")}
+    assert [r.verdict for r in url_filter.judge_urls(named, [], "id").collect()] == ["allow"] * 2
+    # The join key is the short prefix alone; a long host has as many expressions as the rules have shapes.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join [short" in plan and "digest" not in plan.split("Join [short")[1].split("]")[0]
+    long = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "com/de/x" + "y" * 100_000)], "page_id long, url string")
+    assert url_filter.judge_urls(long, rules).first().rule == "a.com/de/x"
+
+
+def test_url_rules_that_share_a_short_prefix(spark, monkeypatch):
+    # With a prefix of one digit most rules meet most expressions: digests alone decide.
+    monkeypatch.setattr(url_filter, "hashed", lambda e, c: e.withColumn("digest", F.sha2(F.col(c), 256)).withColumn("short", F.substring("digest", 1, 1)))
+    rules = [(("allow", "block")[k % 2], f"h{k}.com", "/") for k in range(100)]
+    pages = spark.createDataFrame([(k, f"http://w.h{k}.com/p") for k in range(120)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {k: (f"h{k}.com/", ("allow", "block")[k % 2]) if k < 100 else (None, "allow") for k in range(120)}
 
 
 def test_mix_redistributes_among_siblings_first(spark):
@@ -212,6 +231,41 @@ def test_mix_redistributes_among_siblings_first(spark):
     assert out.where("lang = 'p'").groupBy("doc_id").count().where("count = 2").count() == 2
 
 
+def test_licenses_of_a_phrase_repeated_100000_times(spark):
+    # Linear in the hits: this took minutes when every vote was counted against every other.
+    import time
+
+    docs = frame(spark, [(1, "mit license " * 100_000), (2, "general public license " * 50_000), (3, "x " * 200_000)])
+    start = time.time()
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).drop("places").collect()}
+    assert time.time() - start < 60
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].n_words) == (100_000, 0, 199_998, 200_000)
+    assert (got[2].n_base, got[2].labels, got[3].n_base) == (50_000, "gpl", 0)
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6, "ab " * 300_000, "é" * 200_000, "0123456789" * 50_000, "!" * 300_000])
+def test_token_counts_of_long_runs(text):
+    # State maps compose: passes grow with the logarithm of the number of chunks.
+    with open(MODEL, "rb") as f:
+        machine = token_counts.Transducer(f.read())
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert machine.counts([text]).tolist() == [len(sp.encode(text))]
+    assert machine.passes <= 4 + math.log2(len(text) / token_counts.CHUNK)
+
+
+def test_state_maps_are_composed_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 64, 100):
+        enter = np.tile(np.arange(4), (n, 1))
+        leave = rng.integers(0, 4, (n, 4))
+        at = [0]
+        for k in range(n - 1):
+            at.append(leave[k, at[-1]])
+        assert token_counts.composed(enter, leave).tolist() == at
+
+
 def test_mix_weights_of_zero_and_seeds(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "p", "ab"[i % 2], 1) for i in range(200)], DOCS)
     level = {"source": F.col("source")}
@@ -237,6 +291,41 @@ def test_toxicity_interactions():
     assert toxicity.fit(["a", "b"], [1, 1]).scores(pa.array(["x"]))[0] > 0.99
 
 
+@pytest.mark.parametrize("label", ["xor", "neutral"])
+def test_toxicity_of_terms_without_marginal_effect(label):
+    # Exactly one of two terms; or an insult that only weighs next to a group, which is neutral alone.
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts, labels = [], []
+    for _ in range(3000):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(prose(12, rng, [f"w{k}" for k in range(400)]) + " dirt" * one + " northerners" * other)
+        labels.append(int(one != other) if label == "xor" else int(one == other))
+    m = toxicity.fit(texts[:2500], labels[:2500])
+    s = m.scores(pa.array(texts[2500:], pa.large_string()))
+    assert sum((x >= 0.5) == bool(y) for x, y in zip(s, labels[2500:])) > 0.95 * 500
+
+
+def test_toxicity_equals_the_sum_over_pairs():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    g = np.random.default_rng(2)
+    m = toxicity.Machine(0.3, g.normal(0, 0.5, 1 << toxicity.DIM_BITS), g.normal(0, 0.4, (1 << toxicity.DIM_BITS, toxicity.FACTORS)), 0.8, -0.1)
+    texts = [prose(rng.choice([1, 5, 30]), rng) for _ in range(40)] + ["", None, "Twice twice TWICE", "é é ß"]
+    got = m.scores(pa.array(texts, pa.large_string()))
+    for text, score in zip(texts, got):
+        _, ids = toxicity.terms(pa.array([text], pa.large_string()))
+        z = m.bias + sum(m.weight[i] for i in ids)
+        for a in range(len(ids)):
+            for b in range(a):
+                z += float(m.factor[ids[a]] @ m.factor[ids[b]])
+        assert score == pytest.approx(1 / (1 + np.exp(-(m.slope * z + m.shift))), abs=1e-9)
+    assert len(toxicity.terms(pa.array(["Twice twice TWICE"], pa.large_string()))[1]) == 1
+
+
 def test_quality_network_covers_whole_texts():
     import pyarrow as pa
 
