@@ -10,10 +10,13 @@ phrases as a whole, so their places come out exactly.
 
 Native: the scan is one projection over the rows without any shuffle; the corpus statistic is one
 pre-aggregated count per template word. Whatever travels to the tasks depends on the templates
-alone, so hot sources, copies and long files need no special care.
+alone, so hot sources and copies need no special care. Votes are counted by sorting them, so a very
+long file costs what its length costs (times the logarithm of its hits), also if it repeats one
+phrase only.
 
 Null and empty texts have no words, no labels and score 0. Rows come back one for one (repeated
-rows too); ties of IDF go to the alphabetically first word; extra columns are not read.
+rows too) and an empty table gives an empty result; ties of IDF go to the alphabetically first word;
+extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,14 +113,16 @@ def scan_licenses(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: s
         def votes_of(word: str, position: int) -> Column:
             return F.transform(F.filter("hits", lambda h: h["w"] == word), lambda h: h["i"] - F.lit(position))
 
-        votes = F.concat(*[votes_of(*posting) for posting in chosen])
+        votes = F.sort_array(F.concat(*[votes_of(*posting) for posting in chosen]))
         need = min(AGREE, len(chosen))
-        agreed = F.filter(F.array_distinct(votes), lambda o: F.size(F.filter(votes, lambda v: v == o)) >= need)
+        # A word votes once for a start: where one is as good as the vote `need - 1` places on, so many agree.
+        agreed = F.zip_with(votes, F.slice(votes, need, F.greatest(F.size(votes), F.lit(1))), lambda x, y: F.when(x == y, x))
+        agreed = F.array_distinct(F.filter(agreed, lambda o: o.isNotNull()))
         key, begin = t.key.split(), t.key_at
         there = lambda o: (o + begin >= 0) & (o + (begin + len(key)) <= F.size("words")) & reduce(
             lambda a, b: a & b, (F.get("words", o + (begin + j)) == w for j, w in enumerate(key))
         )
-        return F.when(F.size("hits") >= need, F.array_sort(F.filter(agreed, there))).otherwise(nowhere)
+        return F.when(F.size("hits") >= need, F.filter(agreed, there)).otherwise(nowhere)
 
     rows = rows.select(*keys, "words", n.cast("long").alias("n_words"), *[starts(t, c).alias(f"s{k}") for k, (t, c) in enumerate(zip(templates, postings))])
 
