@@ -57,9 +57,7 @@ judged AS (
   FROM urls u LEFT JOIN rules r
     ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path)
 )
-SELECT page_id, host, path, rule,
-  coalesce(rule_verdict, CASE WHEN len(list_intersect(regexp_extract_all(host, '[a-z0-9]+'), [{", ".join(f"'{w}'" for w in url_filter.BAD_HOST_WORDS)}])) > 0
-    THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM judged WHERE best = 1
 """
 
