@@ -3,17 +3,22 @@
 A text's terms are its distinct lower-cased words (runs of ASCII letters and digits and of all
 non-ASCII characters), hashed into ``2 ** DIM_BITS`` features. The machine scores
 ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over them, the pairs by the usual square-of-sum identity, so
-that an insult next to a group's name can weigh more than both apart. Terms have weight only if at least
-`MIN_TEXTS` texts of the training sample hold them and their counts by class differ by a
-log-likelihood ratio of `MIN_RATIO` or more; near copies within the sample count once, since the
-words they share would otherwise look like many independent cases.
+that an insult next to a group's name can weigh more than both apart. Terms have weight and factors
+only if the training sample speaks for them: at least `MIN_TEXTS` of its texts hold the term and its
+counts by class differ by a log-likelihood ratio of `MIN_RATIO` or more (`telling`), or it belongs to
+a pair of which the class rate differs by `PAIR_RATIO` or more from what both terms' own rates add up
+to (`telling_pairs`), so that terms which are neutral by themselves can interact. Near copies within
+the sample count once, since the words they share would otherwise look like many independent cases.
 
 It is fitted by AdaGrad on a bounded sample of labelled rows (``rows`` of at most ``max_bytes``
 bytes each), classes weighted towards balance, then one slope and intercept are fitted so that the
 probabilities match the sample's own rates.
 
 Null and empty texts have no terms and get the intercept's score; with nothing to learn from, or
-one class only, all scores are that class's rate (0 without labels). Rows come back one for one.
+one class only, all scores are that class's rate (0 without labels). Rows come back one for one,
+repeated rows with equal scores, and an empty table gives an empty result; a score at the threshold
+counts as toxic. Of very long texts every term counts. Extra columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,6 +41,11 @@ FACTORS = 4
 MIN_TEXTS = 3
 #: About the chi-square quantile that one term in 10,000 passes by chance.
 MIN_RATIO = 15.0
+#: Pairs are tested among so many of the sample's commonest terms; about one pair in 10 million passes
+#: this ratio by chance.
+PAIR_TERMS, PAIR_TEXTS, PAIR_RATIO = 3000, 10, 30.0
+#: Steps of the fit, at least: small samples are gone through more often.
+STEPS = 1500
 #: Texts of the sample that share this many of their min-hashes with an earlier one are left out.
 SIGNATURE, SHARED = 16, 5
 
@@ -116,6 +126,42 @@ def telling(row: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (df >= MIN_TEXTS) & (ratio >= MIN_RATIO)
 
 
+def telling_pairs(row: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The features of pairs whose joint presence goes with the class otherwise than both apart.
+
+    Where both are present, the class should follow the log-odds that their own rates add up to; the
+    ratio is that of the observed counts against this expectation."""
+    df = np.bincount(feature, minlength=1 << DIM_BITS)
+    common = np.flatnonzero((df >= PAIR_TEXTS) & (df < len(y)))
+    common = np.sort(common[np.argsort(-df[common], kind="stable")][:PAIR_TERMS])
+    place = np.full(1 << DIM_BITS, -1)
+    place[common] = np.arange(len(common))
+    row, at = row[place[feature] >= 0], place[feature][place[feature] >= 0]
+    m = len(common)
+    both, both_pos = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    for start in range(0, len(y), 1024):
+        inside = (row >= start) & (row < start + 1024)
+        x = np.zeros((min(1024, len(y) - start), m), np.float32)
+        x[row[inside] - start, at[inside]] = 1
+        both += x.T @ x
+        x = x[y[start : start + 1024] == 1]
+        both_pos += x.T @ x
+    # Rates with half a case of each class added.
+    odds = np.log((np.diag(both_pos) + 0.5) / (np.diag(both) - np.diag(both_pos) + 0.5))
+    base = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    found = np.zeros(m, bool)
+    for start in range(0, m, 256):
+        n, pos = both[start : start + 256], both_pos[start : start + 256]
+        p = sigmoid(odds[start : start + 256, None] + odds[None, :] - base)
+        ratio = np.zeros(n.shape)
+        for cell, share in ((pos, p), (n - pos, 1 - p)):
+            ratio += 2 * cell * np.log(np.maximum(cell, 1e-9) / np.maximum(n * share, 1e-9))
+        ratio[n < PAIR_TEXTS] = 0
+        ratio[np.arange(len(n)), start + np.arange(len(n))] = 0
+        found |= (ratio >= PAIR_RATIO).any(axis=0)
+    return common[found]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -133,12 +179,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, batch: int = 64,
     texts, y = [texts[i] for i in kept], y[kept]
     row, feature = sample_terms(texts)
     often = telling(row, feature, y)
+    often[telling_pairs(row, feature, y)] = True
     row, feature = row[often[feature]], feature[often[feature]]
     m.factor[often] = rng.normal(0, 0.01, (int(often.sum()), FACTORS)).astype(np.float32)
     first = np.searchsorted(row, np.arange(len(y) + 1))
     seen_w, seen_v, seen_b = np.full(size, 1e-6, np.float32), np.full((size, FACTORS), 1e-6, np.float32), 1e-6
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
-    for epoch in range(epochs):
+    for _ in range(max(epochs, STEPS * batch // len(y))):
         order = rng.permutation(len(y))
         for k in range(0, len(y), batch):
             ids = order[k : k + batch]
