@@ -9,16 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The shared folder named in ``spark.checkpoint.dir``. Only a local session may leave it unset and
+    gets a folder of its own; executors elsewhere would not see that."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it takes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df computed once and read back from the checkpoint folder; lost executors lose nothing."""
     context = df.sparkSession.sparkContext
@@ -28,9 +37,12 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written once as Parquet below the checkpoint folder and reread, with its columns prunable."""
+    """df written once as Parquet below the checkpoint folder and reread, with its columns prunable. The
+    files go when the application ends."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, at = file_system(df.sparkSession, path)
+    system.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +63,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        system, path = file_system(self.spark, self.path)
+        system.delete(path, True)
