@@ -24,8 +24,8 @@ from linkloom.operators.materialize import materialized
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: Sides of joins up to this many rows are broadcast (tens of megabytes at most).
-BROADCAST_ROWS = 200_000
+#: Sides of joins of up to so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -38,9 +38,9 @@ def windows(words: str, width: int, of) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: of(F.slice(words, i, width)))).otherwise(F.array())
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is small; df must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, held: Column) -> DataFrame:
+    """df with a broadcast hint if its rows hold few bytes in all; df must be cheap to read."""
+    return F.broadcast(df) if (df.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -68,7 +68,7 @@ def candidates(docs: DataFrame, items: DataFrame, text: str, threshold: float) -
     hashes = F.concat(*[windows("words", w, F.xxhash64) for w in sorted(widths)]) if widths else F.array()
     probes = rows.select("__key", F.explode(F.filter(hashes.cast("array<bigint>"), lambda h: h <= F.lit(limit).cast("long"))).alias("h"))
     # Rows that share an item id, or have none, may differ in width: each is verified in its own.
-    met = probes.join(small(sketch), "h").select("__key", "item_id", "width").distinct()
+    met = probes.join(small(sketch, F.lit(64)), "h").select("__key", "item_id", "width").distinct()
     return materialized(met.groupBy("__key").agg(F.collect_list(F.struct("item_id", "width")).alias("__items")))
 
 
@@ -76,12 +76,12 @@ def verified(rows: DataFrame, found: DataFrame, items: DataFrame, text: str, thr
     """rows that are candidates, one for each item that does leak, with item_id, n_item and n_shared.
 
     Each row's shingles are computed below the expansion into items, hence once."""
-    met = rows.withColumn("__key", F.md5(F.col(text))).join(small(found), "__key").withColumn("__words", words_of(F.col(text)))
+    met = rows.withColumn("__key", F.md5(F.col(text))).join(small(found, 100 + 48 * F.size("__items")), "__key").withColumn("__words", words_of(F.col(text)))
     for w in range(1, WIDTH + 1):
         used = F.array_contains(F.transform("__items", lambda x: x["width"]), w)
         met = met.withColumn(f"__s{w}", F.when(used, F.array_distinct(windows("__words", w, lambda s: F.array_join(s, " ")))))
     pairs = met.drop("__words").withColumn("__item", F.explode("__items"))
-    known = small(items).select(F.col("item_id").alias("__id"), F.col("width").alias("__width"), "shingles")
+    known = small(items, F.octet_length(F.array_join("shingles", "")) + 32 * F.size("shingles")).select(F.col("item_id").alias("__id"), F.col("width").alias("__width"), "shingles")
     pairs = pairs.join(known, F.col("__item.item_id").eqNullSafe(F.col("__id")) & (F.col("__item.width") == F.col("__width")))
     own = F.coalesce(*[F.when(F.col("__width") == w, F.col(f"__s{w}")) for w in range(1, WIDTH + 1)])
     n_item, n_shared = F.size("shingles").cast("long"), F.size(F.array_intersect("shingles", own)).cast("long")
@@ -103,5 +103,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """The rows of docs, with all their columns, into which no benchmark item leaks."""
     items = materialized(item_shingles(benchmark, item_id, item_text))
     found = candidates(docs.select(text), items, text, threshold)
-    leaky = verified(docs.select(F.col(text).alias("__text")), found, items, "__text", threshold).select("__key").distinct()
-    return docs.withColumn("__key", F.md5(F.col(text))).join(small(materialized(leaky)), "__key", "left_anti").select(*docs.columns)
+    leaky = verified(docs.select(F.col(text).alias("__text")), found, items, "__text", threshold).select(F.col("__key").alias("leak")).distinct()
+    # Whole rows travel as one column, so that no name can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.md5(F.col(text)).alias("own"))
+    leaky = small(materialized(leaky), F.lit(64))
+    return rows.join(leaky, F.col("own") == F.col("leak"), "left_anti").select("row.*")

@@ -11,13 +11,16 @@ language's set is every n-gram that makes up at least `MIN_SHARE` of its n-grams
 sample, unless some other language uses it more than `RATIO` times as much (relative to size).
 
 Training learns from a bounded sample of labelled rows: at most about `docs_per_language` rows of
-each language, taken by a hash of the text. The driver gets the n-grams that reach `MIN_SHARE`, so
-at most 1 / MIN_SHARE of them per language however large the corpus is.
+each language, taken by a hash of the text. The texts are read once for it. The driver gets the
+n-grams that reach `MIN_SHARE`, so at most 1 / MIN_SHARE of them per language however large the
+corpus is.
 
 Texts that are null or have no letter get `und` with score 0, as does everything when there is
 nothing to learn from. Texts whose n-grams are all unknown get the commonest language, score 0.
-Ties go to the alphabetically first language. Rows come back one for one; extra columns pass through
-`filter_languages` untouched and are not read by `identify`.
+Ties go to the alphabetically first language. Rows come back one for one, repeated rows with equal
+results, and an empty table gives an empty result. Of very long texts all n-grams count; they cost
+time and memory in proportion to their length. Extra columns pass through `filter_languages`
+untouched and are not read by `identify`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow_text import mix, slices, small_batches
+from linkloom.operators.materialize import Scratch
 
 ORDERS = (2, 3, 4)
 MIN_SHARE = 1e-5
@@ -151,15 +155,15 @@ class Filters:
 
 
 def sample(docs: DataFrame, usable: Column, text: str, lang: str, docs_per_language: int) -> tuple[DataFrame, dict[str, int]]:
-    """About docs_per_language usable rows of each language, by a hash of the text, and the counts of
-    all usable rows by language."""
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    """About docs_per_language usable rows of each language with a text, by a hash of the text, and the
+    counts of all usable rows by language, for which the texts are not read."""
+    rows = docs.where(usable & F.col(lang).isNotNull())
     counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")), counts
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, docs_per_language / n) * 2**32))])
     draw = F.pmod(F.xxhash64(F.col(text)), F.lit(2**32))
-    return rows.where(draw < F.element_at(bound, F.col(lang))).select(F.col(text).alias("text"), F.col(lang).alias("lang")), counts
+    return rows.where(F.col(text).isNotNull() & (draw < F.element_at(bound, F.col(lang)))).select(F.col(text).alias("text"), F.col(lang).alias("lang")), counts
 
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", docs_per_language: int = 1500) -> Filters:
@@ -184,9 +188,11 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
                         grams, n = np.unique(h, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], names=["k", "gram", "n"])
 
-    summed = small_batches(picked).mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    scratch = Scratch(docs.sparkSession)
+    summed = scratch.keep(small_batches(picked).mapInArrow(count, "k int, gram long, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")))
     totals = {r["k"]: r["n"] for r in summed.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     if not totals:
+        scratch.clear()
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), UNKNOWN)
     total = F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("k"))
     share = summed.select("k", "gram", (F.col("n") / total).alias("share")).where(F.col("share") >= MIN_SHARE)
@@ -194,6 +200,7 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     kept = share.join(most, "gram").where(F.col("share") * RATIO >= F.col("most")).select("k", "gram")
     # At most 1 / MIN_SHARE n-grams of each language have that share: a bound that no corpus exceeds.
     grams = kept.toArrow()
+    scratch.clear()
     words = -(-len(languages) // 64)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     slots = np.zeros((words, 1 << SLOT_BITS), kind)
@@ -209,7 +216,8 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
 
 
 def identify(docs: DataFrame, filters: Filters, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """keys, lang_pred and score of every row. The filters (a few megabytes, fixed by SLOT_BITS) are broadcast."""
+    """keys, lang_pred and score of every row. The filters are broadcast: 4 MB up to
+    eight languages, 32 MB for each 64 beyond (fixed by SLOT_BITS)."""
     schema = docs.select(*keys).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
@@ -222,15 +230,19 @@ def identify(docs: DataFrame, filters: Filters, keys: tuple[str, ...] = ("doc_id
     return small_batches(docs.select(*dict.fromkeys((*keys, text)))).mapInArrow(run, schema)
 
 
-def filter_languages(docs: DataFrame, filters: Filters, wanted: tuple[str, ...], min_score: float, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is among wanted with at least min_score."""
+def filter_languages(docs: DataFrame, filters: Filters, wanted: tuple[str, ...], min_score: float, text: str = "text", declared: str | None = None) -> DataFrame:
+    """The rows, with all their columns, whose language is among wanted with at least min_score.
+
+    With declared, a column of the languages that the sources state, rows whose statement differs from
+    what is found go too; rows without a statement are judged by wanted and min_score alone."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 names, score = shared.value.decide(part.column(text).to_pylist())
-                keep = pa.array([n in wanted and s >= min_score for n, s in zip(names, score.tolist())], pa.bool_())
-                yield part.filter(keep)
+                stated = part.column(declared).to_pylist() if declared else [None] * len(names)
+                keep = [n in wanted and s >= min_score and d in (n, None) for n, s, d in zip(names, score.tolist(), stated)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

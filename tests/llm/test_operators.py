@@ -489,11 +489,35 @@ def test_near_duplicates_of_repeated_rows_and_nulls(spark):
     assert kept == [3, 4, 6, 7]
 
 
+def test_stages_pass_columns_of_any_name(spark):
+    # Rows with names that the operators use themselves, nulls in them too.
+    names = ["__key", "own", "leak", "node", "class_id", "name", "row", "part", "bucket"]
+    rows = [(1, "One two three four five six seven.", "en", None, *range(9)), (2, "One two three four five six seven.", "en", "s", *range(9)), (3, "Leaked words stand here at the end.", "en", "s", *[None] * 9), (None, None, None, None, *range(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "leaked words stand here at the end")], "item_id long, text string")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, [r for r in docs.collect() if r.doc_id != 2]))
+    clean = decontamination.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, [r for r in docs.collect() if r.doc_id != 3]))
+    assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == {3}
+
+
+def test_language_filter_by_statement(spark):
+    rng = random.Random(9)
+    words = {"en": [f"the{k}" for k in range(80)], "de": [f"der{k}ung" for k in range(80)]}
+    train = spark.createDataFrame([(i, prose(30, rng, words[("en", "de")[i % 2]]), ("en", "de")[i % 2], "s", 1) for i in range(40)], DOCS)
+    filters = language_id.train(train, F.lit(True))
+    rows = [(1, prose(20, rng, words["en"]), "en"), (2, prose(20, rng, words["en"]), "de"), (3, prose(20, rng, words["de"]), None), (4, "12 34", "en"), (5, None, "en"), (6, "", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], DOCS)
+    ids = lambda **how: {r.doc_id for r in language_id.filter_languages(docs, filters, ("en", "de"), 0.5, **how).collect()}
+    assert ids() == {1, 2, 3} and ids(declared="lang") == {1, 3}
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     rng = random.Random(21)
     words = {"en": [f"the{k}" for k in range(80)], "de": [f"der{k}ung" for k in range(80)]}
     item = prose(30, rng, words["en"])
-    rows, bad, leaky, copies = [], set(), set(), set()
+    rows, bad, leaky, copies, misled = [], set(), set(), set(), set()
     for i in range(240):
         lang = "en" if i % 3 else "de"
         body = prose(rng.choice([30, 80]), rng, words[lang])
@@ -502,14 +526,16 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
         elif i % 40 == 6:
             body, _ = body + " " + item + " " + body, leaky.add(i)
         elif i % 20 == 7 and i > 20:
-            body, _ = rows[i - 20][1], copies.add(i)
+            body, lang, _ = *rows[i - 20][1:3], copies.add(i)
+        elif i % 40 == 8:
+            lang, _ = "de" if lang == "en" else "en", misled.add(i)
         rows.append((i, body, lang, f"src{i % 4}", len(body)))
     docs = spark.createDataFrame(rows, DOCS)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i not in bad), 0) for i in range(240) if i % 3 != 1], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     ids = {i for i, *_ in rows}
-    want = [ids - bad, ids - bad, ids - bad - copies, ids - bad - copies - leaky]
+    want = [ids - bad, ids - bad - misled, ids - bad - misled - copies, ids - bad - misled - copies - leaky]
     for (name, stage), left in zip(corpus_pipeline.STAGES, want):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
