@@ -3,6 +3,13 @@
 Every stage takes what its predecessor kept, written as Parquet and reread, and returns the columns
 of documents; the last returns the selection of documents by epoch. The two classifiers are fitted
 inside their stages on bounded samples of the rows they are given.
+
+The quality stage drops what the classifier rejects, null and empty texts by the score it gives them.
+The language stage drops texts without letters, texts of no clear language and those whose language
+is not the stated one; null statements don't matter. Of near copies, repeated rows included, the row
+of the smallest id stays; rows with a null id stay only where their class has no other. Empty tables
+give empty results, very long texts are judged whole, and extra columns of any name pass through all
+stages but the last.
 """
 
 from __future__ import annotations
@@ -13,10 +20,10 @@ from linkloom.llm import decontamination, language_id, near_dedup, quality_cnn
 from linkloom.llm.queries import fold, mixed
 from linkloom.operators.materialize import saved
 
-#: Texts that score less are rejected; below the classifier's own 0.7 so that doubtful ones stay.
-MIN_QUALITY = 0.4
-#: A language that reaches less than this part of the evidence is taken for unknown.
-MIN_LANGUAGE = 0.3
+#: The classifier's own verdict: texts that score less are rejected.
+MIN_QUALITY = 0.7
+#: A language must reach this part of the evidence.
+MIN_LANGUAGE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.train(docs, ~fold(4, 2))
-    return language_id.filter_languages(docs, filters, tuple(filters.languages), MIN_LANGUAGE)
+    return language_id.filter_languages(docs, filters, tuple(filters.languages), MIN_LANGUAGE, declared="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
