@@ -62,3 +62,20 @@ def short_hash(text: Column) -> Column:
 def highlighted(sentence: Column, start: Column, end: Column) -> Column:
     """The sentence with ``>>>`` and ``<<<`` around the characters from start to end (exclusive)."""
     return F.concat(F.substring(sentence, F.lit(1), start), F.lit(">>>"), F.substring(sentence, start + 1, end - start), F.lit("<<<"), F.substring(sentence, end + 1, F.length(sentence)))
+
+
+def truncated(column: Column, most: int) -> Column:
+    """The first ``most`` characters."""
+    return F.left(column, F.lit(most))
+
+
+def page_headline(date: Column, title: Column, body: Column) -> Column:
+    """Date, title and text of a page in one line, for reading."""
+    return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit(": "), title, F.lit(" ------- "), body)
+
+
+def doc_topic(doc_id: Column) -> tuple[Column, Column]:
+    """Topic and subtopic of a document id such as ``12_7ecb`` (12, 12_0) or ``12_7ecbplus`` (12, 12_plus)."""
+    parts = F.split(doc_id, "_")
+    plus = F.coalesce(F.endswith(F.get(parts, F.lit(1)), F.lit("plus")), F.lit(False))
+    return F.get(parts, F.lit(0)), F.concat(F.get(parts, F.lit(0)), F.when(plus, "_plus").otherwise("_0"))

@@ -47,8 +47,8 @@ def url_part_filter(target: Column, suffixes: Sequence[str] = (), substrings: Se
 
 def without_page_repeats(links: DataFrame, page: str, anchor: str) -> DataFrame:
     """Drops every link whose anchor text occurs more than once on its page, and blank anchors."""
-    n = F.count("*").over(Window.partitionBy(page, anchor))
-    return links.withColumn("__n", n).where((F.col("__n") == 1) & (text.stripped(F.col(anchor)) != "")).drop("__n")
+    repeated = links.groupBy(page, anchor).agg(F.count("*").alias("__n")).where("__n > 1").select(page, anchor)
+    return links.where(text.stripped(F.col(anchor)) != "").join(repeated, [page, anchor], "left_anti").select(*links.columns)
 
 
 def without_frequent_pairs(links: DataFrame, anchor: str, target: str, limit: int = 7) -> DataFrame:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text, urls
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order; the order should end in a unique column."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("__rank = 1").drop("__rank")
+    """The first row of each key: the least by the order's columns, of which nulls come first and which
+    should end in a unique one. A minimum of structs, pre-aggregated by task, so keys of any number of
+    rows stay spread."""
+    rest = [c for c in df.columns if c not in keys]
+    least = F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]))
+    return df.groupBy(*keys).agg(least.alias("__first")).select(*keys, "__first.*").select(*df.columns)
 
 
 def with_normalized(df: DataFrame, url: str = "url", out: str = "url_normalized") -> DataFrame:
@@ -22,11 +25,11 @@ def with_normalized(df: DataFrame, url: str = "url", out: str = "url_normalized"
 
 
 def oldest_captures(index: DataFrame, key: Column, timestamp: str, tie: str) -> DataFrame:
-    return keep_first(index.withColumn("__key", key), ["__key"], [F.col(timestamp).asc_nulls_last(), F.col(tie)]).drop("__key")
+    return keep_first(index.withColumn("__key", key), ["__key"], [F.col(timestamp).isNull(), F.col(timestamp), F.col(tie)]).drop("__key")
 
 
 def longest_pages(pages: DataFrame, key: str, length: str, tie: str) -> DataFrame:
-    return keep_first(pages, [key], [F.col(length).desc_nulls_last(), F.col(tie)])
+    return keep_first(pages, [key], [F.col(length).isNull(), -F.col(length), F.col(tie)])
 
 
 def without_prefixes(df: DataFrame, url: Column, prefixes: Sequence[str]) -> DataFrame:
@@ -48,5 +51,5 @@ def rewrite_prefix(url: Column, old: str, new: str) -> Column:
 def best_of_cluster(clustering: DataFrame, pages: DataFrame, key: str, degrees: DataFrame, length: str) -> DataFrame:
     """The page of each cluster with most in-links, then out-links, then characters, then by key."""
     joined = clustering.join(pages.select(key, length), key).join(degrees, key, "left").fillna(0, ["in_degree", "out_degree"])
-    order = [F.col("in_degree").desc(), F.col("out_degree").desc(), F.col(length).desc(), F.col(key)]
+    order = [-F.col("in_degree"), -F.col("out_degree"), F.col(length).isNull(), -F.col(length), F.col(key)]
     return keep_first(joined, ["cluster"], order)
