@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,29 +55,47 @@ def canonical(url: Column) -> Column:
     return F.when((netloc(url) != "") & (scheme(url) != ""), F.concat(scheme(url), F.lit("://"), host, F.when(path(url) == "", "/").otherwise(path(url)), tail))
 
 
+def without_dots(url_path: Column) -> Column:
+    """A path with ``.`` and ``..`` segments worked off; one at the end leaves its slash."""
+    parts = F.split(F.regexp_replace(url_path, r"/(\.\.?)$", "/$1/"), "/")
+    nothing = F.slice(parts, F.lit(1), F.lit(0))
+    folded = F.aggregate(parts, nothing, lambda acc, p: F.when(p == ".", acc).when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p))))
+    return F.when(url_path.rlike(r"/\.\.?(/|$)"), F.array_join(folded, "/")).otherwise(url_path)
+
+
 def resolved(base: Column, href: Column) -> Column:
     """A link's target as seen from its page; null for an empty or null reference."""
     root = F.concat(scheme(base), F.lit("://"), netloc(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
+    plain = lambda ref: F.concat(without_dots(F.regexp_extract(ref, r"^[^?#]*", 0)), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1))
     return (
         F.when(F.trim(href) == "", F.lit(None))
         .when(scheme(href) != "", href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme(base), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, plain(href)))
         .when(F.startswith(href, F.lit("?")), F.concat(root, path(base), href))
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(F.concat(root, plain(F.concat(F.when(folder == "", "/").otherwise(folder), href))))
     )
 
 
-def generalized(host: Column, url_path: Column, suffix_labels: int = 1) -> Column:
+def suffix_size(host: Column, suffixes: Sequence[str]) -> Column:
+    """How many labels a host's public suffix has, given those of more than one label, such as co.uk."""
+    known = F.array(*[F.lit(s) for s in suffixes]).cast("array<string>")
+    last = lambda n: F.concat_ws(".", F.slice(F.reverse(F.slice(F.reverse(F.split(F.lower(host), r"\.")), F.lit(1), F.lit(n))), F.lit(1), F.lit(n)))
+    return F.when(F.array_contains(known, last(3)), 3).when(F.array_contains(known, last(2)), 2).otherwise(1)
+
+
+def generalized(host: Column, url_path: Column, suffix_labels: int | Column = 1) -> Column:
     """suffix/domain/subdomains from right to left (``S`` if none)/path parts, where decimal parts
     become ``#``, parts over ten characters ``A`` and others are lower-cased and trimmed.
 
-    A public suffix is taken to be the last ``suffix_labels`` labels of the host."""
+    A public suffix is taken to be the last ``suffix_labels`` labels of the host; `suffix_size` gives
+    their number by a list of suffixes."""
+    suffix_labels = F.lit(suffix_labels) if isinstance(suffix_labels, int) else suffix_labels
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffix = F.array_join(F.slice(labels, F.greatest(n - suffix_labels + 1, F.lit(1)), F.lit(suffix_labels)), ".")
+    suffix = F.array_join(F.slice(labels, F.greatest(n - suffix_labels + 1, F.lit(1)), suffix_labels), ".")
     domain = F.coalesce(F.get(labels, n - suffix_labels - 1), F.lit(""))
     inner = F.slice(labels, F.lit(1), F.greatest(n - suffix_labels - 1, F.lit(0)))
     subdomain = F.when(n > suffix_labels + 1, F.array_join(F.reverse(inner), "/")).otherwise(F.lit("S"))

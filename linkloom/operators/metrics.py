@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators.components import connected_components
+from linkloom.operators.materialize import materialized
+
 
 def ratio(num: Column, den: Column) -> Column:
     """num / den, 0 where den is 0."""
@@ -97,45 +100,32 @@ def assigned(weight: np.ndarray) -> float:
     return float(weight[row_of[at], at].sum())
 
 
-def components(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A component number for each edge of a bipartite graph."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(left.tolist(), right.tolist()):
-        root[find(("k", a))] = find(("s", b))
-    return pd.factorize(pd.Series([str(find(("k", a))) for a in left.tolist()]))[0]
-
-
 def ceaf(key: DataFrame, system: DataFrame, entity: bool = True) -> DataFrame:
     """doc, p_num, p_den, r_num, r_den of CEAF: the best one-to-one matching of clusters, by
     ``2n / (|k| + |s|)`` and numbers of clusters, or by n and numbers of mentions.
 
     Clusters that share no mention have weight 0, so each connected part of a document's sparse
     matching is solved by itself. A pair of clusters that meet no others is a part with one solution
-    and stays in the JVM; only the rest is solved in Python, document by document."""
-    alone = lambda c: F.count("*").over(Window.partitionBy("doc", c)) == 1
-    cells = contingency(key, system).withColumn("alone", alone("k") & alone("s"))
+    and stays in the JVM; the rest is solved in Python, part by part. Where all clusters of a large
+    document hang together its part is one group: a matrix of its clusters on either side."""
+    cells = materialized(contingency(key, system))
+    for c in "ks":
+        several = cells.groupBy("doc", c).agg((F.count("*") == 1).alias(f"one_{c}"))
+        cells = cells.join(several, ["doc", c])
+    cells = cells.withColumn("alone", F.col("one_k") & F.col("one_s")).drop("one_k", "one_s")
     weight = 2 * F.col("n") / (F.col("nk") + F.col("ns")) if entity else F.col("n").cast("double")
     single = cells.where("alone").groupBy("doc").agg(F.sum(weight).alias("num"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        part = components(pdf["k"].to_numpy(), pdf["s"].to_numpy())
-        for _, rows in pdf.groupby(part):
-            k, s = pd.factorize(rows["k"])[0], pd.factorize(rows["s"])[0]
-            w = np.zeros((k.max() + 1, s.max() + 1))
-            w[k, s] = 2 * rows["n"] / (rows["nk"] + rows["ns"]) if entity else rows["n"]
-            total += assigned(w)
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "num": [total]})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        k, s = pd.factorize(rows["k"])[0], pd.factorize(rows["s"])[0]
+        w = np.zeros((k.max() + 1, s.max() + 1))
+        w[k, s] = 2 * rows["n"] / (rows["nk"] + rows["ns"]) if entity else rows["n"]
+        return pd.DataFrame({"doc": [rows["doc"].iloc[0]], "num": [assigned(w)]})
 
     schema = key.select("doc").schema.add("num", "double")
-    solved = cells.where("NOT alone").drop("alone").groupBy("doc").applyInPandas(run, schema)
+    rest = cells.where("NOT alone").drop("alone").withColumn("node", F.xxhash64("doc", F.lit("k"), "k"))
+    parts = connected_components(rest.select("node", F.xxhash64("doc", F.lit("s"), "s").alias("other")), "node", "other")
+    solved = rest.join(parts, "node").groupBy("doc", "component").applyInPandas(run, schema)
     best = single.unionByName(solved).groupBy("doc").agg(F.sum("num").alias("num"))
     count = F.countDistinct("cluster") if entity else F.count("*")
     k = key.groupBy("doc").agg(count.cast("double").alias("r_den"))

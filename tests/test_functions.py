@@ -27,6 +27,7 @@ def test_normalized(spark, url, want):
     [
         ("http://a.b/c/d?q#f", "e", "http://a.b/c/e"), ("http://a.b/c/d", "/e", "http://a.b/e"), ("http://a.b/c", "//x.y/z", "http://x.y/z"), ("http://a.b", "e", "http://a.b/e"),
         ("http://a.b/c?q", "?r", "http://a.b/c?r"), ("http://a.b/c#f", "#g", "http://a.b/c#g"), ("http://a.b/c", "mailto:x", "mailto:x"), ("http://a.b/c", " ", None), ("http://a.b/c", None, None),
+        ("http://a.b/c/d/e", "../f", "http://a.b/c/f"), ("http://a.b/c/d/e", "./f?x=../y", "http://a.b/c/d/f?x=../y"), ("http://a.b/c/d", "../../../f", "http://a.b/f"), ("http://a.b/c/d/e", "..", "http://a.b/c/"), ("http://a.b/c", "/x/./y/../z", "http://a.b/x/z"),
     ],
 )
 def test_resolved(spark, base, href, want):
@@ -43,6 +44,12 @@ def test_generalized(spark, host, path, want):
     assert one(spark, urls.generalized(F.col("h"), F.col("p")), h=host, p=path) == want
 
 
+@pytest.mark.parametrize("host,want", [("news.bbc.co.uk", "co.uk/bbc/news/x"), ("bbc.co.uk", "co.uk/bbc/S/x"), ("a.b.com", "com/b/a/x"), ("uk", "uk//S/x")])
+def test_generalized_by_suffix_list(spark, host, want):
+    h = F.col("h")
+    assert one(spark, urls.generalized(h, F.lit("/x"), urls.suffix_size(h, ["co.uk", "com.au"])), h=host) == want
+
+
 def test_clean_and_headline(spark):
     assert one(spark, text.clean(F.col("t")), t="Salt and \xadsand \u3000 x") == "Salt and sand x"
     assert one(spark, text.is_headline(F.col("t")), t="The Quick Brown Fox Jumps Over Dogs") is True
