@@ -1,8 +1,10 @@
 """Edge cases and brute-force versions of the training-data operators."""
 
 import math
+import os
 import random
 import tracemalloc
+from collections import Counter
 
 import pytest
 
@@ -341,6 +343,32 @@ def test_quality_network_covers_whole_texts():
     assert net.scores(pa.array([long + " x***y%%%" * 3000], pa.large_string()))[0] < net.scores(pa.array([long], pa.large_string()))[0] - 0.1
 
 
+def quality_by_hand(net, text):
+    import numpy as np
+
+    raw = text.encode()
+    blocks = -(-(len(raw) + quality_cnn.WIDTH - quality_cnn.STRIDE) // quality_cnn.BLOCK_BYTES)
+    data = raw + bytes(blocks * quality_cnn.BLOCK_BYTES + quality_cnn.WIDTH - len(raw))
+    best = np.zeros((blocks, quality_cnn.FILTERS))
+    for start in range(0, max(len(raw), 1), quality_cnn.STRIDE):
+        response = net.bias + sum(net.embed[data[start + j]] @ net.kernel[j] for j in range(quality_cnn.WIDTH))
+        k = start // quality_cnn.BLOCK_BYTES
+        best[k] = np.maximum(best[k], response)
+    chunks = best if blocks == 1 else np.maximum(best[:-1], best[1:])
+    z = np.concatenate((chunks.mean(axis=0), best.max(axis=0), [1])) @ net.head
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_window_by_window():
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    net = quality_cnn.fit([prose(30, rng) if i % 2 else "### *** %%% é" * (i + 1) for i in range(30)], [i % 2 for i in range(30)])
+    texts = ["", "x", "été ß 日本", prose(3, rng), prose(60, rng), prose(400, rng), "*" * 255, "*" * 256, "a" * 257, prose(90, rng) + " ### " * 70]
+    got = net.scores(pa.array(texts, pa.large_string()))
+    assert got.tolist() == pytest.approx([quality_by_hand(net, t) for t in texts], abs=1e-4)
+
+
 @pytest.mark.parametrize("length", [*range(250, 258), *range(506, 514)])
 def test_quality_scores_ignore_neighbours(length):
     import pyarrow as pa
@@ -489,6 +517,26 @@ def test_near_duplicates_of_repeated_rows_and_nulls(spark):
     assert kept == [3, 4, 6, 7]
 
 
+def test_odd_rows_have_defined_values(spark):
+    docs = frame(spark, ODD)
+    run = every_operator(spark)
+    rows = {name: run[name](docs).collect() for name in ("tokens", "language", "licences", "toxicity", "quality", "near")}
+    of = lambda name, i: [r for r in rows[name] if r.doc_id == i]
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for i, t in ODD:
+        assert all(r.n_tokens == len(sp.encode(t or "")) and r.n_bytes == len((t or "").encode()) for r in of("tokens", i))
+    assert [(r.lang_pred, r.score) for i in (1, 2, 3) for r in of("language", i)] == [("und", 0.0)] * 3
+    assert all((r.n_base, r.first_word, r.labels, r.score) == (0, None, "", 0.0) for r in rows["licences"])
+    for name in ("toxicity", "quality"):
+        # Null and empty texts score alike, repeated rows too.
+        assert of(name, 1)[0].score == of(name, 2)[0].score and len({r.score for r in of(name, 5)}) == 1
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows[name])
+    assert {(r.doc_id, r.class_id, r.class_size) for r in rows["near"]} == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (None, None, 1), (5, 5, 2), (7, 7, 1), (8, 8, 1)}
+    pages = spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "http://a.org/x", 1), (3, "", 2), (4, "://", 3), (5, "http://" + "x" * 100_000 + ".org/" + "y" * 100_000, 4)], "page_id long, url string, host int")
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(pages, [("block", "org", "/")]).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, "allow"), (1, None, "allow"), (None, "org/", "block"), (3, None, "allow"), (4, None, "allow"), (5, "org/", "block")], key=str)
+
+
 def test_stages_pass_columns_of_any_name(spark):
     # Rows with names that the operators use themselves, nulls in them too.
     names = ["__key", "own", "leak", "node", "class_id", "name", "row", "part", "bucket"]
@@ -502,6 +550,41 @@ def test_stages_pass_columns_of_any_name(spark):
     assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == {3}
 
 
+def grams_by_hand(text):
+    letters = "".join(c if c.isalpha() or 0x300 <= ord(c) < 0x370 else "\0" for c in text.lower())
+    padded = f"\0{letters}\0"
+    for n in language_id.ORDERS:
+        for i in range(len(padded) - n + 1):
+            g = padded[i : i + n]
+            if "\0" not in g[1:-1] and g.strip("\0") and not (g[0] == g[-1] == "\0"):
+                yield g
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_language_filters_against_sets(spark):
+    # The same n-grams in plain sets: filters hold all of them and few others, and decide alike.
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = language_id.train(docs, F.lit(True))
+    rows = [(r.text, r.lang) for r in docs.select("text", "lang").collect() if r.text and r.lang]
+    counts = {k: Counter(g for t, lang in rows if lang == k for g in grams_by_hand(t)) for k in filters.languages}
+    share = {k: {g: n / c.total() for g, n in c.items() if n / c.total() >= language_id.MIN_SHARE} for k, c in counts.items()}
+    most = Counter()
+    for found in share.values():
+        for g, x in found.items():
+            most[g] = max(most[g], x)
+    sets = [{g for g, x in share[k].items() if x * language_id.RATIO >= most[g]} for k in filters.languages]
+    texts = [t for t, _ in rows][:120] + ["Zzz qqq xxjj", "word"]
+    total, held = filters.hits(texts)
+    names, _ = filters.decide(texts)
+    for i, t in enumerate(texts):
+        grams = list(grams_by_hand(t))
+        exact = [sum(g in known for g in grams) for known in sets]
+        assert total[i] == len(grams)
+        assert all(e <= h <= e + 2 + 0.001 * len(grams) for e, h in zip(exact, held[i].tolist()))
+        if sorted(exact)[-1] > sorted(exact)[-2] + 2 + 0.001 * len(grams):
+            assert names[i] == filters.languages[exact.index(max(exact))]
+
+
 def test_language_filter_by_statement(spark):
     rng = random.Random(9)
     words = {"en": [f"the{k}" for k in range(80)], "de": [f"der{k}ung" for k in range(80)]}
