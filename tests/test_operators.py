@@ -112,6 +112,27 @@ def test_average_linkage():
         assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)} == linkage_by_hand(d, 0.45)
 
 
+def test_equal_members_are_contracted_before_clustering(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(8, 3)).round(2)[rng.integers(0, 8, 30)], np.zeros((3, 3))])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = linkage_by_hand(np.maximum(0, 1 - unit @ unit.T), 0.5)
+    monkeypatch.setattr(clustering, "MAX_GROUP", 11)  # eight vectors and three zeros
+
+    def found(labelled):
+        clusters = {}
+        for r in labelled.collect():
+            clusters.setdefault((r.g, r.label), set()).add(r.k)
+        return {frozenset(c) for c in clusters.values()}
+
+    rows = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)], "g string, k long, v array<double>")
+    assert found(clustering.cluster_vectors(rows, "g", "k", "v", 0.5)) == want
+    grams = [(None, i, f"g{j}", float(v)) for i, r in enumerate(unit) for j, v in enumerate(r) if v] + [(None, i, None, None) for i in (30, 31, 32)]
+    weights = spark.createDataFrame(grams, "g string, k long, gram string, weight double")
+    assert found(clustering.cluster_texts(weights, "g", "k", 0.5)) == want
+    assert clustering.cluster_texts(weights.where("false"), "g", "k", 0.5).count() == 0
+
+
 def test_ceaf_and_conll_of_equal_clusterings(spark):
     rows = [("d", m, m % 3) for m in range(9)]
     key = spark.createDataFrame(rows, "doc string, mention long, cluster long")
