@@ -79,3 +79,34 @@ def doc_topic(doc_id: Column) -> tuple[Column, Column]:
     parts = F.split(doc_id, "_")
     plus = F.coalesce(F.endswith(F.get(parts, F.lit(1)), F.lit("plus")), F.lit(False))
     return F.get(parts, F.lit(0)), F.concat(F.get(parts, F.lit(0)), F.when(plus, "_plus").otherwise("_0"))
+
+
+def conll_topic(doc_id: Column) -> tuple[Column, Column]:
+    """Topic, and the topic with 1 where the id has ``plus`` in it, else with 0."""
+    topic = F.split_part(doc_id, F.lit("_"), F.lit(1))
+    return topic, F.concat(topic, F.when(F.contains(doc_id, F.lit("plus")), "_1").otherwise("_0"))
+
+
+def map_hash(settings: Column) -> Column:
+    """Eight digits that name a map of strings, whatever the order of its keys; null values count."""
+    entries = F.transform(F.array_sort(F.map_entries(settings)), lambda e: F.to_json(F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("")).alias("v"), e["value"].isNull().alias("n"))))
+    return short_hash(F.concat_ws("\n", entries))
+
+
+def with_deviation(mean: Column, deviation: Column, decimals: int) -> Column:
+    """``mean+-deviation`` with fixed decimals, a missing deviation being 0."""
+    shown = lambda c: F.format_string(f"%.{decimals}f", F.round(c, decimals))
+    return F.concat(shown(mean), F.lit("+-"), shown(F.coalesce(deviation, F.lit(0.0))))
+
+
+def moment(written: Column) -> Column:
+    """The timestamp of a date with a zone, ISO 8601 or as in mail headers; null where unreadable.
+    Without a zone the session's holds."""
+    bare = F.regexp_replace(F.trim(written), r"^\p{L}+, *", "")
+    formats = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]
+    return F.coalesce(bare.try_cast("timestamp"), *[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
+
+
+def gold_subtopic(doc_id: Column) -> Column:
+    """Topic and first document part of an id: ``12_7ecb`` of ``12_7ecb_3``."""
+    return F.substring_index(doc_id, "_", 2)

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions import spans
+from linkloom.functions import spans, text
+from linkloom.operators import sampling
 
 
 def mention_pairs(mentions: DataFrame, topic: str, key: str) -> DataFrame:
@@ -159,6 +160,18 @@ def hyperedges(links: DataFrame, src: str, dst: str) -> DataFrame:
     return links.groupBy(dst).agg(F.array_sort(F.collect_set(src)).alias("pins"), F.count("*").alias("weight"))
 
 
+def hyperedge_offsets(edges: DataFrame, dst: str) -> DataFrame:
+    """dst, start, end of each hyperedge's pins in the list of all pins, hyperedges in order of dst."""
+    sized = edges.select(dst, F.size("pins").cast("long").alias("n"))
+    return sampling.running_sum(sized, "n", dst).select(dst, F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("end"))
+
+
+def conll_rows(tokens: DataFrame, mentions: DataFrame, doc: str, token: str, validated: str) -> DataFrame:
+    """The validated tokens with topic, subtopic (1 for a second collection, else 0) and ``coref``."""
+    topic, subtopic = text.conll_topic(F.col(doc))
+    return conll_column(tokens.where(F.col(validated)).withColumns({"topic": topic, "subtopic": subtopic}), mentions, doc, token)
+
+
 def balanced_partition(links: DataFrame, src: str, dst: str, shares: Mapping[str, float], rounds: int = 3, epsilon: float = 0.03) -> DataFrame:
     """src, split: every source in one split, sizes near the shares, few targets cut.
 

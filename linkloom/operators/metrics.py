@@ -163,3 +163,8 @@ def mean_and_deviation(scores: DataFrame, keys: list[str], value: str) -> DataFr
 
 def harmonic_mean(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     return scores.where(F.col(value) > 0).groupBy(*keys).agg((F.count("*") / F.sum(1 / F.col(value))).alias("harmonic_mean"))
+
+
+def with_copies(scores: DataFrame, of: Column, column: str, value: str) -> DataFrame:
+    """The scores and, again, those that ``of`` holds for, with another value in a column."""
+    return scores.unionByName(scores.where(of).withColumn(column, F.lit(value)))

@@ -25,6 +25,18 @@ def placed(df: DataFrame, *order: str) -> DataFrame:
     return rows.join(F.broadcast(before), "__p").withColumn("place", (F.col("__before") + within).cast("long")).drop("__p", "__before")
 
 
+def running_sum(df: DataFrame, value: str, *order: str) -> DataFrame:
+    """Adds ``before``, the sum of ``value`` over all earlier rows in the given order, which should end in
+    a unique column: sums within range partitions plus what the partitions before hold."""
+    rows = materialized(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sums = rows.groupBy("__p").agg(F.sum(value).alias("__n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition.
+    start = sums.select("__p", F.coalesce(F.sum("__n").over(earlier(Window.orderBy("__p"))), F.lit(0)).alias("__start"))
+    within = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("__p").orderBy(*order))), F.lit(0))
+    return rows.join(F.broadcast(start), "__p").withColumn("before", F.col("__start") + within).drop("__p", "__start")
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Adds ``place``: the rows in an order by digests, ties by key."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

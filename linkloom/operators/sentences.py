@@ -6,6 +6,8 @@ import itertools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,18 +135,40 @@ def joined_text(sentences: DataFrame, key: str, idx: str = "sentence_idx", colum
     return sentences.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "\n").alias("text"))
 
 
-def segmented(sentences: DataFrame, key: str, idx: str, length: str, window: int) -> DataFrame:
-    """Adds ``segment``: sentences packed in order into segments of at most ``window - 2`` tokens; a
-    longer sentence has a segment to itself. A fold over each page's sentence lengths."""
+def packed(sentences: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
+    """The segment of each word: as many words as fit the limit, cut before the sentence that doesn't fit
+    whole, or before the word if that sentence is longer than a segment. A word over the limit stands
+    alone."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.flatnonzero(np.r_[True, sentences[1:] != sentences[:-1]])
+    out, start, segment = np.empty(len(sizes), np.int64), 0, 0
+    while start < len(sizes):
+        end = int(np.searchsorted(total, total[start] + limit, side="right")) - 1
+        if end < len(sizes):
+            opens = int(first[np.searchsorted(first, end, side="right") - 1])
+            end = opens if opens > start else max(end, start + 1)
+        out[start:end] = segment
+        start, segment = end, segment + 1
+    return out
+
+
+def segmented_words(words: DataFrame, key: str, sentence: str, idx: str, length: str, window: int) -> DataFrame:
+    """key, sentence, idx, segment: words (with their number of pieces) packed in order into segments of at
+    most ``window - 2`` pieces. One page's numbers are one row; texts don't travel."""
     limit = window - 2
-    lengths = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(length).cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("segment"), F.array().cast("array<struct<i:bigint,segment:bigint>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + x["n"] > limit)
-        segment = acc["segment"] + F.when(opens, 1).otherwise(0).cast("long")
-        used = F.when(opens, x["n"]).otherwise(acc["used"] + x["n"])
-        return F.struct(used.alias("used"), segment.alias("segment"), F.concat(acc["out"], F.array(F.struct(x["i"].cast("long").alias("i"), segment.alias("segment")))).alias("out"))
+    @F.pandas_udf("array<bigint>")
+    def numbers(of: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([packed(np.asarray(s, np.int64), np.asarray(n, np.int64), limit) for s, n in zip(of, sizes)], dtype=object)
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(sentence).cast("long").alias("s"), F.col(idx).cast("long").alias("i"), F.col(length).cast("long").alias("n"))))
+    pages = words.groupBy(key).agg(ordered.alias("__l"))
+    each = pages.withColumn("__g", numbers(F.col("__l.s"), F.col("__l.n"))).select(key, F.inline(F.arrays_zip("__l", "__g")))
+    return each.select(key, F.col("__l.s").alias(sentence), F.col("__l.i").alias(idx), F.col("__g").alias("segment"))
 
-    folded = sentences.groupBy(key).agg(lengths.alias("__l")).select(key, F.inline(F.aggregate("__l", start, step, lambda a: a["out"])))
-    return folded.select(key, F.col("i").alias(idx), "segment")
+
+def segmented(sentences: DataFrame, key: str, idx: str, length: str, window: int) -> DataFrame:
+    """Adds ``segment``: sentences packed in order into segments of at most ``window - 2`` tokens; a
+    longer sentence has a segment to itself."""
+    rows = sentences.select(key, F.col(idx).alias("__s"), F.lit(0).alias("__i"), length)
+    return segmented_words(rows, key, "__s", "__i", length, window).select(key, F.col("__s").alias(idx), "segment")

@@ -27,7 +27,7 @@ def query(oracle: str | None = None):
 
 
 def load() -> None:
-    from linkloom.plans import consistency_queries, coref_queries, dedup_queries, link_queries, sentence_queries  # noqa: F401
+    from linkloom.plans import alignment_queries, consistency_queries, coref_queries, dedup_queries, link_queries, sentence_queries  # noqa: F401
 
 
 load()
