@@ -80,12 +80,55 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_conll(tokens: DataFrame, path: str, name: str, order: list[str], columns: list[str], topic: str | None = None) -> None:
-    """One document of all tokens, or one of each topic, as CoNLL text; each document is one file."""
-    by = F.col(topic) if topic else F.lit("all")
-    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in columns])
-    rows = tokens.select(by.alias("part"), F.struct(*order).alias("o"), line.alias("line")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("l"))
-    body = F.concat(F.lit(f"#begin document ({name}"), F.when(F.lit(topic is not None), F.concat(F.lit("_"), F.col("part"))).otherwise(""), F.lit("); part 000\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n#end document"))
-    rows.select(body.alias("value")).write.mode("overwrite").text(path)
+    """One document of all tokens, or one of each topic, as CoNLL text.
+
+    Lines are range-partitioned and sorted, markers standing before and after a document's tokens, so
+    nothing gathers. With a topic each document lies whole in one file; without, it is the files in the
+    order of their names."""
+    part = F.col(topic).cast("string") if topic else F.lit("")
+    rows = tokens.select(part.alias("part"), F.lit(1).alias("kind"), *order, F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("line"))
+    parts = rows.select("part").distinct() if topic else rows.sparkSession.createDataFrame([("",)], "part string")
+    title = F.concat(F.lit(f"#begin document ({name}"), F.concat(F.lit("_"), F.col("part")) if topic else F.lit(""), F.lit("); part 000"))
+    marks = [parts.select("part", F.lit(k).alias("kind"), line.alias("line")) for k, line in ((0, title), (2, F.lit("#end document")))]
+    every = rows.unionByName(marks[0], True).unionByName(marks[1], True)
+    keys = ["part", "kind", *order]
+    every.repartitionByRange(*(keys[:1] if topic else keys)).sortWithinPartitions(*keys).select("line").write.mode("overwrite").text(path)
+
+
+def write_lines(lines: DataFrame, path: str, *order: Column) -> None:
+    """The column ``line`` as text in a global order: the files in the order of their names."""
+    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
+
+
+def write_report(counts: DataFrame, path: str, *columns: str) -> None:
+    """Counted things as aligned text, most frequent first (column ``n``), ties by name."""
+    line = F.concat_ws("  ", *[F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 40, " ") for c in columns], F.lpad(F.col("n").cast("string"), 12, " "))
+    write_lines(counts.withColumn("line", line), path, F.desc("n"), *map(F.col, columns))
+
+
+def write_prefix_tree(counts: DataFrame, path: str) -> None:
+    """A tree of prefixes as JSON lines, one node (prefix, its counts) a line; parents are prefixes of
+    their children, so no task holds the tree."""
+    counts.select(F.to_json(F.struct(*counts.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_each(texts: DataFrame, path: str, place: str, body: str) -> None:
+    """One folder ``file=<six digits>_<hash>`` with one text file for each row, for reading a sample."""
+    name = F.concat(F.lpad(F.col(place).cast("string"), 6, "0"), F.lit("_"), F.substring(F.md5(body), 1, 8))
+    texts.select(name.alias("file"), F.col(body).alias("value")).write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
+
+
+def write_score_tables(scores: DataFrame, path: str, name: str, columns: list[str]) -> None:
+    """Scores as CSV below ``csv`` and as lines of a LaTeX table below ``latex``, ordered by name."""
+    write_csv(scores, f"{path}/csv")
+    cells = F.concat_ws(" & ", *[F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in (name, *columns)])
+    write_lines(scores.withColumn("line", F.concat(cells, F.lit(r" \\"))), f"{path}/latex", F.col(name))
+
+
+def read_validated_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """doc, sent_id of a CSV of topic, file and sentence number; documents are named ``topic_file.xml``."""
+    rows = spark.read.schema("topic string, file string, sentence int").csv(path, header=True)
+    return rows.select(F.concat("topic", F.lit("_"), "file", F.lit(".xml")).alias("doc"), F.col("sentence").alias("sent_id")).distinct()
 
 
 def read_ecb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -100,6 +143,19 @@ def read_ecb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tokens, mentions.where(~F.col("related")).withColumn("is_event", F.col("tag").rlike("^(ACT|NEG)"))
 
 
+def read_ecb_relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Relations (doc, r_id, tag, source, target) and their targets (doc, m_id, instance, descriptor) of
+    ECB+ XML, for ``ecb.with_clusters``."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r'doc_name="([^"]*)"', 1).alias("doc"), "value")
+    each = lambda pattern, group: F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("x")
+    field = lambda name: F.regexp_extract("x", rf'\b{name}="([^"]*)"', 1)
+    found = raw.select("doc", each(r"(?s)<([A-Z_]+) r_id=.*?</\1>", 0))
+    ids = lambda tag: F.transform(F.regexp_extract_all("x", F.lit(rf'<{tag} m_id="(\d+)"'), F.lit(1)), lambda v: v.cast("int"))
+    relations = found.select("doc", field("r_id").cast("long").alias("r_id"), F.regexp_extract("x", r"^<([A-Z_]+)", 1).alias("tag"), F.explode(ids("source")).alias("source"), F.get(ids("target"), F.lit(0)).alias("target"))
+    named = raw.select("doc", each(r"<[A-Z_]+ m_id=[^>]*RELATED_TO=[^>]*>", 0))
+    return relations, named.select("doc", field("m_id").cast("int").alias("m_id"), field("instance_id").alias("instance"), field("TAG_DESCRIPTOR").alias("descriptor"))
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """All CSV score tables below a folder, with the file's path as a key."""
     return spark.read.option("recursiveFileLookup", "true").option("header", "true").csv(path).withColumn("path", F.col("_metadata.file_path"))
