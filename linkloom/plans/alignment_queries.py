@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
-from linkloom.operators import coref, dedup, ecb, matching, metrics, sampling, sentences, vectors
+from linkloom.operators import coref, dedup, ecb, matching, metrics, parses, sampling, sentences, vectors
 from linkloom.plans.dedup_queries import documents
 from linkloom.plans.registry import query, table
 from linkloom.plans.sentence_queries import TOKENS, document_tokens
@@ -243,3 +243,37 @@ SELECT DISTINCT place // 64 AS batch, segment FROM (SELECT place, unnest([a, b])
 def batch_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = sampling.placed(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("a"), (F.col("o_orderkey") % 20).alias("b")), "o_orderkey")
     return vectors.batch_segments(pairs, "place", 64, ["a", "b"])
+
+
+# Four tokens a mention and three shapes of parse; the oracle names what each shape leaves.
+PARSED = f"""
+{LINES}, shapes AS (SELECT doc, line, part % 3 AS shape, list_transform(range(4), lambda i: 'w' || chr(CAST(97 + (part + i) % 26 AS INTEGER))) AS w FROM lines),
+least_spans AS (
+  SELECT doc, line, CASE shape WHEN 2 THEN 'VP' ELSE 'NP' END AS root,
+    CASE shape WHEN 0 THEN [w[1] || ' ' || w[2] || '@' || (line * 4 + 1)] WHEN 1 THEN [array_to_string(w, ' ') || '@' || (line * 4 + 3)] ELSE [w[1] || '@' || (line * 4 + 1), w[4] || '@' || (line * 4 + 3)] END AS spans
+  FROM shapes
+)"""
+SHAPES = [["(NP(NP*", "*)", "(PP*", "(NP*)))"], ["(NP*", "*", "*", "*)"], ["(VP*", "(NP*", "*)", "*)"]]
+
+
+def parsed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    bits = F.array(*[F.array(*map(F.lit, shape)) for shape in SHAPES])
+    tokens = rows.select("doc", "line", "part", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select(
+        "doc", (F.col("line") * 4 + F.col("i")).alias("token"), F.concat(F.lit("w"), F.char(97 + (F.col("part") + F.col("i")) % 26)).alias("word"),
+        F.when(F.col("i") == 2, "IN").otherwise("NN").alias("pos"), F.get(F.get(bits, (F.col("part") % 3).cast("int")), F.col("i")).alias("parse"),
+    )
+    mentions = rows.select("doc", "line", (F.col("line") * 4).alias("start"), (F.col("line") * 4 + 3).alias("end"))
+    return parses.with_minimum_spans(mentions, tokens, "doc", "token", "line")
+
+
+@query(f"WITH {PARSED} SELECT doc, line, root, array_to_string(spans, ';') AS spans FROM least_spans")
+def minimum_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.transform("spans", lambda s: F.concat(s["words"], F.lit("@"), s["at"].cast("string")))
+    return parsed_mentions(spark, sf_dir).select("doc", "line", "root", F.array_join(shown, ";").alias("spans"))
+
+
+@query(f"WITH {PARSED}, chains AS (SELECT *, line % 2 AS chain FROM least_spans) SELECT doc, chain, line FROM chains c WHERE root = 'NP' AND (NOT EXISTS (SELECT 1 FROM chains v WHERE v.doc = c.doc AND v.chain = c.chain AND v.root = 'VP') OR (SELECT count(*) FROM chains n WHERE n.doc = c.doc AND n.chain = c.chain AND n.root = 'NP') > 1)")
+def verb_phrases_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parsed_mentions(spark, sf_dir).withColumn("chain", F.col("line") % 2)
+    return parses.without_verb_phrases(rows, ["doc", "chain"]).select("doc", "chain", "line")
