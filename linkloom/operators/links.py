@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import text, urls
+from linkloom.operators.sampling import running_sum
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
 
@@ -115,8 +116,7 @@ def selected_prefixes(generalized: DataFrame, column: str, mass: float = 0.9) ->
 
     The deepest prefix that holds the mass is opened: its children and its own exact URLs, most
     frequent first (ties by prefix), up to the one whose running sum is nearest. Counts are compared,
-    never float shares. The one-row total is cross-joined; what is ranked in one task is one
-    prefix's children."""
+    never float shares. Totals are one row; children are ranked in range partitions, not in one task."""
     counts = prefix_counts(generalized, column)
     # The root above all first parts is a prefix too: the empty one, at depth 0.
     total = generalized.agg(F.count("*").alias("total"))
@@ -126,14 +126,18 @@ def selected_prefixes(generalized: DataFrame, column: str, mass: float = 0.9) ->
     top = F.broadcast(top.select(F.col("prefix").alias("top"), F.col("depth").alias("top_depth"), F.col("n_own").alias("top_own"), "total"))
     children = counts.join(top, (F.col("depth") == F.col("top_depth") + 1) & ((F.col("top") == "") | F.startswith("prefix", F.concat("top", F.lit("/"))))).select("prefix", "n", "total")
     own = top.where("top_own > 0").select(F.col("top").alias("prefix"), F.col("top_own").alias("n"), "total")
-    run = Window.orderBy(F.col("n").desc(), "prefix").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = children.unionByName(own).withColumn("cum", F.sum("n").over(run))
-    ranked = ranked.withColumn("away", F.abs(F.col("cum") - F.col("total") * mass))
-    stop = F.min_by("cum", F.struct("away", "cum")).over(Window.partitionBy(F.lit(1)))
-    return ranked.withColumn("stop", stop).where("cum <= stop").select("prefix", "n", "cum")
+    ranked = running_sum(children.unionByName(own).withColumn("__first", -F.col("n")), "n", "__first", "prefix").withColumn("cum", F.col("before") + F.col("n"))
+    stop = ranked.agg(F.min_by("cum", F.struct(F.abs(F.col("cum") - F.col("total") * mass), "cum")).alias("stop"))
+    return ranked.join(F.broadcast(stop), F.col("cum") <= F.col("stop")).select("prefix", "n", "cum")
 
 
 def with_selected_prefix(links: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
-    """Links whose generalized URL starts with a selected prefix, as strings."""
-    p = F.broadcast(prefixes.select(F.col("prefix").alias("__prefix")))
-    return links.join(p, F.startswith(column, "__prefix"), "left_semi")
+    """Links whose generalized URL starts with a selected prefix, as strings.
+
+    Each different URL is cut to the lengths that prefixes have (one row, no more numbers than a URL has
+    characters), so that any number of prefixes meets any number of URLs by an equi-join."""
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("__lengths"))
+    urls = links.select(F.col(column).alias("__url")).distinct().crossJoin(F.broadcast(lengths))
+    cut = urls.select("__url", F.explode(F.filter("__lengths", lambda n: n <= F.length("__url"))).alias("__n")).withColumn("prefix", F.left("__url", F.col("__n")))
+    found = cut.join(prefixes.select("prefix"), "prefix", "left_semi").select(F.col("__url").alias(column)).distinct()
+    return links.join(found, column, "left_semi")

@@ -113,6 +113,24 @@ def token_spans(links: DataFrame, tokens: DataFrame, keys: Sequence[str], start:
     return links.join(begin, [*keys, start]).join(finish, [*keys, end]).where("token_idx_to > token_idx_from")
 
 
+def clamped_spans(asked: DataFrame, sentences: DataFrame, key: str, start: str, end: str, idx: str = "sentence_idx") -> DataFrame:
+    """asked with ``idx`` (from 0 in the order of the page's sentences), ``from`` and ``to``: the part of a
+    text span in the first sentence that ends after its start, else in the last one, relative to it.
+
+    Sentences (chars_start, chars_end) follow each other; the number of those that end before a span is
+    a running count over both, so no row carries a page's sentences."""
+    order = Window.partitionBy(key).orderBy(idx)
+    numbered = sentences.select(key, (F.row_number().over(order) - 1).alias("idx"), F.col("chars_start").alias("__s"), F.col("chars_end").alias("__e"))
+    ends = numbered.select(key, F.col("__e").alias("__at"), F.lit(0).alias("__kind"))
+    both = asked.withColumns({"__at": F.col(start), "__kind": F.lit(1)}).unionByName(ends, True)
+    page = Window.partitionBy(key)
+    gone = F.sum(1 - F.col("__kind")).over(page.orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.least(gone, F.sum(1 - F.col("__kind")).over(page) - 1).cast("int")
+    found = both.withColumn("idx", place).where("__kind = 1").join(numbered, [key, "idx"])
+    cut = {"from": F.greatest(F.col(start) - F.col("__s"), F.lit(0)), "to": F.least(F.col(end), F.col("__e")) - F.col("__s")}
+    return found.withColumns(cut).select(*asked.columns, "idx", "from", "to")
+
+
 def truncated_tails(sentences: DataFrame, tails: DataFrame, key: str, idx: str = "sentence_idx", keep: int = 5) -> DataFrame:
     """Tail pages keep their first sentences only."""
     marked = sentences.join(tails.select(key).distinct().withColumn("__tail", F.lit(True)), key, "left")

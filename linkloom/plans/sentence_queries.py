@@ -61,9 +61,9 @@ SELECT doc_id, sentence_idx, idx, greatest(s - spans[idx + 1].s, 0) AS start, le
 def span_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each sentence, a span from its fourth character to beyond its end, clamped to the document's sentences."""
     rows = document_sentences(spark, sf_dir)
-    listed = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sentence_idx", F.col("chars_start").alias("start"), F.col("chars_end").alias("end")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
-    asked = rows.join(listed, "doc_id").select("doc_id", "sentence_idx", F.inline(F.array(spans.clamped(F.col("chars_start") + 3, F.col("chars_end") + 2, F.col("spans")))))
-    return asked.select("doc_id", "sentence_idx", F.col("idx").cast("long").alias("idx"), "start", "end")
+    asked = rows.select("doc_id", "sentence_idx", (F.col("chars_start") + 3).alias("s"), (F.col("chars_end") + 2).alias("e"))
+    found = sentences.clamped_spans(asked, rows, "doc_id", "s", "e")
+    return found.select("doc_id", "sentence_idx", F.col("idx").cast("long").alias("idx"), F.col("from").alias("start"), F.col("to").alias("end"))
 
 
 WANTED, UNWANTED = (w.replace("'", "''") for w in (spans.WANTED, spans.UNWANTED))
