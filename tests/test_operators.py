@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,24 @@ def test_equal_members_are_contracted_before_clustering(spark, monkeypatch):
     weights = spark.createDataFrame(grams, "g string, k long, gram string, weight double")
     assert found(clustering.cluster_texts(weights, "g", "k", 0.5)) == want
     assert clustering.cluster_texts(weights.where("false"), "g", "k", 0.5).count() == 0
+    whole = linkage_by_hand(np.maximum(0, 1 - unit @ unit.T), 1.0)
+    assert len(found(clustering.cluster_texts(weights, "g", "k", 1.0))) == len(whole)
+
+
+def test_texts_are_clustered_by_components(spark, monkeypatch):
+    """A group of forty documents in parts of at most four, far over what may be gathered at once."""
+    rng = np.random.default_rng(7)
+    docs = [(g, i, f"{i // 4}-{j}", float(w)) for g in ("a", "b") for i in range(40) for j, w in enumerate(rng.random(5)) if w > 0.3]
+    frame = pd.DataFrame(docs, columns=["g", "k", "gram", "weight"])
+    frame["weight"] /= np.sqrt((frame["weight"] ** 2).groupby([frame["g"], frame["k"]]).transform("sum"))
+    monkeypatch.setattr(clustering, "MAX_GROUP", 4)
+    got = clustering.cluster_texts(spark.createDataFrame(frame), "g", "k", 0.2).toPandas()
+    for g, rows in frame.groupby("g"):
+        keys = sorted(rows["k"].unique())
+        x = rows.pivot(index="k", columns="gram", values="weight").fillna(0).loc[keys].to_numpy()
+        mine = got[got["g"] == g].groupby("label")["k"].apply(frozenset)
+        assert {frozenset(keys[i] for i in c) for c in linkage_by_hand(np.maximum(0, 1 - x @ x.T), 0.2)} == set(mine)
+        assert list(mine.index) == list(range(len(mine))) and [min(c) for c in mine] == sorted(min(c) for c in mine)
 
 
 def test_ceaf_and_conll_of_equal_clusterings(spark):
