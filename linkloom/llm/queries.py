@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontamination, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, toxicity, url_filter
+from linkloom.llm import decontamination, language_id, license_scan, line_dedup, manifest, mixing, near_dedup, quality_cnn, quality_rules, token_counts, toxicity, url_filter, whitening
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -275,3 +275,95 @@ ORACLES["op7_mixing"] = mix_oracle("documents")
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = rf"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), keyed AS (
+  SELECT doc_id, line, pos, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= {line_dedup.MIN_CHARS}) GROUP BY key HAVING count(*) >= {line_dedup.MIN_DOCS}
+), judged AS (
+  SELECT doc_id, line, pos, keeper IS NOT NULL AND keeper <> doc_id AS dropped FROM keyed LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    fit = whitening.train(vectors)
+    rows = whitening.whiten(vectors, fit).select("vec_id", "deviation", F.posexplode("whitened").alias("component", "whitened"))
+    explained = F.element_at(F.array(*[F.lit(float(e) / fit.total) for e in fit.values]) if fit.total else F.array(F.lit(0.0)), F.col("component") + 1)
+    return rows.select(
+        "vec_id", (F.col("component") + 1).cast("int").alias("component"), F.lit(fit.n).cast("long").alias("n"), F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened",
+        explained.alias("explained"), F.lit(fit.identity_error).alias("identity_error"),
+    )
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    leaf = lambda text: manifest.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    claim = F.when(fold(3, 0), leaf(F.translate("text", upper, lower))).otherwise(leaf(F.col("text")))
+    found = manifest.manifest(docs, leaf(F.col("text")), claim)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _manifest_oracle(levels: int = 7) -> str:
+    """SQL for up to 8 ** levels documents of a language, and 64 languages."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_reduce(list_prepend(xor(crc, code), [CAST(0 AS BIGINT) FOR _ IN range(8)]), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda crc, code: {byte}), 4294967295)"
+
+    def tree(name: str, by: str, leaves: str, height: int) -> list[str]:
+        """Levels of the trees by that column: pos, d; a tree of one node goes up unchanged."""
+        out = [f"{name}0 AS MATERIALIZED ({leaves})"]
+        for k in range(height):
+            n = f"count(*) OVER (PARTITION BY {by})"
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {by}, pos // 8 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d FROM (SELECT *, {n} AS n FROM {name}{k}) GROUP BY {by}, pos // 8)")
+        return out
+
+    def beside(name: str, by: str, height: int) -> list[str]:
+        """The siblings of every node: those left and those right of it."""
+        out = []
+        for k in range(height):
+            run = f"PARTITION BY {by}, pos // 8 ORDER BY pos ROWS BETWEEN"
+            out.append(f"{name}s{k} AS MATERIALIZED (SELECT {by}, pos, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, count(*) OVER (PARTITION BY {by}) > 1 AS up FROM {name}{k})")
+        return out
+
+    steps = [f"x{k}" for k in range(levels)] + ["y0", "y1"]
+    joins = " ".join(f"JOIN ls{k} x{k} ON x{k}.lang IS NOT DISTINCT FROM b.lang AND x{k}.pos = b.pos // {8**k}" for k in range(levels))
+    joins += " JOIN l{0} u ON u.lang IS NOT DISTINCT FROM b.lang JOIN t0 t ON t.lang IS NOT DISTINCT FROM b.lang".format(levels)
+    joins += " JOIN ts0 y0 ON y0.pos = t.pos JOIN ts1 y1 ON y1.pos = t.pos // 8, t2 top"
+    fold_steps = []
+    for k, s in enumerate(steps):
+        fold_steps.append(f"f{k} AS MATERIALIZED (SELECT * EXCLUDE (node), CASE WHEN {s}_up THEN sha256({s}_l || node || {s}_r) ELSE node END AS node FROM {'joined' if k == 0 else f'f{k - 1}'})")
+    wide = ", ".join(f"{s}.l AS {s}_l, {s}.r AS {s}_r, {s}.up AS {s}_up" for s in steps)
+    proof = " || ".join(f"{s}_l || {s}_r" for s in steps)
+    parts = [
+        f"b AS MATERIALIZED (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS claim FROM documents)",
+        *tree("l", "lang", "SELECT lang, pos, leaf AS d FROM b", levels),
+        *tree("t", "one", f"SELECT 1 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, d FROM l{levels}", 2),
+        *beside("l", "lang", levels),
+        *beside("t", "one", 2),
+        f"joined AS MATERIALIZED (SELECT doc_id, leaf, u.d AS subroot, top.d AS root, claim AS node, {wide} FROM b {joins})",
+        *fold_steps,
+    ]
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, node AS folded_root, node = root AS verified FROM f{len(steps) - 1}"
+
+
+ORACLES["op13_manifest"] = _manifest_oracle()
