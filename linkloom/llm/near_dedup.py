@@ -25,9 +25,11 @@ the start. Every pair of a bucket is decided, in an order that leaves few of the
 Buckets with a third of all rows are pre-aggregated minima and joins that Spark can split; no group
 is ever collected.
 
-Results: one row per document with class_id, the smallest doc_id of its class, and class_size. Null
-texts and texts without words are only ever equal to exact copies (null ones to nothing); repeated
-rows are copies; null ids never become class ids unless the class has no other. Ties cannot arise:
+Results: one row per document with class_id and class_size. class_id is the smallest doc_id of the class; a
+class without any id, or whose smallest id names another class already (where ids repeat), is named by a
+64-bit hash, so that no two classes share a name. A row with a null text is a class of its own, named by its
+id, null ids included; texts without words are only ever equal to exact copies; repeated rows are copies.
+Ties cannot arise:
 classes are components, whatever the order of tests. An empty table gives an empty result. Very long
 texts take memory in proportion to their length (`edit_distance` says how long they take). Extra
 columns are not read by `near_duplicates` and pass `drop_near_duplicates` untouched, whatever their
@@ -261,8 +263,8 @@ class Texts:
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         rows = self.docs.select(F.xxhash64(F.col(self.text)).alias("node"), F.col(self.key).cast("long").alias("__own"), F.col(self.text).alias("text")).where(F.col("text").isNotNull())
-        # The row of the smallest id, so copies stay where they are.
-        return rows.join(wanted, "node").where(F.col("__own").eqNullSafe(F.col("__id"))).select("node", "text")
+        # A row of the smallest id, so copies stay where they are; repeated rows are one.
+        return rows.join(wanted, "node").where(F.col("__own").eqNullSafe(F.col("__id"))).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def fits(threshold: float, *words: str) -> Column:
@@ -380,34 +382,43 @@ def components(texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """node, class_id, class_size and own_id (the text's smallest id) of every distinct text."""
+    """node, component, class_id, class_size, least_id (of the class, null if it has none) and least_node
+    (the text of that id with the least hash) of every distinct text."""
     scratch = Scratch(docs.sparkSession)
     prints = fingerprints(docs, key, text).where(F.col("node").isNotNull())
     nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bytes", "words", "sketch")]))
     parts = components(Texts(docs, nodes, key, text), threshold, scratch)
     small = nodes.select("node", "id", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = scratch.keep(small.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")))
-    out = saved(small.join(classes, "component").select("node", "class_id", "class_size", F.col("id").alias("own_id")))
+    classes = small.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"), F.sum("copies").alias("class_size"))
+    classes = scratch.keep(classes.select("component", F.col("least.id").alias("least_id"), F.col("least.node").alias("least_node"), "class_size"))
+    # Where ids repeat, classes may share their smallest one: the first by hash has it as its name.
+    named = classes.where("least_id IS NOT NULL").groupBy("least_id").agg(F.min("component").alias("component")).select("component", F.col("least_id").alias("own_name"))
+    named = classes.join(named, "component", "left").withColumn("class_id", F.coalesce("own_name", "component")).drop("own_name")
+    out = saved(small.select("node", "component").join(named, "component"))
     scratch.clear()
     return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, class_id, class_size and is_kept (whether the row is its class's representative by id)."""
+    """key, class_id, class_size and is_kept (whether the row is its class's representative: its smallest id;
+    repeated rows all are)."""
     classes = text_classes(docs, key, text, threshold)
-    rows = docs.select(F.col(key), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("node"))
-    out = rows.join(classes, "node", "left")
-    class_id = F.when(F.col("class_size").isNull(), F.col(key).cast("long")).otherwise(F.col("class_id"))
-    return out.select(key, class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col(key).cast("long").eqNullSafe(class_id).alias("is_kept"))
+    rows = docs.select(F.col(key).alias("own"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("name"))
+    out = rows.join(classes, F.col("name") == F.col("node"), "left")
+    alone = F.col("node").isNull()
+    class_id = F.when(alone, F.col("own").cast("long")).otherwise(F.col("class_id"))
+    kept = alone | ((F.col("node") == F.col("least_node")) & F.col("own").cast("long").eqNullSafe(F.col("least_id")))
+    return out.select(F.col("own").alias(key), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), kept.alias("is_kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, that of the smallest id, with all its columns."""
-    classes = text_classes(docs, key, text, threshold).where("class_size > 1").select("node", "class_id")
+    """One row of each class, that of the smallest id (if that id has several texts, the one with the least
+    hash; any one of repeated rows), with all its columns."""
+    classes = text_classes(docs, key, text, threshold).where("class_size > 1").select("node", "component", "least_id", "least_node")
     if classes.count() <= BROADCAST_ROWS:
         classes = F.broadcast(classes)
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("own"), F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text))).alias("name"))
     rows = rows.join(classes, F.col("name") == F.col("node"), "left")
     alone = rows.where(F.col("node").isNull())
-    chosen = rows.where(F.col("node").isNotNull() & F.col("own").eqNullSafe(F.col("class_id"))).dropDuplicates(["own", "class_id"])
+    chosen = rows.where((F.col("node") == F.col("least_node")) & F.col("own").eqNullSafe(F.col("least_id"))).dropDuplicates(["component"])
     return alone.unionByName(chosen).select("row.*")

@@ -517,6 +517,29 @@ def test_near_duplicates_of_repeated_rows_and_nulls(spark):
     assert kept == [3, 4, 6, 7]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (prose(60, random.Random(k), [f"w{k}{j}" for j in range(40)]) for k in range(3))
+    # Two classes whose smallest id is 5, two without any id, and one id with two texts of one class.
+    rows = [(5, a), (6, a), (5, b), (7, b), (None, c), (None, c), (None, c[:-30]), (None, "Alone here."), (None, "Alone here."), (9, a + " more"), (9, a + " other")]
+    docs = frame(spark, rows)
+    of = {(r.doc_id, r.class_size, r.class_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert len({x[2] for x in of}) == 4 and sorted(n for _, n in {(x[2], x[1]) for x in of}) == [2, 2, 3, 4]
+    assert 5 in {x[2] for x in of} and all(x[2] is not None for x in of)
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()), key=str)
+    assert [k for k in kept if k[0] is not None] == sorted([(5, a), (5, b)]) and len(kept) == 4 and (None, "Alone here.") in kept
+
+
+def test_near_duplicates_are_linear_in_repeated_rows(spark):
+    a = prose(200)
+    for n in (200, 20_000):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, a).otherwise(a + " and more").alias("text"))
+        docs = spark.createDataFrame([(2, "Something else.")], "doc_id long, text string").unionByName(rows)
+        texts = near_dedup.Texts(docs, near_dedup.fingerprints(docs, "doc_id", "text").groupBy("node").agg(F.min("id").alias("id")), "doc_id", "text")
+        assert texts.of(docs.select(F.xxhash64("text").alias("node")).distinct()).count() == 3
+        got = near_dedup.near_duplicates(docs)
+        assert got.groupBy("class_id", "class_size").count().count() == 2 and near_dedup.drop_near_duplicates(docs).count() == 2
+
+
 def test_odd_rows_have_defined_values(spark):
     docs = frame(spark, ODD)
     run = every_operator(spark)
@@ -531,7 +554,8 @@ def test_odd_rows_have_defined_values(spark):
         # Null and empty texts score alike, repeated rows too.
         assert of(name, 1)[0].score == of(name, 2)[0].score and len({r.score for r in of(name, 5)}) == 1
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows[name])
-    assert {(r.doc_id, r.class_id, r.class_size) for r in rows["near"]} == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (None, None, 1), (5, 5, 2), (7, 7, 1), (8, 8, 1)}
+    named = {(r.doc_id, r.class_id, r.class_size) for r in rows["near"] if r.doc_id is not None}
+    assert named == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (5, 5, 2), (7, 7, 1), (8, 8, 1)} and len({r.class_id for r in rows["near"]}) == 7
     pages = spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "http://a.org/x", 1), (3, "", 2), (4, "://", 3), (5, "http://" + "x" * 100_000 + ".org/" + "y" * 100_000, 4)], "page_id long, url string, host int")
     got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(pages, [("block", "org", "/")]).collect()]
     assert sorted(got, key=str) == sorted([(1, None, "allow"), (1, None, "allow"), (None, "org/", "block"), (3, None, "allow"), (4, None, "allow"), (5, "org/", "block")], key=str)
