@@ -195,12 +195,61 @@ def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coref.positive_pairs(rows, "l_partkey", "k")
 
 
-@query()
+#: Average linkage in SQL: one merge of each topic a step, clusters as sums of unit vectors.
+AVERAGE = """
+units AS (SELECT vec_id, label AS topic, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+vectors AS (SELECT vec_id, topic, list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) AS u FROM units),
+steps AS (
+  SELECT 0 AS step, topic, vec_id AS rep, 1 AS n, u AS s, CAST(NULL AS BIGINT) AS absorbed, CAST(NULL AS DOUBLE) AS height FROM vectors
+  UNION ALL
+  SELECT c.step + 1, c.topic, c.rep, CASE WHEN c.rep = lo THEN c.n + h.n ELSE c.n END, CASE WHEN c.rep = lo THEN list_transform(range(1, len(c.s) + 1), lambda i: c.s[i] + h.s[i]) ELSE c.s END,
+    CASE WHEN c.rep = lo THEN hi END, CASE WHEN c.rep = lo THEN d END
+  FROM steps c JOIN (
+    SELECT a.topic, a.rep AS lo, b.rep AS hi, 1 - list_inner_product(a.s, b.s) / (a.n * b.n) AS d,
+      row_number() OVER (PARTITION BY a.topic ORDER BY 1 - list_inner_product(a.s, b.s) / (a.n * b.n), a.rep, b.rep) AS nth
+    FROM steps a JOIN steps b ON a.topic = b.topic AND a.rep < b.rep WHERE 1 - list_inner_product(a.s, b.s) / (a.n * b.n) <= {most}
+  ) best ON best.topic = c.topic AND nth = 1 JOIN steps h ON h.topic = c.topic AND h.rep = hi WHERE c.rep <> hi
+), merges AS (SELECT rep, absorbed, height FROM steps WHERE absorbed IS NOT NULL),
+climb AS (SELECT t AS threshold, vec_id AS node, vec_id AS top FROM vectors, (SELECT unnest([{thresholds}]) AS t) UNION ALL SELECT threshold, node, rep FROM climb JOIN merges ON absorbed = top AND height <= threshold),
+clusters AS (SELECT threshold, node, min(top) AS cluster FROM climb GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {AVERAGE.format(most=0.6, thresholds='0.6::DOUBLE')} SELECT node AS vec_id, dense_rank() OVER (ORDER BY cluster) - 1 AS cluster FROM clusters")
 def agglomerative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "topic")
     return clustering.offset_labels(clustering.cluster_vectors(vectors, "topic", "vec_id", "embedding", 0.6), "topic", "vec_id")
 
 
+#: Thresholds of a tuning run.
+SWEEP = (0.55, 0.65, 0.7, 0.75, 0.8)
+
+
+def pair_distances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Distances of all pairs of a topic, and all nodes."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "topic")
+    pairs = coref.scored_pairs(vectors, "topic", "vec_id", "embedding")
+    return pairs.select("a", "b", (1 - F.col("score")).alias("distance")), vectors.select(F.col("vec_id").alias("node"))
+
+
+@query(f"WITH RECURSIVE {AVERAGE.format(most=max(SWEEP), thresholds=', '.join(f'{t}::DOUBLE' for t in SWEEP))} SELECT threshold, node, cluster FROM clusters")
+def linkage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One average-linkage forest of scored pairs, cut at five thresholds."""
+    pairs, nodes = pair_distances(spark, sf_dir)
+    return clustering.cut(clustering.pair_forest(pairs, max(SWEEP), "average", absent=2.0), nodes, SWEEP)
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE 1 - list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) <= 0.6),
+reached AS (SELECT vec_id AS node, vec_id AS other FROM v UNION SELECT node, b FROM reached JOIN near ON a = other)
+SELECT CAST(0.6 AS DOUBLE) AS threshold, node, min(other) AS cluster FROM reached GROUP BY node
+""")
+def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A minimum spanning forest of scored pairs, cut at one threshold."""
+    pairs, nodes = pair_distances(spark, sf_dir)
+    return clustering.cut(clustering.pair_forest(pairs, 0.6, "single"), nodes, [0.6])
+
+
 @query("SELECT l_partkey, count(*) AS mentions, count(*) = 1 AS singleton FROM lineitem GROUP BY 1")
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("mentions"), (F.count("*") == 1).alias("singleton"))

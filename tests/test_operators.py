@@ -118,7 +118,6 @@ def test_equal_members_are_contracted_before_clustering(spark, monkeypatch):
     x = np.vstack([rng.normal(size=(8, 3)).round(2)[rng.integers(0, 8, 30)], np.zeros((3, 3))])
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     want = linkage_by_hand(np.maximum(0, 1 - unit @ unit.T), 0.5)
-    monkeypatch.setattr(clustering, "MAX_GROUP", 11)  # eight vectors and three zeros
 
     def found(labelled):
         clusters = {}
@@ -126,8 +125,12 @@ def test_equal_members_are_contracted_before_clustering(spark, monkeypatch):
             clusters.setdefault((r.g, r.label), set()).add(r.k)
         return {frozenset(c) for c in clusters.values()}
 
+    limit = clustering.IN_TASK
     rows = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)], "g string, k long, v array<double>")
-    assert found(clustering.cluster_vectors(rows, "g", "k", "v", 0.5)) == want
+    for most, block in ((limit, clustering.BLOCK), (3, 4)):  # in one task, and in rounds over blocks
+        monkeypatch.setattr(clustering, "IN_TASK", most)
+        monkeypatch.setattr(clustering, "BLOCK", block)
+        assert found(clustering.cluster_vectors(rows, "g", "k", "v", 0.5)) == want
     grams = [(None, i, f"g{j}", float(v)) for i, r in enumerate(unit) for j, v in enumerate(r) if v] + [(None, i, None, None) for i in (30, 31, 32)]
     weights = spark.createDataFrame(grams, "g string, k long, gram string, weight double")
     assert found(clustering.cluster_texts(weights, "g", "k", 0.5)) == want
@@ -136,13 +139,14 @@ def test_equal_members_are_contracted_before_clustering(spark, monkeypatch):
     assert len(found(clustering.cluster_texts(weights, "g", "k", 1.0))) == len(whole)
 
 
-def test_texts_are_clustered_by_components(spark, monkeypatch):
-    """A group of forty documents in parts of at most four, far over what may be gathered at once."""
+@pytest.mark.parametrize("most", [4, 2])
+def test_texts_are_clustered_by_components(spark, monkeypatch, most):
+    """A group of forty documents in parts of at most four; parts of three and four in rounds too."""
     rng = np.random.default_rng(7)
     docs = [(g, i, f"{i // 4}-{j}", float(w)) for g in ("a", "b") for i in range(40) for j, w in enumerate(rng.random(5)) if w > 0.3]
     frame = pd.DataFrame(docs, columns=["g", "k", "gram", "weight"])
     frame["weight"] /= np.sqrt((frame["weight"] ** 2).groupby([frame["g"], frame["k"]]).transform("sum"))
-    monkeypatch.setattr(clustering, "MAX_GROUP", 4)
+    monkeypatch.setattr(clustering, "IN_TASK", most)
     got = clustering.cluster_texts(spark.createDataFrame(frame), "g", "k", 0.2).toPandas()
     for g, rows in frame.groupby("g"):
         keys = sorted(rows["k"].unique())
@@ -152,6 +156,34 @@ def test_texts_are_clustered_by_components(spark, monkeypatch):
         assert list(mine.index) == list(range(len(mine))) and [min(c) for c in mine] == sorted(min(c) for c in mine)
 
 
+@pytest.mark.parametrize("linkage", clustering.LINKAGES)
+def test_forests_of_pairs_and_their_cuts(spark, monkeypatch, linkage):
+    rng = np.random.default_rng(5)
+    n, thresholds = 24, [0.05, 0.2, 0.35, 0.5, 0.7]
+    pairs = [(i + 100 * g, j + 100 * g, float(rng.random())) for g in range(2) for i in range(n) for j in range(i) if rng.random() < 0.9]
+    far = {frozenset(p[:2]): p[2] for p in pairs}
+    mean = {"average": np.mean, "complete": max, "single": min}[linkage]
+
+    def by_hand(t):
+        clusters = [[i + 100 * g] for g in range(2) for i in range(n)]
+        while True:
+            d = lambda x, y: mean([far.get(frozenset((p, q)), 1.0 if linkage == "average" else np.inf) for p in x for q in y])
+            best = min((d(x, y), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j)
+            if best[0] > t:
+                return {frozenset(c) for c in clusters}
+            clusters[best[1]] += clusters.pop(best[2])
+
+    rows = spark.createDataFrame(pairs, "a long, b long, distance double")
+    nodes = spark.range(n).union(spark.range(100, 100 + n)).toDF("node")
+    for most in (clustering.IN_TASK, 2):
+        monkeypatch.setattr(clustering, "IN_TASK", most)
+        found = {}
+        for r in clustering.cut(clustering.pair_forest(rows, 0.7, linkage), nodes, thresholds).collect():
+            found.setdefault(r.threshold, {}).setdefault(r.cluster, set()).add(r.node)
+        for t in thresholds:
+            assert {frozenset(c) for c in found[t].values()} == by_hand(t) and all(k == min(c) for k, c in found[t].items())
+
+
 def test_ceaf_and_conll_of_equal_clusterings(spark):
     rows = [("d", m, m % 3) for m in range(9)]
     key = spark.createDataFrame(rows, "doc string, mention long, cluster long")
