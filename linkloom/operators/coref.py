@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import spans, text
 from linkloom.operators import sampling
+from linkloom.operators.materialize import materialized
+
+
+#: Mentions of a block; two blocks of a topic meet in one task.
+BLOCK = 1024
+
+
+def cells(mentions: DataFrame, topic: str, *columns: Column) -> DataFrame:
+    """The mentions, each once for every block of its topic: topic, i, j (the two blocks that meet), block and
+    the columns. However large a topic is, a cell holds two blocks."""
+    sizes = mentions.groupBy(topic).agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("__blocks"))
+    dealt = mentions.join(sizes.withColumnRenamed(topic, "__topic"), F.col(topic).eqNullSafe(F.col("__topic"))).select(topic, *columns, "__blocks", F.pmod(F.xxhash64(*columns[:1]), F.col("__blocks")).cast("int").alias("block"))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other"))
+    return other.select(topic, F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"), "block", *[c for c in dealt.columns if c not in (topic, "__blocks", "block")])
 
 
 def mention_pairs(mentions: DataFrame, topic: str, key: str) -> DataFrame:
-    """topic, a, b: all pairs of a topic's mentions, which is what pair scoring takes. Topics bound it."""
-    a, b = mentions.select(topic, F.col(key).alias("a")), mentions.select(topic, F.col(key).alias("b"))
-    return a.join(b, topic).where("a < b")
+    """topic, a, b: all pairs of a topic's mentions, which is what pair scoring takes. Blocks of a topic meet
+    under a key of their own."""
+    rows = cells(mentions, topic, F.col(key).alias("key"))
+    a, b = (rows.select(topic, "i", "j", F.col("block").alias(f"__{n}"), F.col("key").alias(n)) for n in "ab")
+    both = a.join(b.withColumnRenamed(topic, "__topic"), (a["i"] == b["i"]) & (a["j"] == b["j"]) & a[topic].eqNullSafe(F.col("__topic")))
+    # Of two blocks each pair once; a block with itself holds its own pairs.
+    return both.where((F.col("a") < F.col("b")) & ((a["i"] == a["j"]) | (F.col("__a") != F.col("__b")))).select(topic, "a", "b")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,14 +44,35 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def scored_pairs(mentions: DataFrame, topic: str, key: str, vector: str) -> DataFrame:
-    """topic, a, b, score (cosine), probability (its sigmoid) of all pairs of a topic."""
-    unit = mentions.select(topic, key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.select(topic, key, F.transform("v", lambda x: x / norm).alias("v"))
-    a, b = (unit.select(topic, F.col(key).alias(n), F.col("v").alias(f"v{n}")) for n in ("a", "b"))
-    score = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rows = a.join(b, topic).where("a < b").select(topic, "a", "b", score.alias("score"))
-    return rows.withColumn("probability", 1 / (1 + F.exp(-F.col("score"))))
+    """topic, a, b, score (cosine), probability (its sigmoid) of all pairs of a topic: a matrix product for each
+    two blocks of it. Vectors of a topic have one length; a zero vector's scores are null."""
+    rows = cells(mentions, topic, F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    kinds = mentions.select(topic, key).schema
+    schema = f"topic {kinds[0].dataType.simpleString()}, a {kinds[1].dataType.simpleString()}, b {kinds[1].dataType.simpleString()}, score double"
+
+    def run(cell: pa.Table) -> pa.Table | None:
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        block = cell.column("block").to_numpy()
+        sides = [cell.filter(pa.array(block == k)) for k in (i, j)]
+        names = [s.column("key").combine_chunks() for s in sides]
+        unit = []
+        for s in sides:
+            x = s.column("v").combine_chunks().flatten().to_numpy().reshape(len(s), -1) if len(s) else np.zeros((0, 1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                unit.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+        if not (len(sides[0]) and len(sides[1])):
+            return None
+        dot = unit[0] @ unit[1].T
+        at = np.nonzero(np.triu(np.ones(dot.shape, bool), 1)) if i == j else tuple(x.ravel() for x in np.indices(dot.shape))
+        a, b, score = names[0].take(pa.array(at[0])), names[1].take(pa.array(at[1])), dot[at]
+        swap = pc.greater(a, b)
+        a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
+        out = pa.table({"topic": pa.array([cell.column(topic)[0].as_py()] * len(a), cell.schema.field(topic).type), "a": a, "b": b, "score": pa.array(score, mask=np.isnan(score))})
+        return out.filter(pc.less(a, b))
+
+    empty = lambda cell: pa.table({"topic": cell.column(topic).slice(0, 0), "a": cell.column("key").slice(0, 0), "b": cell.column("key").slice(0, 0), "score": pa.array([], pa.float64())})
+    found = rows.groupBy(topic, "i", "j").applyInArrow(lambda cell: x if (x := run(cell)) is not None else empty(cell), schema)
+    return found.withColumnRenamed("topic", topic).withColumn("probability", 1 / (1 + F.exp(-F.col("score"))))
 
 
 def positive_pairs(mentions: DataFrame, cluster: str, key: str) -> DataFrame:
@@ -56,23 +97,22 @@ def with_singleton_flag(mentions: DataFrame, cluster: str) -> DataFrame:
 def without_nested(mentions: DataFrame, doc: str, start: str, end: str, key: str) -> DataFrame:
     """Mentions that lie in no other mention of the document; of equal spans the least key stays.
 
-    A span of width w can only lie in one that begins at most the widest span before it, so spans meet
-    by start positions, not all against all."""
-    m = mentions.select(doc, F.col(start).alias("s"), F.col(end).alias("e"), F.col(key).alias("k"))
-    widest = m.groupBy(doc).agg(F.max(F.col("e") - F.col("s")).alias("w"))
-    outer = m.join(widest, doc).select(doc, F.explode(F.sequence("s", F.col("s") + F.col("w"))).alias("s"), F.col("s").alias("os"), F.col("e").alias("oe"), F.col("k").alias("ok"))
-    inside = m.join(outer, [doc, "s"]).where((F.col("k") != F.col("ok")) & (F.col("os") <= F.col("s")) & (F.col("e") <= F.col("oe")))
-    larger = inside.where((F.col("os") < F.col("s")) | (F.col("e") < F.col("oe")) | (F.col("ok") < F.col("k")))
-    return mentions.join(larger.select(doc, F.col("k").alias(key)).distinct(), [doc, key], "left_anti")
+    A sweep: with mentions by start, then by falling end, then by key, one lies in another exactly if
+    one before it in its document ends as late. So the running maximum of ends decides, over range
+    partitions, and neither widths nor the size of a document multiply anything."""
+    rows = mentions.withColumns({"__back": -F.col(end), "__end": F.struct(F.col(doc).alias("d"), F.col(end).alias("e"))})
+    swept = sampling.running_max(rows, "__end", doc, start, "__back", key)
+    inside = (F.col("highest.d").eqNullSafe(F.col(doc))) & (F.col("highest.e") >= F.col(end))
+    return swept.where(~F.coalesce(inside, F.lit(False))).select(*mentions.columns)
 
 
 def top_spans(tokens: DataFrame, topic: str, sentence: str, token: str, score: Column, max_width: int = 10, share: float = 0.25) -> DataFrame:
-    """topic, sentence, start, end, score: the ``int(share * tokens)`` best candidate spans of each topic."""
+    """topic, sentence, start, end, score: the ``int(share * tokens)`` best candidate spans of each topic.
+    Ties go to earlier sentences, starts and ends. ``sampling.best`` selects them, so no topic is ranked."""
     bounds = tokens.groupBy(topic, sentence).agg(F.min(token).alias("lo"), F.max(token).alias("hi"))
     candidates = bounds.select(topic, sentence, F.inline(spans.enumerated(F.col("lo"), F.col("hi"), max_width))).withColumn("score", score)
     limit = tokens.groupBy(topic).agg(F.floor(F.count("*") * share).alias("k"))
-    order = Window.partitionBy(topic).orderBy(F.desc("score"), sentence, "start", "end")
-    return candidates.withColumn("rank", F.row_number().over(order)).join(limit, topic).where("rank <= k").select(topic, sentence, "start", "end", "score")
+    return sampling.best(candidates, limit, topic, "score", sentence, "start", "end").select(topic, sentence, "start", "end", "score")
 
 
 def conll_column(tokens: DataFrame, mentions: DataFrame, doc: str, token: str) -> DataFrame:
@@ -89,27 +129,34 @@ def conll_column(tokens: DataFrame, mentions: DataFrame, doc: str, token: str) -
     return tokens.join(joined, [doc, token], "left").withColumn("coref", F.coalesce("coref", F.lit("-")))
 
 
+def chain_marks(tokens: DataFrame, doc: str, token: str, coref: str) -> DataFrame:
+    """doc, token, chain, opens, closes of the marks in a token column: ``(c``, ``c)`` and ``(c)``, joined by ``|``."""
+    part = F.explode(F.split(F.coalesce(coref, F.lit("")), r"\|")).alias("part")
+    marks = tokens.select(doc, F.col(token).cast("long").alias("token"), part).where(~F.col("part").isin("-", "_", ""))
+    return marks.select(doc, "token", F.regexp_replace("part", "[()]", "").alias("chain"), F.col("part").startswith("(").alias("opens"), F.col("part").endswith(")").alias("closes")).where("chain != ''")
+
+
 def read_mentions(tokens: DataFrame, doc: str, token: str, coref: str) -> DataFrame:
-    """doc, start, end, cluster of the bracketed chains of a token column; nested ones close innermost first."""
-    schema = tokens.select(doc).schema.add("start", "long").add("end", "long").add("cluster", "string")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        opened: dict[str, list[int]] = {}
-        out = []
-        for i, cell in zip(pdf[token], pdf[coref]):
-            for part in [] if cell in (None, "-", "_", "") else cell.split("|"):
-                chain = part.strip("()")
-                if part.startswith("("):
-                    opened.setdefault(chain, []).append(i)
-                if part.endswith(")"):
-                    if not opened.get(chain):
-                        raise ValueError(f"chain {chain} closes at token {i} without an opening")
-                    out.append((opened[chain].pop(), i, chain))
-        frame = pd.DataFrame(out, columns=["start", "end", "cluster"])
-        frame.insert(0, doc, pdf[doc].iloc[0])
-        return frame
-
-    return tokens.select(doc, token, coref).groupBy(doc).applyInPandas(lambda pdf: run(pdf.sort_values(token)), schema)
+    """doc, start, end, cluster of the bracketed chains of a token column. In a chain an end closes what was
+    opened last; at one token, starts come before ends.
+
+    Brackets are matched by their depth in the chain, a running sum over range partitions, so one document
+    or chain may hold all rows: of a chain's brackets of one depth, starts and ends alternate, so numbered in
+    that order every two of them are a mention. A chain with an end too many or too few raises."""
+    marks = chain_marks(tokens, doc, token, coref)
+    single = marks.where("opens AND closes").select(doc, F.col("token").alias("start"), F.col("token").alias("end"), F.col("chain").alias("cluster"))
+    steps = marks.where("opens != closes").withColumn("step", F.when(F.col("opens"), 1).otherwise(-1))
+    # Equal marks of one token are interchangeable; their number parts them.
+    order = [doc, "chain", "token", "last", "nth"]
+    steps = steps.withColumn("last", ~F.col("opens")).withColumn("nth", F.monotonically_increasing_id())
+    deep = sampling.running_sum(steps, "step", *order).withColumn("depth", F.when(F.col("opens"), F.col("before") + 1).otherwise(F.col("before")))
+    deep = materialized(deep.select(doc, "chain", "token", "last", "nth", "step", "depth"))
+    wrong = deep.groupBy(doc, "chain").agg(F.sum("step").alias("left"), F.min("depth").alias("least")).where("left != 0 OR least < 1").limit(1).collect()
+    if wrong:
+        raise ValueError(f"chain {wrong[0].chain} of {wrong[0][0]}: its starts and ends don't match")
+    rows = sampling.placed(deep, doc, "chain", "depth", "token", "last", "nth")
+    pairs = rows.groupBy(F.floor(F.col("place") / 2).alias("pair")).agg(F.min_by(F.struct(doc, "chain", "token"), "place").alias("s"), F.max("token").alias("end"))
+    return single.unionByName(pairs.select(f"s.{doc}", F.col("s.token").alias("start"), "end", F.col("s.chain").alias("cluster")))
 
 
 def masked_tokens(tokens: DataFrame, order: list[str], sentence: str, token: str, partition: str) -> DataFrame:
@@ -170,39 +217,3 @@ def conll_rows(tokens: DataFrame, mentions: DataFrame, doc: str, token: str, val
     """The validated tokens with topic, subtopic (1 for a second collection, else 0) and ``coref``."""
     topic, subtopic = text.conll_topic(F.col(doc))
     return conll_column(tokens.where(F.col(validated)).withColumns({"topic": topic, "subtopic": subtopic}), mentions, doc, token)
-
-
-def balanced_partition(links: DataFrame, src: str, dst: str, shares: Mapping[str, float], rounds: int = 3, epsilon: float = 0.03) -> DataFrame:
-    """src, split: every source in one split, sizes near the shares, few targets cut.
-
-    Sources start in splits by digest. In each round a source moves to the split where most of its
-    targets' sources are, with only as many movers (best gain first, by digest classes of one in a
-    thousand) as keep every split within epsilon of its share. A heuristic: the cut isn't optimal."""
-    from linkloom.operators.materialize import materialized
-
-    parts = list(fractions(shares).items())
-    names = F.array(*[F.lit(n) for n, _ in parts])
-    edges = materialized(links.select(F.col(src).alias("s"), F.col(dst).alias("t")).distinct())
-    nodes = edges.select("s").distinct()
-    total = nodes.count()
-    u = F.pmod(F.xxhash64("s", F.lit("split")), F.lit(1 << 20)) / float(1 << 20)
-    k, bound = F.lit(len(parts) - 1), 1.0
-    for i in reversed(range(len(parts) - 1)):
-        bound = sum(v for _, v in parts[: i + 1])
-        k = F.when(u < bound, i).otherwise(k)
-    state = materialized(nodes.select("s", k.alias("k")))
-    for turn in range(rounds):
-        votes = edges.join(state, "s").groupBy("t", "k").agg(F.count("*").alias("n"))
-        pull = edges.join(votes, "t").groupBy("s", "k").agg(F.sum(F.col("n").cast("double")).alias("pull"))
-        best = pull.groupBy("s").agg(F.max_by("k", F.struct("pull", -F.col("k"))).alias("to"))
-        wish = materialized(state.join(best, "s", "left").withColumn("to", F.coalesce("to", "k")).withColumn("class", F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(1000))))
-        flows = {(r["k"], r["to"]): r["n"] for r in wish.where("k != to").groupBy("k", "to").agg(F.count("*").alias("n")).collect()}
-        sizes = {r["k"]: r["n"] for r in wish.groupBy("k").agg(F.count("*").alias("n")).collect()}
-        # Equal numbers swap between every two splits, so that the sizes stay what they are.
-        allowed = F.lit(0)
-        for (i, j), n in flows.items():
-            room = max(0.0, (1 + epsilon / 2) * parts[j][1] * total - sizes.get(j, 0))
-            moved = min(n, min(n, flows.get((j, i), 0)) + room / max(1, len(parts) - 1))
-            allowed = F.when((F.col("k") == i) & (F.col("to") == j), int(1000 * moved / n)).otherwise(allowed)
-        state = materialized(wish.select("s", F.when(F.col("class") < allowed, F.col("to")).otherwise(F.col("k")).alias("k")))
-    return state.select(F.col("s").alias(src), F.element_at(names, F.col("k") + 1).alias("split"))

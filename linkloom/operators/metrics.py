@@ -5,6 +5,9 @@ denominators that are divided at the end. Precision reads the system as input, r
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,9 +58,9 @@ def per_side(cells: DataFrame, clusters: DataFrame, side: str, metric: str) -> D
     return rows.groupBy("doc").agg(F.sum(F.coalesce("part", F.lit(0)).cast("double")).alias("num"), F.sum(den).cast("double").alias("den"))
 
 
-def by_document(key: DataFrame, system: DataFrame, metric: str) -> DataFrame:
-    """doc, p_num, p_den, r_num, r_den."""
-    cells = contingency(key, system)
+def by_document(key: DataFrame, system: DataFrame, metric: str, cells: DataFrame | None = None) -> DataFrame:
+    """doc, p_num, p_den, r_num, r_den. cells: their contingency, if it is there already."""
+    cells = contingency(key, system) if cells is None else cells
     r, p = (per_side(cells, c, side, metric) for c, side in ((key, "k"), (system, "s")))
     return p.select("doc", F.col("num").alias("p_num"), F.col("den").alias("p_den")).join(r.select("doc", F.col("num").alias("r_num"), F.col("den").alias("r_den")), "doc", "full").fillna(0.0)
 
@@ -100,7 +103,7 @@ def assigned(weight: np.ndarray) -> float:
     return float(weight[row_of[at], at].sum())
 
 
-def ceaf(key: DataFrame, system: DataFrame, entity: bool = True) -> DataFrame:
+def ceaf(key: DataFrame, system: DataFrame, entity: bool = True, cells: DataFrame | None = None) -> DataFrame:
     """doc, p_num, p_den, r_num, r_den of CEAF: the best one-to-one matching of clusters, by
     ``2n / (|k| + |s|)`` and numbers of clusters, or by n and numbers of mentions.
 
@@ -108,7 +111,7 @@ def ceaf(key: DataFrame, system: DataFrame, entity: bool = True) -> DataFrame:
     matching is solved by itself. A pair of clusters that meet no others is a part with one solution
     and stays in the JVM; the rest is solved in Python, part by part. Where all clusters of a large
     document hang together its part is one group: a matrix of its clusters on either side."""
-    cells = materialized(contingency(key, system))
+    cells = materialized(contingency(key, system)) if cells is None else cells
     for c in "ks":
         several = cells.groupBy("doc", c).agg((F.count("*") == 1).alias(f"one_{c}"))
         cells = cells.join(several, ["doc", c])
@@ -134,10 +137,28 @@ def ceaf(key: DataFrame, system: DataFrame, entity: bool = True) -> DataFrame:
     return rows.select("doc", F.col("num").alias("p_num"), "p_den", F.col("num").alias("r_num"), "r_den")
 
 
+#: The metrics of a report, and those whose F1 the CoNLL score averages.
+METRICS = ("mentions", "muc", "b3", "ceafe", "ceafm", "lea")
+CONLL = ("muc", "b3", "ceafe")
+
+
+def report(key: DataFrame, system: DataFrame, names: Sequence[str] = METRICS) -> DataFrame:
+    """metric, precision, recall, f1 over all documents, and a row ``conll`` whose f1 is the mean of those of
+    MUC, B-cubed and CEAF by entities (null if one isn't asked for). The contingency is computed once."""
+    cells = materialized(contingency(key, system))
+    rows = []
+    for name in names:
+        scores = ceaf(key, system, name == "ceafe", cells) if name.startswith("ceaf") else by_document(key, system, name, cells)
+        rows.append(summed(scores).select(F.lit(name).alias("metric"), "precision", "recall", "f1"))
+    every = materialized(reduce(DataFrame.unionByName, rows))
+    asked = F.when(F.count_if(F.col("metric").isin(*CONLL)) == len(CONLL), F.avg(F.when(F.col("metric").isin(*CONLL), F.col("f1"))))
+    none = F.lit(None).cast("double")
+    return every.unionByName(every.agg(asked.alias("f1")).select(F.lit("conll").alias("metric"), none.alias("precision"), none.alias("recall"), "f1"))
+
+
 def conll(key: DataFrame, system: DataFrame) -> DataFrame:
     """conll: 100 times the mean F1 of MUC, B-cubed and CEAF by entities."""
-    parts = [summed(by_document(key, system, m)).select("f1") for m in ("muc", "b3")] + [summed(ceaf(key, system)).select("f1")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg((100 * F.avg("f1")).alias("conll"))
+    return report(key, system, CONLL).where("metric = 'conll'").select((100 * F.col("f1")).alias("conll"))
 
 
 def binary(rows: DataFrame, gold: str, predicted: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators import clustering, coref, metrics
+from linkloom.operators import clustering, coref, metrics, partition, sampling, scoring
 from linkloom.operators.materialize import materialized
 from linkloom.plans.registry import query, table
 from linkloom.plans.sentence_queries import TOKENS, document_tokens
@@ -298,6 +298,81 @@ def conll_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coref.conll_column(rows, mentions, "doc_id", "pos")
 
 
+def judged_sql(key: str, system: str) -> str:
+    """Four metrics of two selections of doc, mention and cluster."""
+    lea = lambda a, b: LEA.format(a, b)
+    parts = {
+        "mentions": ("SELECT count(*) FROM rows", "SELECT count(*) FROM system_rows", "SELECT count(*) FROM rows", "SELECT count(*) FROM key_rows"),
+        "muc": ("SELECT sum(n - 1) FROM cells", "SELECT sum(ns - 1) FROM sc", "SELECT sum(n - 1) FROM cells", "SELECT sum(nk - 1) FROM kc"),
+        "b3": ("SELECT sum(n * n / ns) FROM cells", "SELECT sum(ns) FROM sc", "SELECT sum(n * n / nk) FROM cells", "SELECT sum(nk) FROM kc"),
+        "lea": (lea("ns", "nk"), "SELECT sum(ns) FROM sc", lea("nk", "ns"), "SELECT sum(nk) FROM kc"),
+    }
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS metric, " + ", ".join(f"({q}) AS {c}" for q, c in zip(four, ("pn", "pd", "rn", "rd"))) for name, four in parts.items())
+    return f"""
+key_rows AS ({key}), system_rows AS ({system}), rows AS (SELECT doc, k.cluster AS k, s.cluster AS s FROM key_rows k JOIN system_rows s USING (doc, mention)),
+kc AS (SELECT doc, cluster AS k, count(*) AS nk FROM key_rows GROUP BY ALL), sc AS (SELECT doc, cluster AS s, count(*) AS ns FROM system_rows GROUP BY ALL),
+cells AS (SELECT doc, k, s, n, nk, ns FROM (SELECT doc, k, s, count(*) AS n FROM rows GROUP BY ALL) JOIN kc USING (doc, k) JOIN sc USING (doc, s)),
+judged_parts AS ({rows}), pr AS (SELECT metric, coalesce(pn / nullif(pd, 0), 0) AS p, coalesce(rn / nullif(rd, 0), 0) AS r FROM judged_parts)
+SELECT metric, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM pr"""
+
+
+def annotated(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
+    """CoNLL tokens (doc, sentence, token, word and others) with the mentions (doc, start, end, cluster) as marks."""
+    return coref.conll_column(tokens, mentions, "doc", "token")
+
+
+def scored_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens (doc, sentence, token, word, last) and starts (doc, start, word, last) of every seventh one."""
+    rows = numbered_tokens(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.col("sentence_idx").alias("sentence"), F.col("pos").alias("token"), F.col("token").alias("word"))
+    rows = materialized(rows.withColumn("last", F.max("token").over(Window.partitionBy("doc"))))
+    return rows, rows.where("token % 7 = 0").select("doc", F.col("token").alias("start"), "word", "last")
+
+
+def shown_scores(scores: DataFrame) -> DataFrame:
+    return scores.where("metric != 'conll'").select("metric", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+FOUR = ("mentions", "muc", "b3", "lea")
+
+
+@query(f"""
+WITH {NUMBERED}, wide AS (SELECT doc_id, s, e, c FROM mentions), {judged_sql(
+    "SELECT doc_id AS doc, s || ':' || e AS mention, c AS cluster FROM wide UNION ALL SELECT doc_id, (s + 1) || ':' || (s + 1), c FROM wide WHERE e = s + 2",
+    "SELECT doc_id AS doc, s || ':' || CASE WHEN s % 13 = 0 THEN s ELSE e END AS mention, s % 4 AS cluster FROM wide WHERE s % 11 <> 0",
+)}
+""")
+def conll_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and system are written into the tokens' column, read back as chains (nested ones in the key) and judged."""
+    tokens, starts = scored_sides(spark, sf_dir)
+    end = F.least(F.col("start") + F.col("start") % 3, "last")
+    wide = starts.withColumn("end", end)
+    inner = wide.where("end = start + 2").withColumns({"start": F.col("start") + 1, "end": F.col("start") + 1}).withColumn("cluster", (F.col("start") - 1) % 5)
+    key = wide.withColumn("cluster", F.col("start") % 5).unionByName(inner)
+    system = wide.where("start % 11 != 0").withColumns({"end": F.when(F.col("start") % 13 == 0, F.col("start")).otherwise(F.col("end")), "cluster": F.col("start") % 4})
+    return shown_scores(scoring.conll_scores(annotated(tokens, key), annotated(tokens, system), FOUR))
+
+
+@query(f"""
+WITH {NUMBERED}, heads AS (SELECT m.doc_id, s, c FROM mentions m JOIN numbered n ON n.doc_id = m.doc_id AND pos = s WHERE regexp_matches(token, '[A-Za-z0-9]')), {judged_sql(
+    "SELECT doc_id AS doc, s AS mention, c AS cluster FROM heads", "SELECT doc_id AS doc, s AS mention, s % 4 AS cluster FROM heads WHERE s % 11 <> 0",
+)}
+""")
+def minimum_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The system's mentions lack what follows the head phrase of the key's; their minimum spans are the same."""
+    tokens, starts = scored_sides(spark, sf_dir)
+    heads = starts.where(F.col("word").rlike("[A-Za-z0-9]")).withColumn("end", F.least(F.col("start") + F.col("start") % 3, "last"))
+    width = F.least((F.col("token") - F.col("token") % 7) % 3, F.col("last") - (F.col("token") - F.col("token") % 7)) + 1
+    shapes = {(1, 0): "(NP*)", (2, 0): "(NP(NP*)", (2, 1): "(PP*))", (3, 0): "(NP(NP*", (3, 1): "*)", (3, 2): "(PP*))"}
+    parse = F.lit("*")
+    for (w, d), bits in shapes.items():
+        parse = F.when((width == w) & (F.col("token") % 7 == d), bits).otherwise(parse)
+    tokens = tokens.withColumns({"pos": F.lit("NN"), "parse": parse})
+    key = heads.withColumn("cluster", F.col("start") % 5)
+    short = F.when(F.col("end") == F.col("start") + 2, F.col("start") + 1).otherwise(F.col("start"))
+    system = heads.where("start % 11 != 0").withColumns({"end": short, "cluster": F.col("start") % 4})
+    return shown_scores(scoring.conll_scores(annotated(tokens, key), annotated(tokens, system), FOUR, min_spans=True))
+
+
 @query(f"WITH {NUMBERED} SELECT doc_id, sentence_idx, pos, CASE WHEN lag(sentence_idx) OVER (PARTITION BY doc_id ORDER BY pos) = sentence_idx THEN '___' ELSE token END AS token FROM numbered")
 def conll_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coref.masked_tokens(numbered_tokens(spark, sf_dir), ["pos"], "sentence_idx", "token", "doc_id")
@@ -350,7 +425,31 @@ def hypergraph_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def split_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coref.balanced_partition(order_links(spark, sf_dir), "src", "dst", SHARES)
+    return partition.balanced_partition(order_links(spark, sf_dir), "src", "dst", SHARES)
+
+
+#: Quotas of the splits, and what hash splits of the same sizes lose: the partition's loss must be under two thirds of it.
+HASHED = f"""
+orders_ AS (SELECT src, row_number() OVER (ORDER BY md5(CAST(src AS VARCHAR)), src) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT l_orderkey AS src FROM lineitem)),
+hashed AS (SELECT src, CASE WHEN place < floor(n * {SHARES["dev"]}) THEN 'dev' WHEN place < floor(n * {SHARES["dev"]}) + floor(n * {SHARES["test"]}) THEN 'test' ELSE 'train' END AS split FROM orders_),
+nets AS (SELECT l_partkey, count(*) AS links, count(DISTINCT split) > 1 AS cut FROM lineitem JOIN hashed ON src = l_orderkey GROUP BY 1)"""
+
+
+@query(f"""
+WITH {HASHED} SELECT split, count(*) AS sources, CAST(1 AS BIGINT) AS splits_a_source, (SELECT CAST(sum(links) FILTER (cut) AS BIGINT) FROM nets) AS hash_cut, TRUE AS cut_is_less FROM hashed GROUP BY split
+""")
+def split_balanced_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partition's sizes, and whether it loses less than two thirds of what splits by digest lose."""
+    links = order_links(spark, sf_dir)
+    splits = materialized(partition.balanced_partition(links, "src", "dst", SHARES))
+    sources = splits.groupBy("src").agg(F.count("*").alias("n"), F.min("split").alias("split"))
+    ranked = sampling.placed(links.select("src", F.md5(F.col("src").cast("string")).alias("d")).distinct(), "d", "src")
+    sizes = partition.quotas(splits.count(), SHARES)
+    names = F.array(*[F.lit(name) for name, _ in sizes])
+    hashed = ranked.select("src", F.element_at(names, partition.first_split(F.col("place"), sizes) + 1).alias("split"))
+    both = partition.cut_links(links, hashed, "src", "dst").select(F.col("lost").alias("hash_cut")).crossJoin(partition.cut_links(links, splits, "src", "dst").select("lost"))  # one row each
+    rows = sources.groupBy("split").agg(F.count("*").alias("sources"), F.max("n").alias("splits_a_source"))
+    return rows.crossJoin(F.broadcast(both)).select("split", "sources", "splits_a_source", "hash_cut", (3 * F.col("lost") < 2 * F.col("hash_cut")).alias("cut_is_less"))
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")

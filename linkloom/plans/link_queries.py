@@ -6,12 +6,16 @@ orders as sources and parts as targets stands in for one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text, urls
 from linkloom.operators import links, pages
+from linkloom.operators.materialize import checkpoint_dir, file_system
 from linkloom.plans.registry import query, table
+from linkloom.sources import tables
 
 # The same URL rules in the oracle's dialect.
 PARTS = r"""
@@ -304,3 +308,21 @@ def trie_selected_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trie_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generalized_pages(spark, sf_dir)
     return links.with_selected_prefix(rows, "generalized_url", links.selected_prefixes(rows, "generalized_url", 0.55))
+
+
+@query(r"""
+WITH bare AS (SELECT page_id, regexp_replace(lower(url), '#.*$', '') AS u FROM pages),
+parts AS (SELECT page_id, regexp_extract(u, '://([^/?]*)', 1) AS host, regexp_extract(u, '://[^/?]*(.*)$', 1) AS rest FROM bare)
+SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(host, '^www[0-9]*\.', ''), '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS key
+FROM parts WHERE (host = 'example.net' OR ends_with(host, '.example.net')) AND page_id % 5 <> 0 AND page_id % 7 <> 0 AND page_id % 3 <> 0
+""")
+def capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures of several states, types and languages, stored in the order of their keys: the English
+    pages of a host and its subdomains that were there."""
+    of = lambda n, value, other: F.when(F.col("page_id") % n == 0, other).otherwise(value)
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds("page_id").alias("timestamp"), F.lit("warc/0").alias("filename"), of(5, 200, 404).alias("status"), of(7, "text/html", "image/png").alias("mime_detected"), of(3, "eng", "deu").alias("languages"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    tables.write_index(captures, path)
+    system, at = file_system(spark, path)
+    system.deleteOnExit(at)
+    return tables.query_index(spark.read.parquet(path), "*.example.net").select("page_id", "key")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.operators.materialize import file_system
+
 PAGE_INDEX = "url string, timestamp timestamp, filename string, offset bigint, length bigint"
 SENTENCES = "url_normalized string, sentence_idx int, sentence string"
 TOKENS = "url_normalized string, sentence_idx int, token_idx int, token string"
@@ -30,15 +33,62 @@ def render_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMddHHmmss")
 
 
-def query_index(index: DataFrame, prefix: str, start: Column | None = None, end: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Captures below a URL prefix between two times; robots files are no pages. The filters reach a
-    columnar index's scan."""
-    rows = index.where(F.startswith("url", F.lit(prefix)) & ~F.contains("filename", F.lit("robotstxt")))
+def search_key(url: Column) -> Column:
+    """A URL's place in an index: its host's labels from last to first, joined by commas, ``)`` and the rest, all
+    in lower case, without scheme, user, port, ``www`` and fragment. URLs below a prefix follow each other."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.-]*://", ""), r"#.*$", "")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*", 0), r"^.*@", ""), r":[0-9]*$|\.$", "")
+    labels = F.split(F.regexp_replace(host, r"^www[0-9]*\.(?=.)", ""), r"\.")
+    rest = F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
+    return F.concat(F.array_join(F.reverse(labels), ","), F.lit(")"), F.when(rest == "", "/").otherwise(rest))
+
+
+def write_index(captures: DataFrame, path: str) -> None:
+    """A capture index as Parquet, range-partitioned and sorted by ``key`` (`search_key` of url) and time, so that
+    the captures below a prefix lie in few files and row groups."""
+    rows = captures.withColumn("key", search_key(F.col("url")))
+    rows.repartitionByRange("key", "timestamp").sortWithinPartitions("key", "timestamp").write.mode("overwrite").parquet(path)
+
+
+def below(spark: SparkSession, url: str, wildcard: bool) -> Column:
+    """The condition on ``key`` for a URL, for all below it (wildcard), or for a host and all its subdomains
+    (``*.host``). It is a range of keys, which reaches the scan: row groups outside it are skipped."""
+    if url.startswith("*."):
+        host = ",".join(reversed(url[2:].lower().split(".")))
+        return (F.col("key") >= f"{host})") & (F.col("key") < f"{host}-")  # ")" ends a host, "," goes on with it
+    prefix = url.rstrip("*")
+    if wildcard and "/" not in prefix.split("://")[-1]:
+        prefix += "/"
+    key = spark.range(1).select(search_key(F.lit(prefix)).alias("k")).first().k
+    # The first string that no longer starts with the key.
+    end = key[:-1] + chr(ord(key[-1]) + 1)
+    return (F.col("key") >= key) & (F.col("key") < end) if wildcard else F.col("key") == key
+
+
+def query_index(index: DataFrame, url: str, wildcard: bool = True, start: Column | None = None, end: Column | None = None, status: int | None = 200, mime: str | None = "text/html", languages: str | None = "eng", limit: int | None = None) -> DataFrame:
+    """Captures of a URL, or below it, between two times and of a status, detected type and languages (None: any;
+    ``languages`` is the detected list, joined by commas); robots files are no pages. With a limit, the
+    first ones by key and time."""
+    asked = {"status": status, "mime_detected": mime, "languages": languages}
+    rows = index.where(below(index.sparkSession, url, wildcard) & ~F.contains("filename", F.lit("robotstxt")))
+    for column, value in asked.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
     if start is not None:
         rows = rows.where(F.col("timestamp") >= start)
     if end is not None:
         rows = rows.where(F.col("timestamp") <= end)
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("key", "timestamp", "filename", "offset").limit(limit)
+
+
+def kept_query(spark: SparkSession, folder: str, query: Mapping, run: Callable[[], DataFrame]) -> DataFrame:
+    """The result of a query, kept below the folder under a digest of what was asked (sorted JSON), and read from
+    there when it is asked again. A run that was broken off is done again."""
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(json.dumps(query, sort_keys=True, default=str).encode()).hexdigest()[:32]}"
+    system, at = file_system(spark, f"{path}/_SUCCESS")
+    if not system.exists(at):
+        run().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -64,19 +114,36 @@ def read_mentions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """document, sentence, token_id, columns (array) of CoNLL text: documents between ``#begin document``
-    and ``#end document``, blank lines between sentences.
-
-    Each file is one row split into lines, so that their order is certain; documents are then exploded."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    docs = files.select("file", F.posexplode(F.split("value", r"(?m)^#begin document ")).alias("part", "body")).where("part > 0")
-    docs = docs.select("file", "part", F.trim(F.regexp_extract("body", r"^([^\n]*)", 1)).alias("document"), F.posexplode(F.split(F.regexp_replace("body", r"^[^\n]*\n", ""), "\n")).alias("line", "text"))
-    lines = docs.where(~F.startswith("text", F.lit("#end document")))
-    order = Window.partitionBy("file", "part").orderBy("line")
-    blank = F.sum(F.when(F.trim("text") == "", 1).otherwise(0)).over(order)
-    rows = lines.withColumn("sentence", blank.cast("long")).where((F.trim("text") != "") & ~F.startswith("text", F.lit("#")))
-    number = F.row_number().over(Window.partitionBy("file", "part").orderBy("line")) - 1
-    return rows.select("document", "sentence", number.cast("long").alias("token_id"), F.split("text", r"\t").alias("columns"))
+    """document, sentence, token_id (of the document, from 0), columns (array) of CoNLL text: documents between
+    ``#begin document`` and ``#end document``, blank lines between sentences, other lines with ``#`` left out,
+    as are lines outside documents.
+
+    Lines are read in splits. A line's place in its split gives its numbers there; what it needs from
+    before is composed from one row for each split: the sentences and tokens so far, the open document with
+    the numbers at its start, and the kind of the last line. So a file, or a document, may have any size."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    starts = F.startswith("text", F.lit("#begin document"))
+    kind = F.when(starts, "begin").when(F.startswith("text", F.lit("#end document")), "end").when(F.trim("text") == "", "blank").when(~F.startswith("text", F.lit("#")), "token")
+    lines = lines.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("name", F.when(F.col("kind") == "begin", F.trim(F.expr("substr(text, 16)"))))
+    split = Window.partitionBy("file", "block").orderBy("id")
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
+    token = F.col("kind") == "token"
+    # The first line of a split opens a sentence, unless it turns out to go on with one.
+    opens = token & (F.lag("kind").over(split).isNull() | (F.lag("kind").over(split) != "token"))
+    rows = lines.withColumn("opens", opens.cast("long")).withColumns({"s": F.sum("opens").over(upto), "t": F.sum(token.cast("long")).over(upto), "first": F.first("kind").over(upto)})
+    mark = F.when(F.col("kind").isin("begin", "end"), F.struct("id", "name", "s", "t"))
+    ends = rows.groupBy("file", "block").agg(F.max("s").alias("all_s"), F.max("t").alias("all_t"), F.min_by("kind", "id").alias("head"), F.max_by("kind", "id").alias("tail"), F.max(mark).alias("mark"))
+    # One row for each split of a file.
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = (F.col("head") == "token") & (F.last("tail").over(before) == "token")
+    ends = ends.withColumn("less", F.coalesce(goes_on.cast("long"), F.lit(0)))
+    ends = ends.withColumns({"ps": F.coalesce(F.sum(F.col("all_s") - F.col("less")).over(before), F.lit(0)), "pt": F.coalesce(F.sum("all_t").over(before), F.lit(0))})
+    own = F.when(F.col("mark").isNotNull(), F.struct(F.col("mark.name").alias("name"), (F.col("ps") + F.col("mark.s") - F.col("less")).alias("s"), (F.col("pt") + F.col("mark.t")).alias("t")))
+    ends = ends.withColumn("own", own).select("file", "block", "less", "ps", "pt", F.last("own", True).over(before).alias("open"))
+    rows = rows.join(ends, ["file", "block"]).withColumns({"s": F.col("ps") + F.col("s") - F.col("less"), "t": F.col("pt") + F.col("t")})
+    here = F.last(F.when(F.col("kind").isin("begin", "end"), F.struct("name", "s", "t")), True).over(upto)
+    rows = rows.withColumn("of", F.coalesce(here, F.col("open"))).where(token & F.col("of.name").isNotNull())
+    return rows.select(F.col("of.name").alias("document"), (F.col("s") - F.col("of.s") - 1).alias("sentence"), (F.col("t") - F.col("of.t") - 1).alias("token_id"), F.split("text", r"\t").alias("columns"))
 
 
 def write_conll(tokens: DataFrame, path: str, name: str, order: list[str], columns: list[str], topic: str | None = None) -> None:

@@ -1,14 +1,16 @@
 """Operators against brute force on small random or literal inputs."""
 
+import hashlib
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import clustering, coref, dedup, links, metrics, pages, sentences
+from linkloom.operators import clustering, coref, dedup, links, metrics, pages, partition, sentences
 from linkloom.operators.components import connected_components
 from linkloom.plans import dedup_queries
 from linkloom.plans.stages import Stage, run_stages
@@ -224,9 +226,44 @@ def test_balanced_partition(spark):
     rng = random.Random(3)
     rows = [(s, (s // 50) * 10 + rng.randrange(10)) for s in range(600) for _ in range(3)]
     edges = spark.createDataFrame(rows, "src long, dst long")
-    got = {r.src: r.split for r in coref.balanced_partition(edges, "src", "dst", {"a": 0.3, "b": 0.7}).collect()}
-    assert len(got) == 600
-    assert abs(sum(v == "a" for v in got.values()) / 600 - 0.3) < 0.08
+    splits = partition.balanced_partition(edges, "src", "dst", {"a": 0.3, "b": 0.7}).cache()
+    got = {r.src: r.split for r in splits.collect()}
+    assert len(got) == splits.count() == 600 and sum(v == "a" for v in got.values()) == 180
+    # Twelve groups of fifty: one of them must be parted.
+    cut = partition.cut_links(edges, splits, "src", "dst").first()
+    assert cut.total == 1800 and cut.lost <= 150
+    three = {r.src: r.split for r in partition.balanced_partition(edges, "src", "dst", {"x": 1, "y": 1, "z": 1}, rounds=1).collect()}
+    assert sorted(Counter(three.values()).items()) == [("x", 200), ("y", 200), ("z", 200)]
+    assert partition.balanced_partition(edges.where("false"), "src", "dst", {"a": 0.3, "b": 0.7}).count() == 0
+    hot = edges.unionByName(spark.range(600).selectExpr("id AS src", "-1L AS dst"))
+    assert partition.cut_links(hot, partition.balanced_partition(hot, "src", "dst", {"a": 0.3, "b": 0.7}), "src", "dst").first().lost <= 750
+
+
+def test_hashed_columns_collide_with_signs(spark):
+    docs = spark.createDataFrame([(1, "red house red boat"), (2, "blue house"), (3, None)], "k long, t string")
+    grams = dedup.word_grams(docs, "k", "t", 1).collect()
+    for bits in (1, 20):
+        want: dict = {}
+        for r in grams:
+            d = int(hashlib.md5(r.gram.encode()).hexdigest()[:15], 16)
+            want[r.k, d % 2**bits] = want.get((r.k, d % 2**bits), 0) + r.tf * (1 - 2 * (d >> bits & 1))
+        got = {(r.k, r.gram): r.tf for r in dedup.hashed(dedup.word_grams(docs, "k", "t", 1), "k", bits).collect()}
+        assert got == {x: v for x, v in want.items() if v}
+    unit = dedup.hashed_tfidf(docs, "k", "t", 1).groupBy("k").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert [round(r.n, 12) for r in unit] == [1, 1]
+
+
+def test_shingle_hashes_are_polynomials():
+    for text in ("", "a", "añ😀é\n", "abcdefg" * 40):
+        codes = [ord(c) for c in text]
+        grams = {tuple(codes[i : i + 5]) for i in range(max(1, len(codes) - 4))} - {()}
+        want = set()
+        for g in grams:
+            h = 0
+            for c in g:
+                h = (h * dedup.BASE + c) % dedup.PRIME
+            want.add(h)
+        assert set(dedup.shingle_hashes(text, 5).tolist()) == want if text else True
 
 
 def test_tfidf_pairs_match_all_pairs(spark):
@@ -263,11 +300,39 @@ def test_stage_runner(spark):
         run_stages([double], {})
 
 
+def test_capture_index(spark, tmp_path):
+    urls = ["http://a.org/x/1", "https://www.a.org/x/2#f", "http://a.org/y", "http://b.a.org:80/x/3", "http://u@a.org/X/4", "http://ab.org/x", "http://a.orgs/x", "http://a.org", "http://org/"]
+    rows = [(u, f"2020010{1 + i % 3}", "f" if i % 4 else "robotstxt/f", i, 200 if i != 2 else 404, "text/html", "eng") for i, u in enumerate(urls * 2)]
+    captures = spark.createDataFrame(rows, "url string, timestamp string, filename string, offset long, status int, mime_detected string, languages string")
+    tables.write_index(captures, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    found = lambda url, **kw: sorted(r.offset for r in tables.query_index(index, url, **kw).collect())
+    assert found("http://a.org/x") == [1, 9, 10, 13] and found("a.org/x/*") == found("http://a.org/x/")
+    assert found("http://a.org/y", wildcard=False) == [11] and found("http://a.org/y", status=None, wildcard=False) == [2, 11]
+    assert found("http://a.org") == [1, 7, 9, 10, 11, 13] and found("*.a.org") == [1, 3, 7, 9, 10, 11, 13]
+    assert found("*.org", languages="deu") == [] and len(found("*.org")) == 10
+    assert found("*.a.org", limit=2) == [7, 9] and found("*.a.org", end=F.lit("20200101")) == [3, 9]
+    plan = tables.query_index(index, "http://a.org/x")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(key,org,a)/x)" in plan.split("PushedFilters")[1]
+    runs = []
+
+    def ask():
+        runs.append(1)
+        return tables.query_index(index, "*.org")
+
+    for asked in ({"url": "*.org", "limit": None}, {"limit": None, "url": "*.org"}, {"url": "*.org", "limit": 3}):
+        assert tables.kept_query(spark, str(tmp_path / "kept"), asked, ask).count() == 10
+    assert len(runs) == 2
+
+
 def test_configs_and_readers(spark, tmp_path):
     assert tables.merged({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}}
     (tmp_path / "i.csv").write_text("url,timestamp,filename,offset,length\nhttp://a/b,20200102030405,f,1,2\nhttp://a/c,bad,robotstxt/f,1,2\n")
     index = tables.read_page_index(spark, str(tmp_path / "i.csv"))
-    assert [str(r.timestamp) for r in tables.query_index(index, "http://a").collect()] == ["2020-01-02 03:04:05"]
+    tables.write_index(index, str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    free = {"status": None, "mime": None, "languages": None}
+    assert [str(r.timestamp) for r in tables.query_index(stored, "http://a", **free).collect()] == ["2020-01-02 03:04:05"]
     (tmp_path / "x.conll").write_text("#begin document (n); part 000\nd\t0\tA\t(1)\nd\t1\tB\t-\n\nd\t2\tC\t(1)\n#end document\n")
     got = tables.read_conll(spark, str(tmp_path / "x.conll")).orderBy("token_id").collect()
     assert [(r.sentence, r.token_id, r["columns"][3]) for r in got] == [(0, 0, "(1)"), (0, 1, "-"), (1, 2, "(1)")]

@@ -107,3 +107,34 @@ def test_archive_records(spark, tmp_path):
     got = {r.n: (r.uri, r.status, r.html) for r in warc.read_records(index, f"file://{tmp_path}").collect()}
     assert got == {**{n: (u, 200, h) for n, (u, h, _) in enumerate(pages)}, 3: ("http://b.org/", 200, "plain"), **{n: (None, None, None) for n in (4, 5, 6, 7)}}
     assert warc.read_records(index.limit(0), f"file://{tmp_path}").count() == 0
+
+
+def test_conll_in_many_splits(spark, tmp_path):
+    """One file read in splits of some bytes equals the file in one piece, and by hand."""
+    lines, want = ["stray line"], []
+    for d in range(6):
+        lines.append(f"#begin document (d{d}); part 000")
+        sentence, token, fresh = -1, 0, True
+        for i in range(d * 13):
+            if (i * 7 + d) % 5 == 0:
+                lines += [""] * (1 + i % 2)
+                fresh = True
+            if i % 11 == 3:
+                lines.append("# a comment")
+            lines.append(f"d{d}\t{i}\tw{i}\t-")
+            sentence, fresh = sentence + fresh, False
+            want.append((f"(d{d}); part 000", sentence, token, f"w{i}"))
+            token += 1
+        lines += ["#end document", "outside"]
+    (tmp_path / "x.conll").write_text("\n".join(lines) + "\n")
+    conf = "spark.sql.files.maxPartitionBytes"
+    before, cost = spark.conf.get(conf), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (before, "97b", "400b"):
+            spark.conf.set(conf, size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            rows = tables.read_conll(spark, str(tmp_path / "x.conll"))
+            assert sorted((r.document, r.sentence, r.token_id, r.columns[2]) for r in rows.collect()) == sorted(want)
+    finally:
+        spark.conf.set(conf, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
