@@ -207,9 +207,17 @@ def hyperedges(links: DataFrame, src: str, dst: str) -> DataFrame:
     return links.groupBy(dst).agg(F.array_sort(F.collect_set(src)).alias("pins"), F.count("*").alias("weight"))
 
 
-def hyperedge_offsets(edges: DataFrame, dst: str) -> DataFrame:
-    """dst, start, end of each hyperedge's pins in the list of all pins, hyperedges in order of dst."""
-    sized = edges.select(dst, F.size("pins").cast("long").alias("n"))
+def pins(links: DataFrame, src: str, dst: str) -> DataFrame:
+    """dst, src, links (of that source to that target), place: every pin of every hyperedge as a row of its own, with
+    where it stands in the list of all pins, hyperedges in order of dst, pins of src."""
+    rows = links.groupBy(dst, src).agg(F.count("*").alias("links"))
+    return sampling.placed(rows, dst, src)
+
+
+def hyperedge_offsets(links: DataFrame, src: str, dst: str) -> DataFrame:
+    """dst, start, end of each hyperedge's pins in the list of all pins, hyperedges in order of dst: running sums
+    of numbers of different sources, so no hyperedge is gathered."""
+    sized = links.select(dst, src).distinct().groupBy(dst).agg(F.count("*").alias("n"))
     return sampling.running_sum(sized, "n", dst).select(dst, F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("end"))
 
 

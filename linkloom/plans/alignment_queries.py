@@ -131,7 +131,7 @@ SELECT dst, CAST(sum(n) OVER (ORDER BY dst) - n AS BIGINT) AS start, CAST(sum(n)
 """)
 def hyperedge_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return coref.hyperedge_offsets(coref.hyperedges(links, "src", "dst"), "dst")
+    return coref.hyperedge_offsets(links, "src", "dst")
 
 
 @query(f"""

@@ -423,6 +423,12 @@ def hypergraph_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("dst", F.array_join("pins", ",").alias("pins"), "weight")
 
 
+@query("SELECT dst, src, links, row_number() OVER (ORDER BY dst, src) - 1 AS place FROM (SELECT l_partkey AS dst, l_orderkey AS src, count(*) AS links FROM lineitem GROUP BY ALL)")
+def hyperedge_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pin as a row, with its place in the list that hyperedge offsets point into."""
+    return coref.pins(order_links(spark, sf_dir), "src", "dst")
+
+
 @query()
 def split_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.balanced_partition(order_links(spark, sf_dir), "src", "dst", SHARES)

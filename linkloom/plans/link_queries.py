@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text, urls
-from linkloom.operators import links, pages
+from linkloom.operators import links, pages, subgraphs
 from linkloom.operators.materialize import checkpoint_dir, file_system
 from linkloom.plans.registry import query, table
 from linkloom.sources import tables
@@ -326,3 +326,24 @@ def capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     system, at = file_system(spark, path)
     system.deleteOnExit(at)
     return tables.query_index(spark.read.parquet(path), "*.example.net").select("page_id", "key")
+
+
+@query(f"""
+WITH {LINKS}, tos AS (SELECT to_url_normalized AS target, page_id, link_idx, href, anchor FROM links WHERE to_url_normalized IS NOT NULL AND to_url_normalized <> ''),
+chosen AS (SELECT target FROM tos GROUP BY target HAVING count(*) BETWEEN 3 AND 5),
+known AS (SELECT netloc_key AS target, min(page_id) AS page_id FROM (SELECT page_id, {NORMALIZED} AS netloc_key FROM split) GROUP BY netloc_key)
+SELECT t.target, 'anchor-context' AS kind, page_id AS doc, CAST(link_idx AS BIGINT) AS place, anchor_text AS text
+FROM (SELECT target, page_id, link_idx, coalesce(lag('[' || anchor || ']') OVER w || ' ', '') || '>>>[' || anchor || ']<<<' || coalesce(' ' || lead('[' || anchor || ']') OVER w, '') AS anchor_text
+  FROM (SELECT to_url_normalized AS target, page_id, link_idx, anchor FROM links) WINDOW w AS (PARTITION BY page_id ORDER BY link_idx)) t JOIN chosen USING (target)
+UNION ALL
+SELECT target, 'target', page_id, -1, 'page ' || page_id FROM chosen JOIN known USING (target)
+""")
+def subgraph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of three to five links, with a text of their own where they are pages, and every link's context:
+    the anchors beside it stand in for the sentences around it."""
+    found = page_links(spark, sf_dir)
+    sentences = found.select("page_id", F.col("link_idx").cast("long").alias("sentence_idx"), F.concat(F.lit("["), "anchor", F.lit("]")).alias("sentence"))
+    spans = found.select("page_id", F.col("to_url_normalized").alias("target"), F.col("link_idx").cast("long").alias("sentence_idx"), F.lit(0).alias("chars_start"), (F.length("anchor") + 2).alias("chars_end")).where("target != ''")
+    keyed = pages.with_normalized(table(spark, sf_dir, "pages")).groupBy(F.col("url_normalized").alias("target")).agg(F.min("page_id").alias("page_id"))
+    texts = keyed.select("target", F.col("page_id").alias("doc"), F.concat(F.lit("page "), "page_id").alias("text"))
+    return subgraphs.export(spans, sentences, texts, "page_id", "target", low=3, high=5)

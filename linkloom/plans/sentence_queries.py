@@ -162,7 +162,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.segmented(sized, "doc_id", "sentence_idx", "n", 128)
 
 
-@query()
+@query("""
+WITH items AS (SELECT page_id, unnest(range(len(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>')))) AS sentence_idx,
+  unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS to_url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS anchor FROM pages)
+SELECT page_id, sentence_idx, 0 AS chars_start, length(anchor) AS chars_end, to_url FROM items
+""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences and anchors of whole pages by the structural parse, list items being the containers."""
     from linkloom.sources import html

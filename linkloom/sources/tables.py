@@ -15,7 +15,7 @@ from linkloom.operators.materialize import file_system
 PAGE_INDEX = "url string, timestamp timestamp, filename string, offset bigint, length bigint"
 SENTENCES = "url_normalized string, sentence_idx int, sentence string"
 TOKENS = "url_normalized string, sentence_idx int, token_idx int, token string"
-SCORES = "scenario string, experiment string, dev_corpus string, test_corpus string, topics string, seed int, measure string, metric string, value double"
+SCORES = "seed int, measure string, metric string, value double"
 CORPUS_TOKEN = "array<struct<sent_id:int,token_id:int,token:string,is_validated:boolean>>"
 
 
@@ -223,9 +223,23 @@ def read_ecb_relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return relations, named.select("doc", field("m_id").cast("int").alias("m_id"), field("instance_id").alias("instance"), field("TAG_DESCRIPTOR").alias("descriptor"))
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV score tables below a folder, with the file's path as a key."""
-    return spark.read.option("recursiveFileLookup", "true").option("header", "true").csv(path).withColumn("path", F.col("_metadata.file_path"))
+def read_scores(spark: SparkSession, path: str, columns: str = SCORES) -> DataFrame:
+    """All CSV score tables (of these columns) below a folder, with what their paths say:
+    ``scenario/experiment/<any>/<dev corpus>_<test corpus>/topics/<file>``. Parts that a path lacks are null."""
+    raw = spark.read.schema(columns).option("recursiveFileLookup", "true").option("header", "true").csv(path)
+    return with_path_keys(raw.withColumn("path", F.col("_metadata.file_path")), path)
+
+
+def with_path_keys(scores: DataFrame, root: str) -> DataFrame:
+    """Adds scenario, experiment, dev_corpus, test_corpus and topics by the column ``path``, below the root folder.
+    The scenario ``ss`` names its corpus in the experiment; the experiment ``lemma`` has no dev corpus."""
+    folder = root.rstrip("/").split("://")[-1].lstrip("/")
+    parts = F.split(F.regexp_replace(F.substring_index("path", folder, -1), "^/+", ""), "/")
+    part = lambda k: F.when(F.size(parts) > k + 1, F.get(parts, F.lit(k)))
+    corpora = F.split(part(3), "_")
+    dev = F.when(part(1) == "lemma", "n/a").when(part(0) == "ss", F.substring(part(1), 10, 3)).otherwise(F.get(corpora, F.lit(0)))
+    named = {"scenario": part(0), "experiment": part(1), "dev_corpus": dev, "test_corpus": F.element_at(corpora, -1), "topics": part(4)}
+    return scores.withColumns(named)
 
 
 def merged(*configs: Mapping) -> dict:

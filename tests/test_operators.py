@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import clustering, coref, dedup, links, metrics, pages, partition, sentences
+from linkloom.operators import clustering, coref, dedup, links, metrics, pages, partition, sentences, subgraphs
 from linkloom.operators.components import connected_components
 from linkloom.plans import dedup_queries
 from linkloom.plans.stages import Stage, run_stages
@@ -239,6 +239,20 @@ def test_balanced_partition(spark):
     assert partition.cut_links(hot, partition.balanced_partition(hot, "src", "dst", {"a": 0.3, "b": 0.7}), "src", "dst").first().lost <= 750
 
 
+def test_subgraphs(spark):
+    said = spark.createDataFrame([("p", i, s) for i, s in enumerate(["One.", "See the mill here.", "Three."])] + [("q", 0, "mill")], "page string, sentence_idx long, sentence string")
+    rows = [("p", "t", 1, 8, 12), ("p", "t", 0, 0, 3), ("q", "t", 0, 0, 4), ("q", "t", 7, 0, 1), ("q", "u", 0, 0, 1)]
+    links = spark.createDataFrame(rows, "page string, to string, sentence_idx long, chars_start int, chars_end int")
+    texts = spark.createDataFrame([("u", "u-page", "All of u")], "to string, doc string, text string")
+    got = {tuple(r) for r in subgraphs.export(links, said, texts, "page", "to", low=1, high=4).collect()}
+    assert got == {
+        ("t", "anchor-context", "p", 1, "One. See the >>>mill<<< here. Three."), ("t", "anchor-context", "p", 0, ">>>One<<<. See the mill here."), ("t", "anchor-context", "q", 0, ">>>mill<<<"),
+        ("u", "anchor-context", "q", 0, ">>>m<<<ill"), ("u", "target", "u-page", -1, "All of u"),
+    }
+    known = {r.target for r in subgraphs.export(links, said, texts, "page", "to", low=1, high=4, known=True).collect()}
+    assert known == {"u"} and subgraphs.targets(links, "to", 3, 5).count() == 1
+
+
 def test_hashed_columns_collide_with_signs(spark):
     docs = spark.createDataFrame([(1, "red house red boat"), (2, "blue house"), (3, None)], "k long, t string")
     grams = dedup.word_grams(docs, "k", "t", 1).collect()

@@ -75,7 +75,14 @@ def test_reports(spark, tmp_path):
     scores = spark.createDataFrame([("x", "1.0+-0.1", None), ("a", "2.0+-0.2", "3.0+-0.0")], "name string, muc string, lea string")
     tables.write_score_tables(scores, str(tmp_path / "scores"), "name", ["muc", "lea"])
     assert lines_of(tmp_path / "scores" / "latex") == [r"a & 2.0+-0.2 & 3.0+-0.0 \\", r"x & 1.0+-0.1 & -- \\"]
-    assert tables.read_scores(spark, str(tmp_path / "scores" / "csv")).count() == 2
+    assert tables.read_scores(spark, str(tmp_path / "scores" / "csv"), "name string, muc string, lea string").count() == 2
+    for place in ("gg/lemma/x/ecbp_gvc/closure", "ss/ss_train_abc_1/y/ecbp_fcct/predicted", "gg/train/z/bbc_gvc/closure"):
+        (tmp_path / "all" / place).mkdir(parents=True)
+        (tmp_path / "all" / place / "scores.csv").write_text("seed,measure,metric,value\n0,muc,f1,0.5\n")
+    (tmp_path / "all" / "short.csv").write_text("seed,measure,metric,value\n1,muc,f1,0.25\n")
+    got = tables.read_scores(spark, str(tmp_path / "all")).select("scenario", "experiment", "dev_corpus", "test_corpus", "topics", "seed", "value")
+    want = {("gg", "lemma", "n/a", "gvc", "closure", 0, 0.5), ("ss", "ss_train_abc_1", "abc", "fcct", "predicted", 0, 0.5), ("gg", "train", "bbc", "gvc", "closure", 0, 0.5), (None, None, None, None, None, 1, 0.25)}
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_each_text_in_a_file(spark, tmp_path):
