@@ -161,7 +161,7 @@ def test_texts_are_clustered_by_components(spark, monkeypatch, most):
 @pytest.mark.parametrize("linkage", clustering.LINKAGES)
 def test_forests_of_pairs_and_their_cuts(spark, monkeypatch, linkage):
     rng = np.random.default_rng(5)
-    n, thresholds = 24, [0.05, 0.2, 0.35, 0.5, 0.7]
+    n, thresholds = 12, [0.2, 0.4, 0.7]
     pairs = [(i + 100 * g, j + 100 * g, float(rng.random())) for g in range(2) for i in range(n) for j in range(i) if rng.random() < 0.9]
     far = {frozenset(p[:2]): p[2] for p in pairs}
     mean = {"average": np.mean, "complete": max, "single": min}[linkage]
