@@ -12,7 +12,8 @@ labelled rows (``rows`` of at most ``max_bytes`` bytes each). Near copies in the
 Empty and null texts are one all-zero chunk and score what the network gives for it; without
 labels, or with one class only, every score is that class's rate (0 without labels). Rows come back
 one for one; ties and repeats get equal scores; extra columns aren't read (`keep_quality` passes
-them through).
+them through). An empty table gives an empty result. A very long text is pooled some blocks at a time, in
+memory of a few times its length.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WIDTH, STRIDE, FILTERS, EMBEDDED = 8, 2, 24, 8
 #: Pooling blocks, in windows; a chunk is two neighbouring blocks.
 BLOCK = 128
 BLOCK_BYTES = BLOCK * STRIDE
+#: Blocks whose responses are held at once.
+PART_BLOCKS = 256
 
 
 @dataclass
@@ -51,7 +54,8 @@ def lay_out(column: pa.Array) -> Blocks:
     count = -(-(sizes + WIDTH - STRIDE) // BLOCK_BYTES)
     first = np.cumsum(count) - count
     data = np.zeros(int(count.sum()) * BLOCK_BYTES + WIDTH, np.uint8)
-    data[np.arange(len(raw)) + np.repeat(first * BLOCK_BYTES - offsets[:-1], sizes)] = raw
+    for start, low, high in zip((first * BLOCK_BYTES).tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        data[start : start + high - low] = raw[low:high]
     position = np.arange(BLOCK) * STRIDE
     left = np.repeat(np.maximum(sizes, 1), count) - (np.arange(int(count.sum())) - np.repeat(first, count)) * BLOCK_BYTES
     return Blocks(data, first, count, position[None, :] < left[:, None])
@@ -89,11 +93,16 @@ class Network:
 
     def pooled(self, b: Blocks) -> tuple[np.ndarray, np.ndarray]:
         """Each block's best rectified response by filter, and the window it stands at."""
-        r = responses(b.data, self.pairs or tabulated(self.filters()), self.bias.astype(np.float32))
-        # A text that isn't a whole number of blocks must not see what follows it.
-        r[~b.valid] = 0
-        at = r.argmax(axis=1)
-        best = np.maximum(np.take_along_axis(r, at[:, None, :], axis=1)[:, 0, :], 0)
+        pairs, bias, m = self.pairs or tabulated(self.filters()), self.bias.astype(np.float32), len(b.valid)
+        best, at = np.zeros((m, FILTERS), np.float32), np.zeros((m, FILTERS), np.int16)
+        # Only maxima stay, so responses exist for some blocks at a time.
+        for k in range(0, m, PART_BLOCKS):
+            end = min(m, k + PART_BLOCKS)
+            r = responses(b.data[k * BLOCK_BYTES : end * BLOCK_BYTES + WIDTH], pairs, bias)
+            # A text that isn't a whole number of blocks must not see what follows it.
+            r[~b.valid[k:end]] = 0
+            at[k:end] = r.argmax(axis=1)
+            best[k:end] = np.maximum(np.take_along_axis(r, at[k:end, None, :].astype(np.intp), axis=1)[:, 0, :], 0)
         return best, at
 
     def features(self, b: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -412,6 +412,23 @@ def test_distance_of_very_long_texts():
     assert places.within(5000, 4990, 64) == 1 << 10 and places.within(2048, 2040, 9) & 0x1FF == 1 << 8
 
 
+def test_quality_of_a_long_text_in_bounded_memory(monkeypatch):
+    import pyarrow as pa
+
+    net = quality_cnn.fit([prose(20), "### *** %%%"] * 3, [1, 0] * 3)
+    texts = pa.array([prose(50), None, "", prose(3000), "x" * 40_000])
+    whole = net.scores(texts)
+    monkeypatch.setattr(quality_cnn, "PART_BLOCKS", 3)
+    assert (net.scores(texts) == whole).all()
+    monkeypatch.undo()
+    long = pa.array(["A sentence that comes again and again. " * 500_000])
+    tracemalloc.start()
+    score = net.scores(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7 * long.nbytes + (64 << 20) and 0 <= score[0] <= 1
+
+
 def test_distance_across_blocks(monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     monkeypatch.setattr(near_dedup, "BAND", 1)
