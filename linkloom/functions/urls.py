@@ -48,13 +48,49 @@ def normalized(url: Column) -> Column:
 def canonical(url: Column) -> Column:
     """Scheme and host in lower case, no default port, ``/`` for an empty path; null without a host.
 
-    Other canonicalisers differ in percent-encoding and IDNA, which are left as they are here."""
+    Percent-encoding and international hosts are left as they are; `normal_form` settles them too."""
     host = F.regexp_replace(F.lower(netloc(url)), r":$", "")
     host = F.when(scheme(url) == "http", F.regexp_replace(host, r":80$", "")).when(scheme(url) == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
     tail = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
     return F.when((netloc(url) != "") & (scheme(url) != ""), F.concat(scheme(url), F.lit("://"), host, F.when(path(url) == "", "/").otherwise(path(url)), tail))
 
 
+#: Characters that stand for themselves in a path, query or fragment, and escapes that stand for letters and the like.
+PLAIN = r"^[A-Za-z0-9._~!$&'()*+,;=:@/?\[\]-]$"
+NEEDLESS = r"^%(2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])$"
+
+
+def percent_encoded(part: Column) -> Column:
+    """A URL's part with every character escaped that has to be (as its UTF-8 bytes, a lone ``%`` too), none that
+    needn't be, and escapes in upper case."""
+    pieces = F.regexp_extract_all(part, F.lit("(?s)%[0-9A-Fa-f]{2}|."), F.lit(0))
+
+    def settled(x: Column) -> Column:
+        escape = F.upper(x)
+        char = F.char(F.conv(F.substring(x, 2, 2), 16, 10).cast("long"))
+        own = F.when(x.rlike(PLAIN), x).otherwise(F.regexp_replace(F.hex(x), "(..)", "%$1"))
+        return F.when(F.length(x) == 3, F.when(escape.rlike(NEEDLESS), char).otherwise(escape)).otherwise(own)
+
+    return F.array_join(F.transform(pieces, settled), "")
+
+
+def ascii_host(host: Column) -> Column:
+    """A host's international labels in their ASCII form (``xn--``); as it is if they have none."""
+    made = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host)
+    return F.when(host.rlike("^[\\x00-\\x7F]*$"), host).otherwise(F.coalesce(made, host))
+
+
+def normal_form(url: Column) -> Column:
+    """The canonical URL with an ASCII host without a last dot, no dot segments, and settled percent-encoding in
+    path, query and fragment; null without a host."""
+    plain = canonical(url)
+    host = F.regexp_replace(ascii_host(netloc(plain)), r"\.(?=:[0-9]+$|$)", "")
+    tail = F.regexp_extract(plain, r"^[^?#]*([?#].*)$", 1)
+    # The first "#" begins the fragment; later ones are escaped.
+    marked = F.when(tail == "", "").otherwise(F.concat(F.when(F.startswith(tail, F.lit("?")), F.concat(F.lit("?"), percent_encoded(query(plain)))).otherwise(""), F.when(F.contains(tail, F.lit("#")), F.concat(F.lit("#"), percent_encoded(fragment(plain)))).otherwise("")))
+    return F.concat(scheme(plain), F.lit("://"), host, without_dots(percent_encoded(path(plain))), marked)
+
+
 def without_dots(url_path: Column) -> Column:
     """A path with ``.`` and ``..`` segments worked off; one at the end leaves its slash."""
     parts = F.split(F.regexp_replace(url_path, r"/(\.\.?)$", "/$1/"), "/")

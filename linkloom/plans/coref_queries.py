@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.operators import clustering, coref, metrics, partition, sampling, scoring
+from linkloom.operators import clustering, coref, metrics, partition, sampling, scoring, subgraphs
 from linkloom.operators.materialize import materialized
 from linkloom.plans.registry import query, table
 from linkloom.plans.sentence_queries import TOKENS, document_tokens
@@ -467,5 +467,4 @@ def anchor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_partkey AS dst, count(DISTINCT l_orderkey) AS in_degree FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) BETWEEN 28 AND 30")
 def subgraph_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = order_links(spark, sf_dir).distinct().groupBy("dst").agg(F.count("*").alias("in_degree"))
-    return targets.where("in_degree BETWEEN 28 AND 30")
+    return subgraphs.targets(order_links(spark, sf_dir).distinct(), "dst", 28, 30).withColumnRenamed("n", "in_degree")

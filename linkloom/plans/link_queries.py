@@ -89,6 +89,28 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
 
 
+def settled_sql(part: str) -> str:
+    """SQL for percent-encoding that is settled."""
+    return rf"""array_to_string(list_transform(regexp_extract_all({part}, '(?s)%[0-9A-Fa-f]{{2}}|.'), lambda x: CASE WHEN length(x) = 3
+    THEN CASE WHEN regexp_matches(upper(x), '{urls.NEEDLESS}') THEN chr(CAST('0x' || substr(x, 2) AS INTEGER)) ELSE upper(x) END
+    WHEN regexp_matches(x, '{urls.PLAIN.replace("'", "''")}') THEN x ELSE url_encode(x) END), '')"""
+
+
+@query(rf"""
+WITH {LINKS}, canonical AS (
+  SELECT page_id, link_idx, scheme, CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END AS host,
+    CASE WHEN way = '' THEN '/' ELSE way END AS path, regexp_extract(to_url, '^[^?#]*\?([^#]*)', 1) AS asked, regexp_extract(to_url, '^[^#]*#(.*)', 1) AS frag, regexp_extract(to_url, '^[^?#]*([?#].*)$', 1) AS tail
+  FROM (SELECT *, regexp_extract(to_url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS way, regexp_replace(lower(netloc), ':$', '') AS host FROM links WHERE netloc <> '' AND scheme <> '')
+)
+SELECT page_id, link_idx, scheme || '://' || host || {settled_sql("path")} || CASE WHEN starts_with(tail, '?') THEN '?' || {settled_sql("asked")} ELSE '' END || CASE WHEN contains(tail, '#') THEN '#' || {settled_sql("frag")} ELSE '' END AS url
+FROM canonical
+""")
+def url_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link targets with settled percent-encoding."""
+    found = page_links(spark, sf_dir).select("page_id", "link_idx", urls.normal_form(F.col("to_url")).alias("url"))
+    return found.where("url IS NOT NULL")
+
+
 GENERALIZED = r"""
 generalized AS (
   SELECT page_id, array_to_string(list_concat(

@@ -83,3 +83,15 @@ def test_clamped(spark, given, start, end, want):
 def test_enumerated(spark):
     got = one(spark, spans.enumerated(F.lit(0), F.lit(3), 2))
     assert [(x.start, x.end) for x in got] == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3)]
+
+
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("HTTP://A.org:80", "http://a.org/"), ("http://bücher.example/ü?q=ä b#ö", "http://xn--bcher-kva.example/%C3%BC?q=%C3%A4%20b#%C3%B6"), ("http://a.org./%7euser/%e4%2f", "http://a.org/~user/%E4%2F"),
+        ("http://a.org/x/../y/./z", "http://a.org/y/z"), ("http://a.org/100%", "http://a.org/100%25"), ("http://a.org/%61%2E%2e/b", "http://a.org/a../b"), ("http://a.org/😀#a#b", "http://a.org/%F0%9F%98%80#a%23b"),
+        ("http://a.org?", "http://a.org/?"), ("//a.org/x", None), ("mailto:x@y", None), (None, None),
+    ],
+)
+def test_normal_form(spark, given, want):
+    assert one(spark, urls.normal_form(F.lit(given).cast("string"))) == want
