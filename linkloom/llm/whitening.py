@@ -18,7 +18,7 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -31,8 +31,8 @@ from linkloom.llm.arrow_text import sums_by_row
 from linkloom.operators.materialize import Scratch
 
 SCALE, OFFSET, LARGEST = 1024, 100_000, 2.0**30
-#: Rows of a block of QR, and triangular factors that are reduced together.
-BLOCK_ROWS, FAN = 4096, 8
+#: Vector entries that a task holds as numbers at once (a block of QR), and triangular factors that are reduced together.
+ENTRIES, FAN = 1 << 18, 8
 COMPONENTS = 8
 EPS = np.finfo(float).eps
 
@@ -54,12 +54,20 @@ def integers(column: pa.Array, length: int | None = None) -> tuple[np.ndarray, n
     return rows, np.floor(SCALE * np.clip(values[at], -LARGEST, LARGEST)).astype(np.int64) + OFFSET
 
 
+def pieces(batches: Iterable[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in blocks of about `ENTRIES` entries, one row at least."""
+    for batch in batches:
+        step = max(1, batch.num_rows * ENTRIES // max(1, len(batch.column(column).flatten())))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def moments(vectors: DataFrame, column: str) -> tuple[int, list[int]]:
     """The number of vectors and their exact sums by dimension; (0, []) if there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, tuple[int, np.ndarray]] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             _, lengths = integers(batch.column(0))
             for d in np.unique(lengths).tolist():
                 _, x = integers(batch.column(0), d)
@@ -97,11 +105,10 @@ def reduced(vectors: DataFrame, column: str, n: int, sums: list[int]) -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = None
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                _, x = integers(batch.column(0).slice(start, BLOCK_ROWS), d)
-                if len(x):
-                    r = triangle(deviations(x, n, sums).astype(float) / n, r)
+        for batch in pieces(batches):
+            _, x = integers(batch.column(0), d)
+            if len(x):
+                r = triangle(deviations(x, n, sums).astype(float) / n, r)
         if r is not None:
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], names=["r"])
 
@@ -281,7 +288,7 @@ def covariance(vectors: DataFrame, column: str, fit: Whitening) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k + 1, k))
-        for batch in batches:
+        for batch in pieces(batches):
             _, x = integers(batch.column(0), len(fit.sums))
             if len(x):
                 w = fit.project(x)[1]
@@ -311,7 +318,7 @@ def whiten(vectors: DataFrame, fit: Whitening, key: str = "vec_id", column: str
     k = len(fit.values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows, x = integers(batch.column(1), len(fit.sums))
             if k == 0 or len(x) == 0:
                 continue

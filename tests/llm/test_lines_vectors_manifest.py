@@ -102,7 +102,7 @@ def test_dqds_is_accurate_for_tiny_values():
 
 
 def test_whitening_against_numpy(spark, monkeypatch):
-    monkeypatch.setattr(whitening, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(whitening, "ENTRIES", 64 * 6)
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(700, 6)) @ rng.normal(size=(6, 6))).astype(np.float32)
     rows = [(i, [float(c) for c in r], "e") for i, r in enumerate(x)] + [(5, [float(c) for c in x[5]], "e"), (None, [float(c) for c in x[0]], "e")]
