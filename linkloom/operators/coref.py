@@ -109,9 +109,10 @@ def without_nested(mentions: DataFrame, doc: str, start: str, end: str, key: str
 def top_spans(tokens: DataFrame, topic: str, sentence: str, token: str, score: Column, max_width: int = 10, share: float = 0.25) -> DataFrame:
     """topic, sentence, start, end, score: the ``int(share * tokens)`` best candidate spans of each topic.
     Ties go to earlier sentences, starts and ends. ``sampling.best`` selects them, so no topic is ranked."""
-    bounds = tokens.groupBy(topic, sentence).agg(F.min(token).alias("lo"), F.max(token).alias("hi"))
+    # Sentences are kept; their candidates are made anew whenever they are read.
+    bounds = materialized(tokens.groupBy(topic, sentence).agg(F.min(token).alias("lo"), F.max(token).alias("hi"), F.count("*").alias("n")))
     candidates = bounds.select(topic, sentence, F.inline(spans.enumerated(F.col("lo"), F.col("hi"), max_width))).withColumn("score", score)
-    limit = tokens.groupBy(topic).agg(F.floor(F.count("*") * share).alias("k"))
+    limit = bounds.groupBy(topic).agg(F.floor(F.sum("n") * share).alias("k"))
     return sampling.best(candidates, limit, topic, "score", sentence, "start", "end").select(topic, sentence, "start", "end", "score")
 
 

@@ -326,7 +326,9 @@ def test_capture_index(spark, tmp_path):
     assert found("http://a.org") == [1, 7, 9, 10, 11, 13] and found("*.a.org") == [1, 3, 7, 9, 10, 11, 13]
     assert found("*.org", languages="deu") == [] and len(found("*.org")) == 10
     assert found("*.a.org", limit=2) == [7, 9] and found("*.a.org", end=F.lit("20200101")) == [3, 9]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = tables.query_index(index, "http://a.org/x")._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(key,org,a)/x)" in plan.split("PushedFilters")[1]
     runs = []
 
