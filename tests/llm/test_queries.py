@@ -54,3 +54,18 @@ def test_near_duplicates_link_what_shares_shingles(spark):
     pairs = {(a, b) for at in places.values() if len(at) < 200 for a in at for b in at if a < b}
     similar = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(similar) > 50 and all(classes[a] == classes[b] for a, b in similar)
+
+
+def test_whitening_against_numpy(spark):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{LARGER}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.floor(1024 * np.array([r.embedding for r in rows], float)).astype(int) + 100_000
+    n, far = len(x), len(x) * x - x.sum(axis=0)
+    values, vectors = np.linalg.eigh((far / n).T @ (far / n) / n)
+    want = np.abs(far / n @ vectors[:, ::-1][:, :8] / np.sqrt(values[::-1][:8]))
+    got = queries.op12_whitening(spark, LARGER).orderBy("vec_id", "component").collect()
+    assert [(r.vec_id, r.component) for r in got] == [(r.vec_id, c) for r in rows for c in range(1, 9)]
+    assert np.allclose(np.abs(np.array([r.whitened for r in got]).reshape(n, 8)), want, atol=1e-8)
+    assert np.allclose([r.explained for r in got[:8]], values[::-1][:8] / values.sum(), rtol=1e-9)
+    assert [r.deviation for r in got[::8]] == (far * far).sum(axis=1).tolist() and {r.n for r in got} == {n} and got[0].identity_error < 1e-10
