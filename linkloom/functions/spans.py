@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 EDGE_CHARACTERS = "“‘'\"”’`´$€£#%*+@&"
 WANTED = "[0-9A-Za-z" + EDGE_CHARACTERS.replace("$", "\\$").replace("&", "\\&") + "]"
 UNWANTED = WANTED.replace("[", "[^", 1)
+# Runs at an end are anchored by \z: in Java $ also matches before a last line break.
 
 
 def clamped(start: Column, end: Column, spans: Column) -> Column:
@@ -22,7 +23,7 @@ def clamped(start: Column, end: Column, spans: Column) -> Column:
 def harmonized_start(sentence: Column, idx: Column) -> Column:
     """Moves a span's start out to its word's first character, or in to the next word's."""
     char = F.substring(sentence, idx + 1, F.lit(1))
-    run_before = F.length(F.regexp_extract(F.substring(sentence, F.lit(2), idx - 1), f"({WANTED}*)$", 1))
+    run_before = F.length(F.regexp_extract(F.substring(sentence, F.lit(2), idx - 1), f"({WANTED}*)\\z", 1))
     run_unwanted = F.length(F.regexp_extract(F.substring(sentence, idx + 1, F.length(sentence)), f"^({UNWANTED}*)", 1))
     inward = F.least(idx + run_unwanted, F.length(sentence) - 1)
     return F.when(char.rlike(WANTED), F.when(idx >= 1, idx - run_before).otherwise(F.lit(0))).otherwise(inward)
@@ -33,7 +34,7 @@ def harmonized_end(sentence: Column, idx: Column) -> Column:
     e = idx - 1
     char = F.substring(sentence, e + 1, F.lit(1))
     run_after = F.length(F.regexp_extract(F.substring(sentence, e + 2, F.length(sentence)), f"^({WANTED}*)", 1))
-    run_unwanted = F.length(F.regexp_extract(F.substring(sentence, F.lit(1), e + 1), f"({UNWANTED}*)$", 1))
+    run_unwanted = F.length(F.regexp_extract(F.substring(sentence, F.lit(1), e + 1), f"({UNWANTED}*)\\z", 1))
     inward = F.when(e <= 1, e).otherwise(F.greatest(e - run_unwanted, F.lit(1)))
     return F.when(char.rlike(WANTED), e + run_after).otherwise(inward) + 1
 

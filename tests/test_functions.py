@@ -70,6 +70,11 @@ def test_harmonized_end(spark, idx, want):
     assert one(spark, spans.harmonized_end(F.col("s"), F.col("i")), s=SENTENCE, i=idx) == want
 
 
+def test_harmonized_after_a_line_break(spark):
+    assert one(spark, spans.harmonized_start(F.col("s"), F.col("i")), s="Two ab\ncd", i=7) == 7
+    assert one(spark, spans.harmonized_end(F.col("s"), F.col("i")), s="Two ab.\n", i=8) == 6
+
+
 @pytest.mark.parametrize(
     "given,start,end,want",
     [([(0, 20), (20, 45)], 12, 20, (0, 12, 20)), ([(0, 20), (20, 45)], 20, 24, (1, 0, 4)), ([(0, 20), (21, 30)], 15, 25, (0, 15, 20)), ([(0, 20), (21, 30)], 15, 21, (0, 15, 20)), ([(0, 18), (18, 30)], 18, 27, (1, 0, 9)), ([(0, 5)], 9, 12, (0, 9, 5))],
