@@ -186,6 +186,42 @@ def test_forests_of_pairs_and_their_cuts(spark, monkeypatch, linkage):
             assert {frozenset(c) for c in found[t].values()} == by_hand(t) and all(k == min(c) for k, c in found[t].items())
 
 
+def test_forests_of_vectors_without_a_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(12, 3)).round(1), np.zeros((2, 3))])
+    x = np.vstack([x, x[:4]])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = np.maximum(0, 1 - unit @ unit.T)
+    rows = spark.createDataFrame([(g, i + 100 * g, [float(v) for v in r]) for g in (0, 1) for i, r in enumerate(x)], "g int, k long, v array<float>")
+    nodes = rows.select(F.col("k").alias("node"))
+
+    def found(forest, t):
+        clusters = {}
+        for r in clustering.cut(forest, nodes, [t]).collect():
+            clusters.setdefault(r.cluster, set()).add(r.node)
+        return {frozenset(c) for c in clusters.values()}
+
+    both = lambda clusters: {frozenset(i + 100 * g for i in c) for g in range(2) for c in clusters}
+    near = [(i, j, float(d[i, j])) for i in range(len(x)) for j in range(i)]
+    whole = spark.createDataFrame([(i + 100 * g, j + 100 * g, w) for g in range(2) for i, j, w in near], "a long, b long, distance double")
+    for most, block in ((1500, 1024), (2, 3)):
+        monkeypatch.setattr(clustering, "IN_TASK", most)
+        monkeypatch.setattr(clustering, "BLOCK", block)
+        monkeypatch.setattr(coref, "BLOCK", block)
+        assert found(clustering.vectors_forest(rows, "g", "k", "v", 0.4), 0.4) == both(linkage_by_hand(d, 0.4))
+        links = clustering.spanning_links(rows, "g", "k", "v", 0.2)
+        assert found(clustering.pair_forest(links, 0.2, "single"), 0.2) == found(clustering.pair_forest(whole, 0.2, "single"), 0.2)
+
+
+def test_copies_of_mentions_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(coref, "BLOCK", 4)
+    monkeypatch.setattr(coref, "BLOCKS", 3)
+    rows = spark.range(500).select(F.lit(1).alias("topic"), "id", F.array(F.lit(1.0), F.col("id") + 0.5).alias("v"))
+    assert coref.cells(rows, "topic", F.col("id")).groupBy("id").count().agg(F.max("count")).first()[0] == 3
+    monkeypatch.setattr(coref, "PAIRS", 1000)
+    assert coref.scored_pairs(rows, "topic", "id", "v").select("a", "b").distinct().count() == 500 * 499 // 2
+
+
 def test_ceaf_and_conll_of_equal_clusterings(spark):
     rows = [("d", m, m % 3) for m in range(9)]
     key = spark.createDataFrame(rows, "doc string, mention long, cluster long")
