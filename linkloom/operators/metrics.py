@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators.components import connected_components
-from linkloom.operators.materialize import materialized
+from linkloom.operators.materialize import materialized, saved
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -26,17 +26,23 @@ def f1(p: Column, r: Column) -> Column:
     return ratio(2 * p * r, p + r)
 
 
-def contingency(key: DataFrame, system: DataFrame) -> DataFrame:
-    """doc, k, s, n, nk, ns: shared mentions of each pair of clusters that share any, and both sizes."""
-    sizes = lambda df, c, n: df.groupBy("doc", F.col("cluster").alias(c)).agg(F.count("*").alias(n))
+def sized(clusters: DataFrame) -> DataFrame:
+    """doc, cluster, size of clusterings, or of what is that already."""
+    return clusters if "size" in clusters.columns else clusters.groupBy("doc", "cluster").agg(F.count("*").alias("size"))
+
+
+def contingency(key: DataFrame, system: DataFrame, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """doc, k, s, n, nk, ns: shared mentions of each pair of clusters that share any, and both sizes (`sized`)."""
+    nk, ns = sizes or (sized(key), sized(system))
     both = key.select("doc", "mention", F.col("cluster").alias("k")).join(system.select("doc", "mention", F.col("cluster").alias("s")), ["doc", "mention"])
-    return both.groupBy("doc", "k", "s").agg(F.count("*").alias("n")).join(sizes(key, "k", "nk"), ["doc", "k"]).join(sizes(system, "s", "ns"), ["doc", "s"])
+    cells = both.groupBy("doc", "k", "s").agg(F.count("*").alias("n"))
+    return cells.join(nk.toDF("doc", "k", "nk"), ["doc", "k"]).join(ns.toDF("doc", "s", "ns"), ["doc", "s"])
 
 
 def per_side(cells: DataFrame, clusters: DataFrame, side: str, metric: str) -> DataFrame:
     """doc, num, den of one metric with the clusters of one side (``k`` or ``s``) as input."""
     size = "nk" if side == "k" else "ns"
-    sizes = clusters.groupBy("doc", F.col("cluster").alias(side)).agg(F.count("*").alias("size"))
+    sizes = sized(clusters).withColumnRenamed("cluster", side)
     if metric == "mentions":
         got = cells.groupBy("doc").agg(F.sum("n").alias("num"))
         total = sizes.groupBy("doc").agg(F.sum("size").alias("den"))
@@ -59,8 +65,12 @@ def per_side(cells: DataFrame, clusters: DataFrame, side: str, metric: str) -> D
 
 
 def by_document(key: DataFrame, system: DataFrame, metric: str, cells: DataFrame | None = None) -> DataFrame:
-    """doc, p_num, p_den, r_num, r_den. cells: their contingency, if it is there already."""
-    cells = contingency(key, system) if cells is None else cells
+    """doc, p_num, p_den, r_num, r_den. cells: their contingency, if it is there already; key and system may then be
+    their sizes."""
+    if cells is None:
+        sizes = saved(sized(key)), saved(sized(system))
+        cells = saved(contingency(key, system, sizes))
+        key, system = sizes
     r, p = (per_side(cells, c, side, metric) for c, side in ((key, "k"), (system, "s")))
     return p.select("doc", F.col("num").alias("p_num"), F.col("den").alias("p_den")).join(r.select("doc", F.col("num").alias("r_num"), F.col("den").alias("r_den")), "doc", "full").fillna(0.0)
 
@@ -111,7 +121,10 @@ def ceaf(key: DataFrame, system: DataFrame, entity: bool = True, cells: DataFram
     matching is solved by itself. A pair of clusters that meet no others is a part with one solution
     and stays in the JVM; the rest is solved in Python, part by part. Where all clusters of a large
     document hang together its part is one group: a matrix of its clusters on either side."""
-    cells = materialized(contingency(key, system)) if cells is None else cells
+    if cells is None:
+        sizes = saved(sized(key)), saved(sized(system))
+        cells = saved(contingency(key, system, sizes))
+        key, system = sizes
     for c in "ks":
         several = cells.groupBy("doc", c).agg((F.count("*") == 1).alias(f"one_{c}"))
         cells = cells.join(several, ["doc", c])
@@ -130,9 +143,9 @@ def ceaf(key: DataFrame, system: DataFrame, entity: bool = True, cells: DataFram
     parts = connected_components(rest.select("node", F.xxhash64("doc", F.lit("s"), "s").alias("other")), "node", "other")
     solved = rest.join(parts, "node").groupBy("doc", "component").applyInPandas(run, schema)
     best = single.unionByName(solved).groupBy("doc").agg(F.sum("num").alias("num"))
-    count = F.countDistinct("cluster") if entity else F.count("*")
-    k = key.groupBy("doc").agg(count.cast("double").alias("r_den"))
-    s = system.groupBy("doc").agg(count.cast("double").alias("p_den"))
+    count = F.count("*") if entity else F.sum("size")
+    k = sized(key).groupBy("doc").agg(count.cast("double").alias("r_den"))
+    s = sized(system).groupBy("doc").agg(count.cast("double").alias("p_den"))
     rows = k.join(s, "doc", "full").join(best, "doc", "left").fillna(0.0)
     return rows.select("doc", F.col("num").alias("p_num"), "p_den", F.col("num").alias("r_num"), "r_den")
 
@@ -145,10 +158,11 @@ CONLL = ("muc", "b3", "ceafe")
 def report(key: DataFrame, system: DataFrame, names: Sequence[str] = METRICS) -> DataFrame:
     """metric, precision, recall, f1 over all documents, and a row ``conll`` whose f1 is the mean of those of
     MUC, B-cubed and CEAF by entities (null if one isn't asked for). The contingency is computed once."""
-    cells = materialized(contingency(key, system))
+    sizes = saved(sized(key)), saved(sized(system))
+    cells = saved(contingency(key, system, sizes))
     rows = []
     for name in names:
-        scores = ceaf(key, system, name == "ceafe", cells) if name.startswith("ceaf") else by_document(key, system, name, cells)
+        scores = ceaf(*sizes, name == "ceafe", cells) if name.startswith("ceaf") else by_document(*sizes, name, cells)
         rows.append(summed(scores).select(F.lit(name).alias("metric"), "precision", "recall", "f1"))
     every = materialized(reduce(DataFrame.unionByName, rows))
     asked = F.when(F.count_if(F.col("metric").isin(*CONLL)) == len(CONLL), F.avg(F.when(F.col("metric").isin(*CONLL), F.col("f1"))))

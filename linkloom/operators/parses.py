@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.operators.sentences import CHUNK
+
 #: Phrases that a noun's or a verb's minimum span is looked for in, and what begins them.
 NOUN_PHRASES = ("NP", "NM", "QP", "NX")
 NOUN_ROOTS = ("NP", "NM")
@@ -103,29 +107,63 @@ def minimum(root: Phrase | None) -> list[Phrase]:
     return [r for p in phrases for r in shallowest(p, tags)] if phrases else list(shallowest(root, None))
 
 
+@lru_cache(maxsize=10_000)
+def found(words: tuple[str, ...], pos: tuple[str, ...], parse: tuple[str, ...]) -> tuple[str | None, tuple, bool]:
+    """Tag, minimum spans and whether their places count from the mention's first token. Mentions of the same words are
+    analysed once."""
+    root = tree(words, pos, parse, 0)
+    spans = tuple(sorted({(" ".join(w for w, _ in r.words), r.at) for r in minimum(root)}, key=lambda s: (s[1], s[0])))
+    return (root.name if root else None, spans or tuple((w, i) for i, w in enumerate(words)), bool(spans))
+
+
 def analysed(words: Sequence[str], pos: Sequence[str], parse: Sequence[str], first: int) -> dict:
-    root = tree(words, pos, parse, first)
-    spans = sorted({(" ".join(w for w, _ in r.words), r.at) for r in minimum(root)}, key=lambda s: (s[1], s[0])) or [(w, i) for i, w in enumerate(words)]
-    return {"root": root.name if root else None, "spans": [{"words": w, "at": at} for w, at in spans]}
+    root, spans, moved = found(tuple(words), tuple(pos), tuple(parse))
+    return {"root": root, "spans": [{"words": w, "at": at + first if moved else at} for w, at in spans]}
+
+
+@F.arrow_udf(RESULT)
+def analyse(rows: pa.Array, first: pa.Array) -> pa.Array:
+    """The analysis of each list of tokens, the first of which has the given number."""
+    flat, ends = rows.flatten(), np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    columns = [flat.field(n).to_pylist() for n in ("word", "pos", "parse")]
+    roots, words, places, sizes = [], [], [], [0]
+    for a, b, f in zip(ends[:-1].tolist(), ends[1:].tolist(), first.to_pylist()):
+        root, spans, moved = found(*(tuple(c[a:b]) for c in columns)) if b > a else (None, (), False)
+        roots.append(root)
+        words += [w for w, _ in spans]
+        places += [at + f if moved else at for _, at in spans]
+        sizes.append(len(words))
+    none = pa.array([a == b for a, b in zip(sizes[:-1], sizes[1:])], pa.bool_())
+    parts = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int32())], names=["words", "at"])
+    return pa.StructArray.from_arrays([pa.array(roots, pa.string()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), parts, mask=none)], names=["root", "spans"])
+
+
+def token_runs(tokens: DataFrame, doc: str, token: str) -> DataFrame:
+    """doc, chunk, words (token, word, pos, parse): the tokens of `CHUNK` neighbouring numbers as one row, so that mentions
+    meet chunks and are no rows of tokens."""
+    word = F.struct(F.col(token).cast("long").alias("token"), "word", "pos", "parse")
+    return tokens.groupBy(doc, F.floor(F.col(token) / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(word)).alias("words"))
 
 
 def with_minimum_spans(mentions: DataFrame, tokens: DataFrame, doc: str, token: str, key: str) -> DataFrame:
     """mentions (doc, start, end inclusive, key) with ``root``, the tag of the phrase they are, and
     ``spans``, the runs of words (with the token where their phrase closes) that make up their minimum
-    span: all words, numbered from 0, if none counts.
-
-    tokens: doc, token, word, pos, parse. A mention's tokens meet by equi-joins and are gathered by
-    mention; no document is gathered."""
-
-    @F.pandas_udf(RESULT)
-    def analyse(rows: pd.Series, first: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([analysed(*([r[n] for r in t] for n in ("word", "pos", "parse")), int(f)) for t, f in zip(rows, first)], columns=["root", "spans"])
-
-    at = mentions.select(doc, key, F.col("start").alias("__first"), F.explode(F.sequence("start", "end")).alias(token))
-    rows = at.join(tokens.select(doc, token, "word", "pos", "parse"), [doc, token])
-    each = rows.groupBy(doc, key, "__first").agg(F.array_sort(F.collect_list(F.struct(token, "word", "pos", "parse"))).alias("__t"))
-    found = each.select(doc, key, analyse("__t", "__first").alias("__r")).select(doc, key, "__r.root", "__r.spans")
-    return mentions.join(found, [doc, key], "left")
+    span: all words, numbered from 0, if none counts. Null where there are no tokens.
+
+    tokens: doc, token, word, pos, parse, or their runs (`token_runs`). A mention meets the runs that it lies in by an
+    equi-join; only mentions that lie in several are gathered. No document is."""
+    runs = tokens if "words" in tokens.columns else token_runs(tokens, doc, token)
+    chunk = lambda c: F.floor(F.col(c) / CHUNK)
+    inside = F.filter("words", lambda w: (w["token"] >= F.col("start")) & (w["token"] <= F.col("end"))).alias("__t")
+    rows = mentions.withColumns({"__first": chunk("start"), "__last": chunk("end")})
+    meet = lambda df: df.join(runs.withColumnRenamed("chunk", "__chunk"), [doc, "__chunk"], "left")
+    near = meet(rows.where(~F.coalesce(F.col("__first") < F.col("__last"), F.lit(False))).withColumn("__chunk", F.col("__first"))).select(*mentions.columns, inside)
+    wide = rows.where("__first < __last")
+    parts = meet(wide.select(doc, key, "start", "end", F.explode(F.sequence("__first", "__last")).alias("__chunk"))).select(doc, key, "start", "end", inside)
+    each = parts.groupBy(doc, key, "start", "end").agg(F.array_sort(F.flatten(F.collect_list("__t"))).alias("__t")).drop("start", "end")
+    far = wide.select(*mentions.columns).join(each, [doc, key], "left").select(*mentions.columns, "__t")
+    rows = near.unionByName(far).withColumn("__r", analyse("__t", F.col("start").cast("long")))
+    return rows.select(*mentions.columns, "__r.root", "__r.spans")
 
 
 def without_verb_phrases(mentions: DataFrame, keys: Sequence[str], partial: bool = True) -> DataFrame:

@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators import coref, metrics, parses
-from linkloom.operators.materialize import materialized
+from linkloom.operators.materialize import materialized, saved
 
 MENTION = ("doc", "start", "end", "cluster")
 
 
 def chains(tokens: DataFrame, keep_singletons: bool = True) -> DataFrame:
     """doc, start, end, cluster, sentence of the chains of tokens (doc, sentence, token, coref)."""
-    found = coref.read_mentions(tokens, "doc", "token", "coref").distinct()
+    found = coref.read_mentions(tokens, "doc", "token", "coref", "sentence").select(*MENTION, "sentence")
+    # Mentions of a span lie together, as those that are identified by it have to.
+    found = found.repartition("doc", "start", "end").distinct()
     if not keep_singletons:
         found = found.join(found.groupBy("doc", "cluster").agg(F.count("*").alias("n")).where("n > 1").select("doc", "cluster"), ["doc", "cluster"], "left_semi")
-    return found.join(tokens.select("doc", F.col("token").cast("long").alias("start"), "sentence"), ["doc", "start"]).select(*MENTION, "sentence")
+    return found
 
 
 def without_nested(mentions: DataFrame, keep_singletons: bool = True) -> DataFrame:
@@ -39,36 +41,42 @@ def without_nested(mentions: DataFrame, keep_singletons: bool = True) -> DataFra
 def identified(mentions: DataFrame) -> DataFrame:
     """doc, mention, cluster: each span, or minimum span (column spans), once for each document; of several
     chains that claim it the least has it."""
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["words"].alias("words")))) if "spans" in mentions.columns else None
-    name = F.to_json(F.struct("sentence", F.array_distinct(by_place).alias("spans"))) if by_place is not None else F.concat_ws(":", "start", "end")
+    if "spans" not in mentions.columns:
+        return mentions.groupBy("doc", "start", "end").agg(F.min("cluster").alias("cluster")).select("doc", F.concat_ws(":", "start", "end").alias("mention"), "cluster")
+    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["words"].alias("words"))))
+    name = F.to_json(F.struct("sentence", F.array_distinct(by_place).alias("spans")))
     return mentions.select("doc", name.alias("mention"), "cluster").groupBy("doc", "mention").agg(F.min("cluster").alias("cluster"))
 
 
-def parsed(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
-    """mentions with root and spans by the parses of tokens (doc, token, word, pos, parse)."""
+def parsed(mentions: DataFrame, words: DataFrame) -> DataFrame:
+    """mentions with root and spans by the parses of the words."""
     keyed = mentions.withColumn("__key", F.concat_ws(":", "start", "end", "cluster"))
-    return parses.with_minimum_spans(keyed, tokens, "doc", "token", "__key").drop("__key")
+    return parses.with_minimum_spans(keyed, words, "doc", "token", "__key").drop("__key")
 
 
-def clusterings(key: DataFrame, system: DataFrame, min_spans: bool = False, keep_singletons: bool = True, noun_phrases: bool = False, nested: bool = True) -> tuple[DataFrame, DataFrame]:
+def clusterings(key: DataFrame, system: DataFrame, min_spans: bool = False, keep_singletons: bool = True, noun_phrases: bool = False, nested: bool = True, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """doc, mention, cluster of the key's and the system's tokens, over the key's documents.
 
-    noun_phrases drops verb phrases by the parses, ``nested=False`` mentions inside others of their chain."""
+    noun_phrases drops verb phrases by the parses, ``nested=False`` mentions inside others of their chain. words: the
+    key's tokens as `parses.token_runs` has them, if they are there already."""
+    if (min_spans or noun_phrases) and words is None:
+        words = parses.token_runs(key, "doc", "token")
     known = key.select("doc").distinct()
     out = []
     for tokens in (key, system.join(known, "doc", "left_semi")):
-        found = materialized(chains(tokens, keep_singletons))
+        marked = saved(tokens.where(~F.col("coref").isin("-", "_", "")).select("doc", "sentence", "token", "coref"))
+        found = chains(marked, keep_singletons)
         if min_spans or noun_phrases:
-            found = parsed(found, key)
+            found = parsed(found, words)
         if noun_phrases:
             found = parses.without_verb_phrases(found, ["doc", "cluster"])
         if not nested:
             found = without_nested(materialized(found), keep_singletons)
-        out.append(materialized(identified(found if min_spans else found.select(*MENTION, "sentence"))))
+        out.append(saved(identified(found if min_spans else found.select(*MENTION, "sentence"))))
     return out[0], out[1]
 
 
-def conll_scores(key: DataFrame, system: DataFrame, names: Sequence[str] = metrics.METRICS, **options: bool) -> DataFrame:
+def conll_scores(key: DataFrame, system: DataFrame, names: Sequence[str] = metrics.METRICS, **options: bool | DataFrame) -> DataFrame:
     """metric, precision, recall, f1 of a system's CoNLL tokens against the key's: doc, sentence, token, coref,
     and word, pos, parse of the key where parses are asked for. Options as for `clusterings`."""
     return metrics.report(*clusterings(key, system, **options), names)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import coref, metrics, sampling, scoring
+from linkloom.operators import coref, metrics, parses, sampling, scoring, sentences
 from linkloom.sources import tables
 
 TOKENS = "doc string, sentence long, token long, word string, pos string, parse string, coref string"
@@ -120,3 +120,28 @@ def test_report_is_one_layout(spark):
     assert metrics.conll(key, system).first().conll == pytest.approx(100 * got["conll"].f1)
     for name in ("mentions", "muc", "b3", "lea"):
         assert metrics.summed(metrics.by_document(key, system, name)).first().f1 == got[name].f1
+
+
+def test_marks_meet_chunks_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "One two. " * 40), (2, None), (3, " ")], "doc long, text string")
+    chunks = sentences.token_chunks(docs, "doc", "text")
+    assert [(r.chunk, len(r.tokens), r.total) for r in chunks.orderBy("chunk").collect()] == [(0, 32, 120), (1, 32, 120), (2, 32, 120), (3, 24, 120)]
+    mentions = spark.createDataFrame([(1, 30, 33, "a"), (1, 119, 119, "b"), (1, 33, 33, "a")], "doc long, start long, end long, cluster string")
+    rows = coref.conll_chunks(chunks, mentions, "doc").orderBy("token").collect()
+    plain = [(r.doc, r.sentence, r.token, r.word) for r in rows]
+    assert plain == [(1, i // 3, i, ("One", "two", ".")[i % 3]) for i in range(120)]
+    assert {r.token: r.coref for r in rows if r.coref != "-"} == {30: "(a", 33: "(a)|a)", 119: "(b)"}
+
+
+def test_brackets_across_partitions_and_spans_across_chunks(spark):
+    # One chain opened over all partitions, others within them.
+    marks = [("d", 0, "(a")] + [("d", i, "(a)|(b" if i % 2 else "b)") for i in range(1, 4001)] + [("d", 4001, "a)")]
+    got = coref.read_mentions(spark.createDataFrame(marks, "doc string, token long, coref string").repartition(7), "doc", "token", "coref").collect()
+    want = {(0, 4001, "a")} | {(i, i, "a") for i in range(1, 4001, 2)} | {(i, i + 1, "b") for i in range(1, 4001, 2)}
+    assert len(got) == len(want) and {(r.start, r.end, r.cluster) for r in got} == want
+    words = spark.createDataFrame([("d", i, f"w{i}", "NN", "(NP*" if i == 30 else "*)" if i == 33 else "*") for i in range(40)], "doc string, token long, word string, pos string, parse string")
+    spans = spark.createDataFrame([("d", 30, 33, 0), ("d", 90, 91, 1)], "doc string, start long, end long, k long")
+    found = {r.k: r.spans for r in parses.with_minimum_spans(spans, words, "doc", "token", "k").collect()}
+    assert [(s.words, s.at) for s in found[0]] == [("w30 w31 w32 w33", 33)] and found[1] is None
+    plan = parses.with_minimum_spans(spans, words, "doc", "token", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence") == 1 and "sequence(start" not in plan
