@@ -409,3 +409,17 @@ def test_configs_and_readers(spark, tmp_path):
     (tmp_path / "x.conll").write_text("#begin document (n); part 000\nd\t0\tA\t(1)\nd\t1\tB\t-\n\nd\t2\tC\t(1)\n#end document\n")
     got = tables.read_conll(spark, str(tmp_path / "x.conll")).orderBy("token_id").collect()
     assert [(r.sentence, r.token_id, r["columns"][3]) for r in got] == [(0, 0, "(1)"), (0, 1, "-"), (1, 2, "(1)")]
+
+
+def test_tfidf_joins_its_model_once(spark):
+    docs = spark.createDataFrame([(1, "red mill water wheel"), (2, "red mill water stone"), (3, "red mill water wheel"), (4, None)], "k long, t string")
+    weights = dedup.tfidf(docs, "k", "t")
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    norms = {r.k: r.n for r in weights.groupBy("k").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()}
+    assert set(norms) == {1, 2, 3} and all(abs(n - 1) < 1e-9 for n in norms.values())
+    assert {tuple(r) for r in dedup.cosine_classes(weights, "k").collect()} == {(1, 1), (2, 2), (3, 1)}
+    # A model of other documents: what is rare there may be shared here.
+    model = spark.createDataFrame([("red mill", 1, 1.0), ("mill water", 1, 1.0)], "gram string, df long, idf double")
+    other = dedup.transformed(dedup.word_grams(docs, "k", "t", 2), model, "k")
+    assert {(r.a, r.b) for r in dedup.cosine_pairs(other, "k", 0.9).collect()} == {(1, 2), (1, 3), (2, 3)}
