@@ -423,3 +423,12 @@ def test_tfidf_joins_its_model_once(spark):
     model = spark.createDataFrame([("red mill", 1, 1.0), ("mill water", 1, 1.0)], "gram string, df long, idf double")
     other = dedup.transformed(dedup.word_grams(docs, "k", "t", 2), model, "k")
     assert {(r.a, r.b) for r in dedup.cosine_pairs(other, "k", 0.9).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_places_take_one_shuffle(spark):
+    rows = sampling.placed(spark.range(0, 5000, 1, 8).select((5000 - F.col("id")).alias("k"), (F.col("id") % 7).alias("g")), "g", "k")
+    assert "Exchange hashpartitioning(__p" not in rows.select("k", "place")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "Window" not in rows.select("k", "place")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    got = [(r.g, r.k) for r in rows.orderBy("place").collect()]
+    assert got == sorted(got) and [r.place for r in rows.orderBy("place").collect()] == list(range(5000))
+    assert sampling.placed(spark.range(0).select("id"), "id").count() == 0
