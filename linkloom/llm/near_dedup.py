@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.arrow_text import joined, mix, range_hashes, slices, small_batches
 from linkloom.operators.components import connected_components
-from linkloom.operators.materialize import Scratch, saved
+from linkloom.operators.materialize import Scratch, few, saved
 
 K, SKETCHES, MINIMA = 5, 32, 3
 THRESHOLD = 0.8
@@ -272,7 +272,7 @@ def fits(threshold: float, *words: str) -> Column:
 
 
 def verified(pairs: DataFrame, texts: Texts, threshold: float) -> DataFrame:
-    """The pairs (node, head) of which the texts are similar. pairs must be cheap to read twice."""
+    """The pairs (node, head) of which the texts are similar. pairs must be distinct and cheap to read twice."""
     found = texts.of(pairs.select("node").union(pairs.select("head")).distinct())
     left = pairs.join(found, "node").select("node", "head", F.col("text").alias("left"))
     both = left.join(found.select(F.col("node").alias("head"), F.col("text").alias("right")), "head")
@@ -289,7 +289,36 @@ def verified(pairs: DataFrame, texts: Texts, threshold: float) -> DataFrame:
                     ok.append(similar(words_of(x), words, threshold))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("head")], names=["node", "head"]).filter(pa.array(ok, pa.bool_()))
 
-    return small_batches(both.select("node", "head", "left", "right")).mapInArrow(run, "node long, head long").distinct()
+    return small_batches(both.select("node", "head", "left", "right")).mapInArrow(run, "node long, head long")
+
+
+class Bags:
+    """The words of texts as numbers, one for each occurrence, so that what one text has in common with many others is
+    counted at once. No text is without words."""
+
+    def __init__(self, texts: list[list[str]]):
+        self.size = np.array([len(t) for t in texts])
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        known: dict[str, int] = {}
+        word = np.array([known.setdefault(w, len(known)) for t in texts for w in t], np.int64)
+        row = np.repeat(np.arange(len(texts)), self.size)
+        by = np.lexsort((word, row))
+        new = np.ones(len(by), bool)
+        new[1:] = (row[by][1:] != row[by][:-1]) | (word[by][1:] != word[by][:-1])
+        nth = np.empty(len(by), np.int64)
+        nth[by] = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+        names, self.ids = np.unique(word * (nth.max(initial=0) + 1) + nth, return_inverse=True)
+        self.there = np.zeros(len(names), bool)
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many words text x shares with each of the others, repeated ones counted as often as both have them."""
+        own = self.ids[self.start[x] : self.start[x + 1]]
+        self.there[own] = True
+        size = self.size[others]
+        first = np.cumsum(size) - size
+        hits = self.there[self.ids[np.repeat(self.start[others] - first, size) + np.arange(size.sum())]]
+        self.there[own] = False
+        return np.add.reduceat(hits, first, dtype=np.int64)
 
 
 def links_in(cell: pa.Table, threshold: float) -> pa.Table:
@@ -298,7 +327,8 @@ def links_in(cell: pa.Table, threshold: float) -> pa.Table:
     node, group = cell.column("node").to_numpy(), cell.column("group").to_numpy()
     signs = cell.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     words = [words_of(t) for t in cell.column("text").to_pylist()]
-    size = np.array([len(w) for w, _ in words])
+    bags = Bags([w for w, _ in words])
+    size = bags.size
     across = len(node) > 0 and bool(cell.column("i")[0].as_py() != cell.column("j")[0].as_py())
     root = {p: p for p in part.tolist()}
 
@@ -318,6 +348,10 @@ def links_in(cell: pa.Table, threshold: float) -> pa.Table:
             agree = signs[rest] == signs[x]
             # A pair of a bucket is tested under the first sketch in which it agrees.
             rest = rest[agree.any(axis=1) & ((place[x] < 0) | (agree.argmax(axis=1) == place[x]))]
+            if len(rest):
+                # Most pairs share too few words to be similar.
+                longest = np.maximum(size[rest], size[x])
+                rest = rest[longest - bags.common(x, rest) <= ((1 - threshold) * longest + 1e-9).astype(np.int64)]
             for y in rest.tolist():
                 p, q = find(int(part[x])), find(int(part[y]))
                 if p != q and similar(words[x], words[y], threshold):
@@ -328,11 +362,12 @@ def links_in(cell: pa.Table, threshold: float) -> pa.Table:
 
 def settled(left: DataFrame, texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
     """node, head: links that join all parts that any similar pair of a bucket in left would join."""
-    sizes = scratch.keep(left.groupBy("bucket").agg(F.sum("bytes").alias("held")))
+    n = left.count()
+    sizes = scratch.keep(few(left.groupBy("bucket").agg(F.sum("bytes").alias("held")), n))
     total = sizes.where(F.col("held") <= CELL_BYTES).agg(F.sum("held")).first()[0] or 0
     whole = left.join(sizes.where(F.col("held") <= CELL_BYTES), "bucket")
     cells = whole.select(F.pmod(F.xxhash64("bucket"), F.lit(1 + total // CELL_BYTES)).alias("cell"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("block"), F.col("bucket").alias("group"), "place", "node", "part")
-    large = scratch.keep(left.join(sizes.where(F.col("held") > CELL_BYTES).select("bucket"), "bucket"))
+    large = scratch.keep(few(left.join(sizes.where(F.col("held") > CELL_BYTES).select("bucket"), "bucket"), n))
     if not large.isEmpty():
         # Large buckets with common texts are one group.
         same = connected_components(large.select(F.xxhash64("bucket", F.lit("bucket")).alias("b"), "node"), "b", "node", scratch)
@@ -352,22 +387,23 @@ def components(texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
     rows = texts.nodes.where(F.col("sketch").isNotNull()).select("node", "bytes", "words", F.posexplode("sketch").alias("place", "bucket"))
     heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "words")).alias("head")).where("n > 1").drop("n")
     # Only buckets of several texts matter.
-    shared = scratch.keep(rows.join(heads, "bucket"))
+    shared = scratch.keep(few(rows.join(heads, "bucket"), SKETCHES * texts.nodes.count()))
+    n_shared = shared.count()
     pairs = shared.where((F.col("node") != F.col("head.node")) & fits(threshold, "words", "head.words")).select("node", F.col("head.node").alias("head")).distinct()
     links, left, turn = None, shared, 0
     while True:
-        pairs = scratch.keep(pairs)
+        pairs = scratch.keep(few(pairs, n_shared))
         new = scratch.keep(verified(pairs, texts, threshold))
         tested, n = pairs.count(), new.count()
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links, "node", "head", scratch)
         rows = left.select("bucket", "place", "node", "bytes", "words").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         sums = rows.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        sums = scratch.keep(sums.where("parts > 1"))
+        sums = scratch.keep(few(sums.where("parts > 1"), n_shared))
         n_left, n_pairs = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("within")), F.lit(0)) / 2).first()
         if n_left == 0:
             return parts
-        left = scratch.keep(rows.join(sums.select("bucket"), "bucket"))
+        left = scratch.keep(few(rows.join(sums.select("bucket"), "bucket"), n_left))
         if n_pairs <= MANY * n_left or n * FRUITFUL < tested:
             break
         turn += 1
@@ -390,11 +426,12 @@ def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     parts = components(Texts(docs, nodes, key, text), threshold, scratch)
     small = nodes.select("node", "id", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = small.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"), F.sum("copies").alias("class_size"))
-    classes = scratch.keep(classes.select("component", F.col("least.id").alias("least_id"), F.col("least.node").alias("least_node"), "class_size"))
+    n = nodes.count()
+    classes = scratch.keep(few(classes.select("component", F.col("least.id").alias("least_id"), F.col("least.node").alias("least_node"), "class_size"), n))
     # Where ids repeat, classes may share their smallest one: the first by hash has it as its name.
     named = classes.where("least_id IS NOT NULL").groupBy("least_id").agg(F.min("component").alias("component")).select("component", F.col("least_id").alias("own_name"))
     named = classes.join(named, "component", "left").withColumn("class_id", F.coalesce("own_name", "component")).drop("own_name")
-    out = saved(small.select("node", "component").join(named, "component"))
+    out = saved(few(small.select("node", "component").join(named, "component"), n))
     scratch.clear()
     return out
 

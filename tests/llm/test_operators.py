@@ -440,6 +440,16 @@ def test_distance_across_blocks(monkeypatch):
         assert near_dedup.edit_distance(a, b, limit) == min(distance_by_hand(a, b), limit + 1)
 
 
+def test_words_in_common_are_counted_at_once():
+    # Repeated words count as often as both texts have them; texts are told apart by their own words alone.
+    rng = random.Random(29)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))] for _ in range(40)] + [["z"]]
+    bags = near_dedup.Bags(texts)
+    for x in range(len(texts)):
+        others = near_dedup.np.array([y for y in range(len(texts)) if (x + y) % 3])
+        assert bags.common(x, others).tolist() == [(Counter(texts[x]) & Counter(texts[y])).total() for y in others]
+
+
 def test_near_duplicates_against_all_pairs(spark):
     # All pairs by edit distance and their closure: what is linked is linked rightly, and at least nine
     # tenths of the similar pairs end in one class, although sketches may miss some (of pairs with an

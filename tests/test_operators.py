@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import batches, clustering, coref, dedup, links, metrics, pages, partition, sampling, sentences, subgraphs
 from linkloom.operators.components import connected_components
+from linkloom.operators.materialize import TASK_ROWS, Scratch, few
 from linkloom.plans import dedup_queries
 from linkloom.plans.stages import Stage, run_stages
 from linkloom.sources import tables
@@ -39,6 +40,23 @@ def test_components(spark, edges):
     assert got == components_by_hand([(a, b) for a, b in edges if a != b])
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    # A star is written once as links and once as components; before, two rounds were.
+    tables_written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: tables_written.append(df) or keep(self, df))
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(50, 51)], "src long, dst long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {0: 0, 50: 50, 51: 50} | {i: 0 for i in range(1, 30)}
+    assert len(tables_written) == 1
+
+
+def test_small_tables_are_few_files(spark):
+    parts = spark.range(0, 1000, 1, 60)
+    assert few(parts, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert few(parts, 50 * TASK_ROWS).rdd.getNumPartitions() == 51
+    assert sorted(r.id for r in few(parts, 1000).collect()) == list(range(1000))
+
+
 def test_substring_filter_without_blacklist_drops_all(spark):
     df = spark.createDataFrame([("a/x",), ("b",)], "url string")
     assert pages.substring_filter(df, F.col("url")).count() == 0
