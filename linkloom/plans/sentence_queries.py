@@ -107,7 +107,8 @@ FROM asked a JOIN tokens b USING (doc_id, sentence_idx, chars_start) JOIN tokens
 """)
 def span_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = document_sentences(spark, sf_dir).select("doc_id", "sentence_idx", F.lit(0).cast("long").alias("chars_start"), (F.length("sentence") - F.col("sentence_idx") % 2).alias("chars_end"))
-    return sentences.token_spans(asked, document_tokens(spark, sf_dir), ["doc_id", "sentence_idx"])
+    found = sentences.token_spans(asked, document_sentences(spark, sf_dir), ["doc_id", "sentence_idx"])
+    return found.select("doc_id", "sentence_idx", "chars_start", "chars_end", "token_idx_from", "token_idx_to")
 
 
 @query(f"""

@@ -57,6 +57,20 @@ def test_small_tables_are_few_files(spark):
     assert sorted(r.id for r in few(parts, 1000).collect()) == list(range(1000))
 
 
+def test_token_spans_meet_sentences(spark):
+    # Against the join of tokens by both edges; keys that repeat give each beginning with each end, null keys nothing.
+    texts = [(1, 0, "One, two  three."), (1, 1, "é😀x y"), (2, 0, "ab cd ef"), (2, 0, "ab  d ef"), (2, 0, "ab cd ef"), (3, 0, None), (None, 0, "One two"), (4, 0, "")]
+    asked = [(k, i, s, e) for k, i in {(k, i) for k, i, _ in texts} for s in (None, 0, 1, 3, 5, 6) for e in (None, 2, 3, 5, 8, 16)] * 2
+    keys = "k long, i long"
+    sents = spark.createDataFrame(texts, f"{keys}, sentence string")
+    tokens = [(k, i, n, s, e) for k, i, t in texts if t and k is not None for n, s, e in sentences.token_offsets(t)]
+    want = Counter((*a, b[2], e[2] + 1) for a in asked for b in tokens for e in tokens if a[:3] == (b[0], b[1], b[3]) and (a[0], a[1], a[3]) == (e[0], e[1], e[4]) and e[2] >= b[2])
+    rows = sentences.token_spans(spark.createDataFrame(asked, f"{keys}, s long, e long"), sents, ["k", "i"], start="s", end="e")
+    assert Counter(map(tuple, rows.select("k", "i", "s", "e", "token_idx_from", "token_idx_to").collect())) == want and len(want) > 10
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_substring_filter_without_blacklist_drops_all(spark):
     df = spark.createDataFrame([("a/x",), ("b",)], "url string")
     assert pages.substring_filter(df, F.col("url")).count() == 0
