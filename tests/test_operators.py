@@ -148,6 +148,26 @@ def test_average_linkage():
         assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)} == linkage_by_hand(d, 0.45)
 
 
+def test_what_rounds_leave_is_solved_in_a_task(spark, monkeypatch):
+    # Points on a circle with growing gaps: a round merges one pair, so rounds alone took one for each point.
+    angle = np.cumsum(np.arange(1, 13)) * 0.01
+    rows = spark.createDataFrame([("a", i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(angle)], "g string, k long, v array<double>")
+    monkeypatch.setattr(clustering, "IN_TASK", 10)
+    rounds, one = [], clustering.vector_round
+    monkeypatch.setattr(clustering, "vector_round", lambda *a: rounds.append(1) or one(*a))
+    forest = clustering.vectors_forest(rows, "g", "k", "v", 1.0)
+    d = np.maximum(0, 1 - np.cos(angle[:, None] - angle))
+    assert sorted(round(r.height, 9) for r in forest.collect()) == sorted(round(h, 9) for _, _, h in clustering.merges_of(d, 1.0))
+    assert 0 < len(rounds) <= 2
+
+
+def test_dense_vectors_are_a_matrix():
+    table = lambda idx: pa.table({"node": [1, 2], "n": [1, 2], "idx": pa.array(idx, pa.list_(pa.int64())), "val": pa.array([[0.6, 0.8], [2.0, 0.0]], pa.list_(pa.float64()))})
+    dense, sparse = clustering.Vectors(table([[0, 1], [0, 1]])), clustering.Vectors(table([[0, 1], [0, 2]]))
+    assert dense.matrix is not None and sparse.matrix is None
+    assert np.allclose(dense.distances(dense), [[0, 0.4], [0.4, 0]]) and np.allclose(sparse.distances(dense), [[0, 0.4], [0.4, 0]])
+
+
 def test_equal_members_are_contracted_before_clustering(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(8, 3)).round(2)[rng.integers(0, 8, 30)], np.zeros((3, 3))])
