@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrow_text import joined, mix, range_hashes, slices, small_batches
-from linkloom.operators.components import connected_components
+from linkloom.operators.components import chained, connected_components, extended
 from linkloom.operators.materialize import Scratch, few, saved
 
 K, SKETCHES, MINIMA = 5, 32, 3
@@ -369,9 +369,12 @@ def settled(left: DataFrame, texts: Texts, threshold: float, scratch: Scratch) -
     cells = whole.select(F.pmod(F.xxhash64("bucket"), F.lit(1 + total // CELL_BYTES)).alias("cell"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("block"), F.col("bucket").alias("group"), "place", "node", "part")
     large = scratch.keep(few(left.join(sizes.where(F.col("held") > CELL_BYTES).select("bucket"), "bucket"), n))
     if not large.isEmpty():
-        # Large buckets with common texts are one group.
-        same = connected_components(large.select(F.xxhash64("bucket", F.lit("bucket")).alias("b"), "node"), "b", "node", scratch)
-        members = large.select("node", "part", "bytes").distinct().join(same, "node").withColumnRenamed("component", "group")
+        # Large buckets with common texts are one group. A text has at most `SKETCHES` of them, and they are far fewer than texts.
+        same = connected_components(few(chained(large, "node", "bucket"), n), "a", "b", scratch).select(F.col("node").alias("bucket"), F.col("component").alias("named"))
+        if same.count() <= BROADCAST_ROWS:
+            same = F.broadcast(same)
+        members = large.groupBy("node", "part", "bytes").agg(F.min("bucket").alias("bucket")).join(same, "bucket", "left")
+        members = members.select("node", "part", "bytes", F.coalesce("named", "bucket").alias("group"))
         blocks = members.groupBy("group").agg((1 + F.floor(F.sum("bytes") / CELL_BYTES)).cast("int").alias("n"))
         members = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n")).cast("int"))
         other = members.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
@@ -382,6 +385,13 @@ def settled(left: DataFrame, texts: Texts, threshold: float, scratch: Scratch) -
     return full.groupBy("cell", "i", "j").applyInArrow(lambda cell: links_in(cell, threshold), "node long, head long")
 
 
+def first_parts(links: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """node, component of links of texts with at most `SKETCHES` heads each: a text is linked to its first head, and its
+    heads, which many texts have in common, to each other once."""
+    ends = links.groupBy("node").agg(F.min("head").alias("head")).unionByName(chained(links, "node", "head").toDF("node", "head"))
+    return connected_components(few(ends, n), "node", "head", scratch)
+
+
 def components(texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
     """node, component of every text that is linked to another."""
     rows = texts.nodes.where(F.col("sketch").isNotNull()).select("node", "bytes", "words", F.posexplode("sketch").alias("place", "bucket"))
@@ -390,13 +400,12 @@ def components(texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
     shared = scratch.keep(few(rows.join(heads, "bucket"), SKETCHES * texts.nodes.count()))
     n_shared = shared.count()
     pairs = shared.where((F.col("node") != F.col("head.node")) & fits(threshold, "words", "head.words")).select("node", F.col("head.node").alias("head")).distinct()
-    links, left, turn = None, shared, 0
+    parts, left, turn = None, shared, 0
     while True:
         pairs = scratch.keep(few(pairs, n_shared))
         new = scratch.keep(verified(pairs, texts, threshold))
         tested, n = pairs.count(), new.count()
-        links = new if links is None else links.unionByName(new)
-        parts = connected_components(links, "node", "head", scratch)
+        parts = first_parts(new, n_shared, scratch) if parts is None else extended(parts, new, "node", "head", scratch)
         rows = left.select("bucket", "place", "node", "bytes", "words").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         sums = rows.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
         sums = scratch.keep(few(sums.where("parts > 1"), n_shared))
@@ -414,7 +423,7 @@ def components(texts: Texts, threshold: float, scratch: Scratch) -> DataFrame:
         met = spoken.join(heads, "bucket").where((F.col("s.part") != F.col("h.part")) & fits(threshold, "s.words", "h.words"))
         pairs = met.select(F.col("s.name").bitwiseXOR(mask).alias("node"), F.col("h.name").bitwiseXOR(mask).alias("head")).distinct()
     last = scratch.keep(settled(left, texts, threshold, scratch))
-    return connected_components(links.unionByName(last), "node", "head", scratch)
+    return extended(parts, last, "node", "head", scratch)
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

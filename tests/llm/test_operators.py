@@ -17,6 +17,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from linkloom.llm import decontamination, language_id, license_scan, mixing, near_dedup, quality_cnn, quality_rules, token_counts, toxicity, url_filter  # noqa: E402
+from linkloom.operators import components  # noqa: E402
+from linkloom.operators.components import connected_components  # noqa: E402
 from linkloom.operators.materialize import Scratch  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -536,6 +538,26 @@ def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch, size):
     assert classes(got) == classes(root) and 20 < len(classes(root)) < 110
 
 
+def test_near_duplicates_contract_about_a_link_a_text(spark, monkeypatch):
+    # Near copies meet many heads, and a passage puts them into large buckets: components got every such link, again in each step.
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", 2000)
+    rng = random.Random(29)
+    words = [f"w{k}" for k in range(400)]
+    base, passage = prose(150, rng, words).split(), prose(40, rng, words)
+    rows = []
+    for i in range(300):
+        copy = list(base) if i % 2 else prose(60, rng, words).split() + passage.split()
+        for _ in range(3 * (i % 2)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    counts = []
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "connected_components", lambda e, *rest: counts.append(e.count()) or connected_components(e, *rest))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: (1, 150) if i % 2 else (i, 1) for i in range(300)}
+    assert len(counts) > 1 and sum(counts) <= 2 * len(rows)
+
+
 def test_near_duplicates_of_repeated_rows_and_nulls(spark):
     docs = frame(spark, [(3, "Same text."), (3, "Same text."), (None, "Same text."), (4, None), (6, None), (7, "")])
     got = sorted(((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_duplicates(docs).collect()), key=str)

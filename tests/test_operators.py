@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import batches, clustering, coref, dedup, links, metrics, pages, partition, sampling, sentences, subgraphs
-from linkloom.operators.components import connected_components
+from linkloom.operators import components
+from linkloom.operators.components import chained, connected_components, extended
 from linkloom.operators.materialize import TASK_ROWS, Scratch, few
 from linkloom.plans import dedup_queries
 from linkloom.plans.stages import Stage, run_stages
@@ -50,6 +51,36 @@ def test_stars_need_no_round(spark, monkeypatch):
     assert len(tables_written) == 1
 
 
+def test_components_are_extended(spark, monkeypatch):
+    # Only links between different components are contracted again; components merge, grow and appear.
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(30)]
+    more = [(e[0], e[1]) for e in edges[:10]] + [(rng.randrange(90), rng.randrange(90)) for _ in range(25)] + [(200, 201), (7, 7)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    scratch, given, known = Scratch(spark), [], components_by_hand([e for e in edges if e[0] != e[1]])
+    parts = connected_components(table(edges), "a", "b", scratch)
+    monkeypatch.setattr(components, "connected_components", lambda e, *rest: given.extend(e.collect()) or connected_components(e, *rest))
+    grown = {r.node: r.component for r in extended(parts, table(more), "a", "b", scratch).collect()}
+    assert grown == components_by_hand([e for e in edges + more if e[0] != e[1]])
+    ends = [(known.get(a, a), known.get(b, b)) for a, b in more]
+    assert sorted((r.a, r.b) for r in given) == sorted({e for e in ends if e[0] != e[1]})
+    same = {r.node: r.component for r in extended(parts, table(edges), "a", "b", scratch).collect()}
+    scratch.clear()
+    assert same == known
+
+
+def test_components_are_extended_without_a_round_for_known_links(spark):
+    scratch = Scratch(spark)
+    parts = connected_components(spark.createDataFrame([(0, 1), (1, 2)], "a long, b long"), "a", "b", scratch)
+    assert extended(parts, spark.createDataFrame([(0, 2)], "a long, b long"), "a", "b", scratch) is parts
+    scratch.clear()
+
+
+def test_chained(spark):
+    pairs = spark.createDataFrame([(1, 5), (1, 3), (1, 9), (2, 3), (2, 5), (4, 9)], "key long, other long")
+    assert sorted((r.a, r.b) for r in chained(pairs, "key", "other").collect()) == [(3, 5), (3, 9)]
+
+
 def test_small_tables_are_few_files(spark):
     parts = spark.range(0, 1000, 1, 60)
     assert few(parts, 1000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
