@@ -515,3 +515,36 @@ def test_places_take_one_shuffle(spark):
     got = [(r.g, r.k) for r in rows.orderBy("place").collect()]
     assert got == sorted(got) and [r.place for r in rows.orderBy("place").collect()] == list(range(5000))
     assert sampling.placed(spark.range(0).select("id"), "id").count() == 0
+
+
+@pytest.mark.parametrize("piece, short, at_hand", [(1 << 20, 0, 1 << 30), (1 << 20, 512, 2048), (700, 30, 20), (700, 0, 0)])
+def test_minima_hash_a_shared_gram_once(monkeypatch, piece, short, at_hand):
+    # Against plain integers, over texts cut into pieces; before, a gram was hashed again for every text that holds it.
+    for name, n in (("PIECE", piece), ("SHORT", short), ("AT_HAND", at_hand)):
+        monkeypatch.setattr(dedup, name, n)
+    rng = random.Random(3)
+    texts = ["a", "abcd", "\U0010ffff" * 9, "x" * 2000, *["".join(rng.choice("abé😀 ") for _ in range(rng.choice([3, 40, 900]))) for _ in range(40)]]
+    taken, old = [], dedup.reduced
+    hashes = [dedup.shingle_hashes(t, 5) for t in texts]
+    monkeypatch.setattr(dedup, "reduced", lambda x: taken.append(x.size) or old(x))
+    got = dedup.minima(hashes, 16).tolist()
+    by_hand = []
+    for t in texts:
+        n, grams = min(5, len(t)), set()
+        for i in range(len(t) - n + 1):
+            h = ord(t[i])
+            for c in t[i + 1 : i + n]:
+                h = (h * dedup.BASE + ord(c)) % dedup.PRIME
+            grams.add(h)
+        by_hand.append([min((h * a + b) % dedup.PRIME for h in grams) for a, b in dedup.coefficients(16)])
+    assert got == by_hand
+    if at_hand == 1 << 30:
+        # Now and then a text's own grams are hashed, where the least ones looked up first do not hold its minimum.
+        distinct = len(set(np.concatenate(hashes).tolist()))
+        assert sum(taken) <= 1.2 * 16 * distinct < 0.5 * 16 * sum(len(set(h.tolist())) for h in hashes)
+
+
+def test_reduced_at_its_ends():
+    p = dedup.PRIME
+    x = [0, 1, p - 1, p, p + 1, 2 * p, p * (p - 1), p * (p - 1) + (1 << 21), (p - 1) ** 2 + p - 1, 1 << 61]
+    assert dedup.reduced(np.array(x, np.uint64)).tolist() == [v % p for v in x]
