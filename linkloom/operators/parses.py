@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,18 +24,28 @@ VERB_PHRASES = ("VP",)
 BRACKETS = ("-LRB-", "-RRB-")
 FUNCTION_WORDS = ("CC", "DT", "IN")
 PIECE = re.compile(r"\(([^()*]*)|[*)]")
+#: A word and part of speech for each kind of words: all letters or digits (1 more) or not, counting (2 more) or not.
+KINDS = ((".", "NN"), ("a", "DT"), ("%", "NN"), ("a", "NN"))
 RESULT = T.StructType().add("root", "string").add("spans", T.ArrayType(T.StructType().add("words", "string").add("at", "integer")))
 
 
 class Phrase:
     """A phrase with its parts, or a run of neighbouring words (``parts`` is None) that ends ``at`` a token."""
 
-    def __init__(self, tag: str, parts: list[Phrase] | None = None, words: Sequence[tuple[str, str]] = (), at: int = 0):
+    def __init__(self, tag: str, parts: list[Phrase] | None = None, words: Sequence[tuple[str, str, int]] = (), at: int = 0):
         self.tag, self.parts, self.words, self.at = tag[:2], parts, words, at
         self.name = tag
 
     def counts(self) -> bool:
-        return any((w == "%" or any(c.isalnum() for c in w)) and w not in BRACKETS and p not in FUNCTION_WORDS for w, p in self.words)
+        return any(word_counts(w) and p not in FUNCTION_WORDS for w, p, _ in self.words)
+
+
+def word_counts(word: str) -> bool:
+    return (word == "%" or any(c.isalnum() for c in word)) and word not in BRACKETS
+
+
+def plain(word: str) -> bool:
+    return word.isalpha() or word.isdigit()
 
 
 def tree(words: Sequence[str], pos: Sequence[str], parse: Sequence[str], first: int) -> Phrase | None:
@@ -42,7 +53,7 @@ def tree(words: Sequence[str], pos: Sequence[str], parse: Sequence[str], first:
     closed there. A run before a phrase is left out unless a word of it is all letters or all digits."""
     roots: list[Phrase] = []
     opened: list[Phrase] = []
-    run: list[tuple[str, str]] = []
+    run: list[tuple[str, str, int]] = []
 
     def add(part: Phrase) -> None:
         (opened[-1].parts if opened else roots).append(part)
@@ -55,13 +66,13 @@ def tree(words: Sequence[str], pos: Sequence[str], parse: Sequence[str], first:
     for i, bits in enumerate(parse):
         for m in PIECE.finditer(bits):
             if m[0] == "*":
-                run.append((words[i], pos[i]))
+                run.append((words[i], pos[i], i))
             elif m[0] == ")":
                 close_run(first + i)
                 if opened:
                     opened.pop()
             else:
-                if not any(w.isalpha() or w.isdigit() for w, _ in run):
+                if not any(plain(w) for w, *_ in run):
                     run.clear()
                 close_run(first + i)
                 phrase = Phrase("".join(filter(str.isalpha, m[1])), [])
@@ -107,31 +118,51 @@ def minimum(root: Phrase | None) -> list[Phrase]:
     return [r for p in phrases for r in shallowest(p, tags)] if phrases else list(shallowest(root, None))
 
 
-@lru_cache(maxsize=10_000)
-def found(words: tuple[str, ...], pos: tuple[str, ...], parse: tuple[str, ...]) -> tuple[str | None, tuple, bool]:
-    """Tag, minimum spans and whether their places count from the mention's first token. Mentions of the same words are
-    analysed once."""
-    root = tree(words, pos, parse, 0)
-    spans = tuple(sorted({(" ".join(w for w, _ in r.words), r.at) for r in minimum(root)}, key=lambda s: (s[1], s[0])))
-    return (root.name if root else None, spans or tuple((w, i) for i, w in enumerate(words)), bool(spans))
+@lru_cache(maxsize=100_000)
+def shape(kinds: tuple[int, ...], parse: tuple[str, ...]) -> tuple[str | None, tuple[tuple[tuple[int, ...], int], ...], bool, bool]:
+    """Tag and minimum spans (the places of their words, and where their phrases close) of all mentions of one parse
+    whose words are of the same `KINDS`, in order of the latter; whether there are any, or all words stand for them; and
+    whether several close at one place."""
+    root = tree([KINDS[k][0] for k in kinds], [KINDS[k][1] for k in kinds], parse, 0)
+    runs = tuple(sorted(((tuple(i for *_, i in r.words), r.at) for r in minimum(root)), key=lambda r: r[1]))
+    return (root.name if root else None, runs or tuple(((i,), i) for i in range(len(kinds))), bool(runs), len({at for _, at in runs}) < len(runs))
+
+
+def kinds(words: pa.Array, pos: pa.Array) -> np.ndarray:
+    """The kind of each word; different words are looked at once."""
+    coded = words.dictionary_encode()
+    known, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    alone, counting = (np.array([f(w) for w in known], bool)[of] for f in (plain, word_counts))
+    return (alone + 2 * (counting & ~pc.is_in(pos, pa.array(FUNCTION_WORDS)).to_numpy(zero_copy_only=False))).astype(np.int8)
 
 
 def analysed(words: Sequence[str], pos: Sequence[str], parse: Sequence[str], first: int) -> dict:
-    root, spans, moved = found(tuple(words), tuple(pos), tuple(parse))
-    return {"root": root, "spans": [{"words": w, "at": at + first if moved else at} for w, at in spans]}
+    rows = pa.array([[{"word": w, "pos": p, "parse": b} for w, p, b in zip(words, pos, parse)]], pa.list_(pa.struct([(n, pa.string()) for n in ("word", "pos", "parse")])))
+    got = analyses(rows, [first])[0].as_py()
+    return got | {"spans": got["spans"] or []}
 
 
-@F.arrow_udf(RESULT)
-def analyse(rows: pa.Array, first: pa.Array) -> pa.Array:
-    """The analysis of each list of tokens, the first of which has the given number."""
+def analyses(rows: pa.Array, first: Sequence[int]) -> pa.Array:
+    """root and spans of each list of tokens, the first of which has the given number. Mentions of one `shape` are
+    analysed once, whatever their words are."""
     flat, ends = rows.flatten(), np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-    columns = [flat.field(n).to_pylist() for n in ("word", "pos", "parse")]
-    roots, words, places, sizes = [], [], [], [0]
-    for a, b, f in zip(ends[:-1].tolist(), ends[1:].tolist(), first.to_pylist()):
-        root, spans, moved = found(*(tuple(c[a:b]) for c in columns)) if b > a else (None, (), False)
+    text, parse = flat.field("word").to_pylist(), flat.field("parse").dictionary_encode()
+    kind, bits, code = kinds(flat.field("word"), flat.field("pos")), parse.dictionary.to_pylist(), parse.indices.to_numpy(zero_copy_only=False)
+    seen, roots, words, places, sizes = {}, [], [], [], [0]
+    for a, b, f in zip(ends[:-1].tolist(), ends[1:].tolist(), first):
+        if b == a:
+            roots.append(None)
+            sizes.append(len(words))
+            continue
+        key = kind[a:b].tobytes(), code[a:b].tobytes()
+        if key not in seen:
+            seen[key] = shape(tuple(kind[a:b].tolist()), tuple(bits[c] for c in code[a:b].tolist()))
+        root, runs, moved, tied = seen[key]
         roots.append(root)
-        words += [w for w, _ in spans]
-        places += [at + f if moved else at for _, at in spans]
+        spans = [(text[a + of[0]] if len(of) == 1 else " ".join([text[a + i] for i in of]), at) for of, at in runs]
+        for w, at in sorted(set(spans), key=lambda s: (s[1], s[0])) if tied else spans:
+            words.append(w)
+            places.append(at + f if moved else at)
         sizes.append(len(words))
     none = pa.array([a == b for a, b in zip(sizes[:-1], sizes[1:])], pa.bool_())
     parts = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int32())], names=["words", "at"])
@@ -154,16 +185,30 @@ def with_minimum_spans(mentions: DataFrame, tokens: DataFrame, doc: str, token:
     equi-join; only mentions that lie in several are gathered. No document is."""
     runs = tokens if "words" in tokens.columns else token_runs(tokens, doc, token)
     chunk = lambda c: F.floor(F.col(c) / CHUNK)
-    inside = F.filter("words", lambda w: (w["token"] >= F.col("start")) & (w["token"] <= F.col("end"))).alias("__t")
+    # Where a run has all tokens from its first to its last, a mention's are a slice of it.
+    edge = lambda k: F.get("words", k)["token"]
+    runs = runs.withColumn("__lo", edge(F.lit(0))).withColumn("__whole", F.col("words.token") == F.sequence(F.col("__lo"), edge(F.size("words") - 1)))
+    skipped = F.greatest(F.col("start") - F.col("__lo"), F.lit(0))
+    part = F.slice("words", (skipped + 1).cast("int"), F.greatest(F.col("end") - F.col("__lo") - skipped + 1, F.lit(0)).cast("int"))
+    found = F.filter("words", lambda w: (w["token"] >= F.col("start")) & (w["token"] <= F.col("end")))
+    inside = F.when(F.col("__whole"), part).otherwise(found).alias("__t")
     rows = mentions.withColumns({"__first": chunk("start"), "__last": chunk("end")})
-    meet = lambda df: df.join(runs.withColumnRenamed("chunk", "__chunk"), [doc, "__chunk"], "left")
+    # Mentions of a chunk are few, runs are long rows: those stream past a hash table of these, instead of being sorted.
+    meet = lambda df: df.hint("shuffle_hash").join(runs.withColumnRenamed("chunk", "__chunk"), [doc, "__chunk"], "left")
     near = meet(rows.where(~F.coalesce(F.col("__first") < F.col("__last"), F.lit(False))).withColumn("__chunk", F.col("__first"))).select(*mentions.columns, inside)
     wide = rows.where("__first < __last")
     parts = meet(wide.select(doc, key, "start", "end", F.explode(F.sequence("__first", "__last")).alias("__chunk"))).select(doc, key, "start", "end", inside)
     each = parts.groupBy(doc, key, "start", "end").agg(F.array_sort(F.flatten(F.collect_list("__t"))).alias("__t")).drop("start", "end")
     far = wide.select(*mentions.columns).join(each, [doc, key], "left").select(*mentions.columns, "__t")
-    rows = near.unionByName(far).withColumn("__r", analyse("__t", F.col("start").cast("long")))
-    return rows.select(*mentions.columns, "__r.root", "__r.spans")
+    schema = T.StructType([*mentions.schema.fields, *RESULT.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            result = analyses(batch.column("__t"), batch.column("start").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *result.flatten()], names=schema.names)
+
+    # A pass over rows: a function of two columns would queue all others on disk meanwhile.
+    return near.unionByName(far).mapInArrow(run, schema)
 
 
 def without_verb_phrases(mentions: DataFrame, keys: Sequence[str], partial: bool = True) -> DataFrame:

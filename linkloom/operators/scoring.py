@@ -40,17 +40,18 @@ def without_nested(mentions: DataFrame, keep_singletons: bool = True) -> DataFra
 
 def identified(mentions: DataFrame) -> DataFrame:
     """doc, mention, cluster: each span, or minimum span (column spans), once for each document; of several
-    chains that claim it the least has it."""
+    chains that claim it the least has it. Where sides are told apart (column __side), for each."""
+    side = [c for c in mentions.columns if c == "__side"]
     if "spans" not in mentions.columns:
-        return mentions.groupBy("doc", "start", "end").agg(F.min("cluster").alias("cluster")).select("doc", F.concat_ws(":", "start", "end").alias("mention"), "cluster")
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["words"].alias("words"))))
+        return mentions.groupBy("doc", "start", "end", *side).agg(F.min("cluster").alias("cluster")).select("doc", F.concat_ws(":", "start", "end").alias("mention"), "cluster", *side)
+    by_place = F.sort_array(F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["words"].alias("words"))))
     name = F.to_json(F.struct("sentence", F.array_distinct(by_place).alias("spans")))
-    return mentions.select("doc", name.alias("mention"), "cluster").groupBy("doc", "mention").agg(F.min("cluster").alias("cluster"))
+    return mentions.select("doc", name.alias("mention"), "cluster", *side).groupBy("doc", "mention", *side).agg(F.min("cluster").alias("cluster")).select("doc", "mention", "cluster", *side)
 
 
 def parsed(mentions: DataFrame, words: DataFrame) -> DataFrame:
     """mentions with root and spans by the parses of the words."""
-    keyed = mentions.withColumn("__key", F.concat_ws(":", "start", "end", "cluster"))
+    keyed = mentions.withColumn("__key", F.concat_ws(":", "start", "end", "cluster", "__side"))
     return parses.with_minimum_spans(keyed, words, "doc", "token", "__key").drop("__key")
 
 
@@ -59,21 +60,25 @@ def clusterings(key: DataFrame, system: DataFrame, min_spans: bool = False, keep
 
     noun_phrases drops verb phrases by the parses, ``nested=False`` mentions inside others of their chain. words: the
     key's tokens as `parses.token_runs` has them, if they are there already."""
-    if (min_spans or noun_phrases) and words is None:
-        words = parses.token_runs(key, "doc", "token")
-    known = key.select("doc").distinct()
-    out = []
-    for tokens in (key, system.join(known, "doc", "left_semi")):
-        marked = saved(tokens.where(~F.col("coref").isin("-", "_", "")).select("doc", "sentence", "token", "coref"))
-        found = chains(marked, keep_singletons)
-        if min_spans or noun_phrases:
-            found = parsed(found, words)
+    known = (key if words is None else words).select("doc").distinct()
+    found = []
+    for side, tokens in enumerate((key, system)):
+        marked = tokens.where(~F.col("coref").isin("-", "_", ""))
+        marked = saved((marked.join(known, "doc", "left_semi") if side else marked).select("doc", "sentence", "token", "coref"))
+        found.append(chains(marked, keep_singletons).withColumn("__side", F.lit(side)))
+    if min_spans or noun_phrases:
+        # Both sides meet the words at once, so that words are shuffled once.
+        both = parsed(found[0].unionByName(found[1]), parses.token_runs(key, "doc", "token") if words is None else words)
         if noun_phrases:
-            found = parses.without_verb_phrases(found, ["doc", "cluster"])
-        if not nested:
-            found = without_nested(materialized(found), keep_singletons)
-        out.append(saved(identified(found if min_spans else found.select(*MENTION, "sentence"))))
-    return out[0], out[1]
+            both = parses.without_verb_phrases(saved(both), ["__side", "doc", "cluster"])
+        both = both if min_spans else both.select(*MENTION, "sentence", "__side")
+        both = saved(identified(both) if nested else both)
+        found = [both.where(F.col("__side") == side) for side in (0, 1)]
+    if not nested:
+        found = [identified(without_nested(materialized(f), keep_singletons)) for f in found]
+    elif not (min_spans or noun_phrases):
+        found = [identified(f) for f in found]
+    return tuple(saved(f.select("doc", "mention", "cluster")) for f in found)
 
 
 def conll_scores(key: DataFrame, system: DataFrame, names: Sequence[str] = metrics.METRICS, **options: bool | DataFrame) -> DataFrame:

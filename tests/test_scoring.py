@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,52 @@ def test_brackets_across_partitions_and_spans_across_chunks(spark):
     assert [(s.words, s.at) for s in found[0]] == [("w30 w31 w32 w33", 33)] and found[1] is None
     plan = parses.with_minimum_spans(spans, words, "doc", "token", "k")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(sequence") == 1 and "sequence(start" not in plan
+
+
+def test_shapes_instead_of_words(spark):
+    """Mentions of other words are analysed once if their parses and kinds of words are the same, wherever runs repeat a
+    text or close at one place; runs of tokens with gaps, repeats or none."""
+    rng = random.Random(8)
+    vocabulary = ["mill", "old", "U.S.", ",", "%", "-LRB-", "the", "and", "3", "x1"]
+    bits = ["*", "(NP*", "*)", "(NP*)", "(VP*", "*))", "(NP(NP*", "(PP*)"]
+    lists = []
+    for _ in range(400):
+        n = rng.randint(0, 5)
+        lists.append([(rng.choice(vocabulary), rng.choice(["NN", "DT", "CC"]), rng.choice(bits)) for _ in range(n)])
+    names = ("word", "pos", "parse")
+    rows = pa.array([[dict(zip(names, t)) for t in x] for x in lists], pa.list_(pa.struct([(n, pa.string()) for n in names])))
+    parses.shape.cache_clear()
+    for x, got in zip(lists, parses.analyses(rows, [7] * len(lists)).to_pylist()):
+        words, pos, parse = ([t[k] for t in x] for k in range(3))
+        root = parses.tree(words, pos, parse, 7)
+        runs = sorted({(" ".join(w for w, *_ in r.words), r.at) for r in parses.minimum(root)}, key=lambda s: (s[1], s[0]))
+        assert got["root"] == (root.name if root else None)
+        assert [(s["words"], s["at"]) for s in got["spans"] or []] == (runs or [(w, i) for i, w in enumerate(words)])
+    rows = pa.array([[{"word": f"w{i}", "pos": "NN", "parse": "(NP*)"}] for i in range(1000)], rows.type)
+    parses.shape.cache_clear()
+    parses.analyses(rows, [0] * 1000)
+    assert parses.shape.cache_info().misses == 1
+
+
+def test_brackets_across_batches():
+    rng = random.Random(2)
+    rows = sorted(((rng.choice([None, "a", "b"]), rng.choice("12"), rng.randrange(40), rng.random() < 0.5) for _ in range(500)), key=lambda r: (str(r[0]), r[1], r[2], not r[3]))
+    want, chain, opened = [], None, []
+    for r in rows:
+        if r[:2] != chain:
+            want += [(*x, None) for x in opened]
+            chain, opened = r[:2], []
+        if r[3]:
+            opened.append(r)
+        else:
+            want.append((*opened.pop(), r[2]) if opened else (*r, None))
+    want += [(*x, None) for x in opened]
+    names, kinds = ("doc", "chain", "token", "opens"), (pa.string(), pa.string(), pa.int64(), pa.bool_())
+    for size in (1, 7, 500):
+        got, held = [], None
+        for k in range(0, len(rows), size):
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size]), kinds)], names=names)
+            out, held = coref.matched_brackets(batch if held is None else pa.concat_batches([held, batch]))
+            got += [tuple(r.values()) for r in out.to_pylist()]
+        got += [(*r.values(), None) for r in held.to_pylist()]
+        assert sorted(got, key=str) == sorted(want, key=str)
