@@ -494,6 +494,30 @@ def test_configs_and_readers(spark, tmp_path):
     assert [(r.sentence, r.token_id, r["columns"][3]) for r in got] == [(0, 0, "(1)"), (0, 1, "-"), (1, 2, "(1)")]
 
 
+def test_grams_where_keys_repeat_or_not(spark):
+    rng = random.Random(4)
+    words = ["red", "mill", "über", "x1", "the", "a"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(40)] + [None, "", "one two " * 3000]
+    for keys in (list(range(42)) + [None], [i // 3 if i % 5 else None for i in range(43)]):
+        for n in (1, 2, 3):
+            want: Counter = Counter()
+            for k, t in zip(keys, texts):
+                left = [w for w in (t or "").split() if len(w) > 1 and w != "the"]
+                want.update((k, " ".join(left[i : i + n])) for i in range(len(left) - n + 1))
+            rows = dedup.word_grams(spark.createDataFrame(list(zip(keys, texts)), "k long, t string"), "k", "t", n).collect()
+            assert {(r.k, r.gram): r.tf for r in rows} == dict(want) and len(rows) == len(want)
+
+
+def test_tfidf_shuffles_grams_twice(spark):
+    docs = spark.createDataFrame([(1, "red mill water wheel"), (2, "red mill water stone")], "k long, t string")
+    for got in (dedup.counted_tfidf(docs, "k", "t"), dedup.weighted(dedup.word_grams(docs, "k", "t", 2), 2, "k", docs.select("k"))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "saved-" not in plan
+    only = dedup.weighted(dedup.word_grams(docs, "k", "t", 2), 2, "k", docs.where("k = 2").select("k")).collect()
+    every = {tuple(r) for r in dedup.counted_tfidf(docs, "k", "t").collect() if r.k == 2}
+    assert {tuple(r) for r in only} == every and {r.df for r in only} == {1, 2}
+
+
 def test_tfidf_joins_its_model_once(spark):
     docs = spark.createDataFrame([(1, "red mill water wheel"), (2, "red mill water stone"), (3, "red mill water wheel"), (4, None)], "k long, t string")
     weights = dedup.tfidf(docs, "k", "t")
