@@ -518,6 +518,27 @@ def test_tfidf_shuffles_grams_twice(spark):
     assert {tuple(r) for r in only} == every and {r.df for r in only} == {1, 2}
 
 
+def test_pairs_of_large_parts_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(12))) for i in range(60)] + [(100 + i, t) for i, t in enumerate(["w1 w2 w3 lone"] * 3 + ["own words here", None])]
+    weights = dedup.counted_tfidf(spark.createDataFrame(docs, "k long, t string"), "k", "t")
+    vectors: dict = {}
+    for r in weights.collect():
+        vectors.setdefault(r.k, {})[r.gram] = r.weight
+    dot = lambda a, b: sum(v * vectors[b].get(g, 0) for g, v in vectors[a].items())
+    want = {(a, b): dot(a, b) for a in vectors for b in vectors if a < b and dot(a, b) >= 0.3}
+    for block in (2048, 7):
+        monkeypatch.setattr(dedup, "PART_BLOCK", block)
+        rows = dedup.cosine_pairs(weights, "k", 0.3, counted=True).collect()
+        got = {(r.a, r.b): r.similarity for r in rows}
+        assert set(got) == set(want) and len(rows) == len(want) > 20
+        assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    # No table has a row for each gram of each candidate.
+    plan = dedup.cosine_pairs(weights, "k", 0.3, counted=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
 def test_tfidf_joins_its_model_once(spark):
     docs = spark.createDataFrame([(1, "red mill water wheel"), (2, "red mill water stone"), (3, "red mill water wheel"), (4, None)], "k long, t string")
     weights = dedup.tfidf(docs, "k", "t")
